@@ -45,45 +45,50 @@ STRICT_RANGE_OR_DASH = r"20\d{2}\.\d{2}\.\d{2}[~\-]20\d{2}\.\d{2}\.\d{2}"
 TRAILING_DATE = r"(\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2})\s*$"
 
 
-def _parts(text: Column, pattern: str, groups: int) -> Column:
-    """Captured groups of the first match as an array; null when nothing matches."""
-    found = blank_to_null(F.regexp_extract(text, pattern, 0))
-    template = "\u0001".join(f"${i}" for i in range(1, groups + 1))
-    return F.split(F.regexp_replace(found, pattern, template), "\u0001")
+def _rewrite(text: Column, pattern: str, template: str) -> Column:
+    """First match of ``pattern`` written as ``template``; null when nothing matches.
 
+    All parsers below are straight chains of such rewrites. A chain evaluates its
+    input once, which keeps generated code small where several dates are derived.
+    """
+    return F.regexp_replace(blank_to_null(F.regexp_extract(text, pattern, 0)), pattern, template)
 
-def _century(year: Column) -> Column:
-    return F.when(year < 100, year + 2000).otherwise(year)
 
+def _chain(c: Column, *steps: tuple[str, str]) -> Column:
+    for pattern, template in steps:
+        c = F.regexp_replace(c, pattern, template)
+    return c
 
-def _pad(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("int").cast("string"), width, "0")
 
+# Years below 100 belong to this century, three-digit years get a leading zero.
+START_CENTURY = (r"^0{0,2}(\d\d)([.-])", "20$1$2")
+START_WIDTH = (r"^(\d{3})([.-])", "0$1$2")
+END_CENTURY = (r"~0{0,2}(\d\d)\.(\d+\.\d+)$", "~20$1.$2")
+END_CENTURY_ONE_DIGIT = (r"~0{0,3}(\d)\.(\d+\.\d+)$", "~200$1.$2")
+END_WIDTH = (r"~(\d{3})\.(\d+\.\d+)$", "~0$1.$2")
+END_BORROWS_YEAR = (r"^(\d+)(\..*~)0?[1-9]\d\d(\.\d+\.\d+)$", "$1$2$1$3")
+PAD_PARTS = (r"(?<!\d)(\d)(?!\d)", "0$1")
+# Page text adds 2000 only to years written with exactly two digits.
+PAGE_START_CENTURY = (r"^(\d\d)\.", "20$1.")
+PAGE_END_CENTURY = (r"~(\d\d)\.(\d+\.\d+)$", "~20$1.$2")
 
-def _dotted(year: Column, month: Column, day: Column) -> Column:
-    return F.concat(_pad(year, 4), F.lit("."), _pad(month, 2), F.lit("."), _pad(day, 2))
 
-
-def _try_date(year: Column, month: Column, day: Column) -> Column:
-    return F.concat(_pad(year, 4), F.lit("-"), _pad(month, 2), F.lit("-"), _pad(day, 2)).try_cast("date")
+def _one_date(period: Column, template: str) -> Column:
+    return _chain(_rewrite(period, STORED_RANGE, template), START_CENTURY, START_WIDTH).try_cast("date")
 
 
 def period_dates(period: Column) -> Column:
     """Stored period text to ``struct<start, end>``; one bad side voids both."""
-    p = _parts(period, STORED_RANGE, 6)
-    start = _try_date(_century(p[0].cast("int")), p[1], p[2])
-    end = _try_date(_century(p[3].cast("int")), p[4], p[5])
-    both = start.isNotNull() & end.isNotNull()
-    return F.struct(F.when(both, start).alias("start"), F.when(both, end).alias("end"))
+    start, end = _one_date(period, "$1-$2-$3"), _one_date(period, "$4-$5-$6")
+    return F.struct(
+        F.when(end.isNotNull(), start).alias("start"), F.when(start.isNotNull(), end).alias("end")
+    )
 
 
 def compact_date(c: Column) -> Column:
     """``yyyymmdd`` with any separators to ``yyyy.mm.dd``, else an empty string."""
-    digits = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[^0-9]", "")
-    return F.when(
-        F.length(digits) == 8,
-        F.concat_ws(".", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)),
-    ).otherwise(F.lit(""))
+    digits = F.regexp_replace(c.cast("string"), "[^0-9]", "")
+    return F.coalesce(_rewrite(digits, r"^(\d{4})(\d{2})(\d{2})$", "$1.$2.$3"), F.lit(""))
 
 
 def period_from_compact(start: Column, end: Column) -> Column:
@@ -93,67 +98,43 @@ def period_from_compact(start: Column, end: Column) -> Column:
 def canonical_period(c: Column) -> Column:
     """Free period text to the canonical range; unmatched text is kept as it is."""
     text = clean_text(c)
-    p = _parts(text, LIST_RANGE, 6)
-    start_year = _century(p[0].cast("int"))
-    end_year = _century(p[3].cast("int"))
-    end_year = F.when(end_year < 1000, start_year).otherwise(end_year)
-    ranged = F.concat(_dotted(start_year, p[1], p[2]), F.lit("~"), _dotted(end_year, p[4], p[5]))
+    ranged = _chain(
+        _rewrite(text, LIST_RANGE, "$1.$2.$3~$4.$5.$6"),
+        START_CENTURY, END_CENTURY_ONE_DIGIT, END_CENTURY, END_BORROWS_YEAR, START_WIDTH, END_WIDTH, PAD_PARTS,
+    )
     return F.coalesce(ranged, text)
 
 
 def block_period(text: Column) -> Column:
     """First plain date range inside a list block, canonical; empty when absent."""
-    p = _parts(text, BLOCK_RANGE, 2)
-    return F.when(p.isNull(), F.lit("")).otherwise(
-        canonical_period(F.concat(p[0], F.lit("~"), p[1]))
-    )
+    return canonical_period(_rewrite(text, BLOCK_RANGE, "$1~$2"))
 
 
 def weekday_period(text: Column) -> Column:
     """Range with weekday brackets; an end without a year borrows the start year."""
-    p = _parts(text, WEEKDAY_RANGE, 2)
-    start_year = F.split(p[0], r"\.")[0]
-    end = F.when(
-        F.length(F.split(p[1], r"\.")[0]) < 4, F.concat(start_year, F.lit("."), p[1])
-    ).otherwise(p[1])
-    return F.when(p.isNull(), F.lit("")).otherwise(
-        canonical_period(F.concat(p[0], F.lit("~"), end))
-    )
+    bare = _rewrite(text, WEEKDAY_RANGE, "$1~$2")
+    return canonical_period(F.regexp_replace(bare, r"^(\d{4})(\..*)~(\d{1,3}\.)", "$1$2~$1.$3"))
 
 
 def detail_period(text: Column) -> Column:
     """First stored-shape range in a detail page, written canonically."""
-    p = _parts(text, STORED_RANGE, 6)
-    ranged = F.concat(
-        _dotted(_century(p[0].cast("int")), p[1], p[2]),
-        F.lit("~"),
-        _dotted(_century(p[3].cast("int")), p[4], p[5]),
+    ranged = _chain(
+        _rewrite(text, STORED_RANGE, "$1.$2.$3~$4.$5.$6"),
+        START_CENTURY, END_CENTURY, START_WIDTH, END_WIDTH, PAD_PARTS,
     )
     return F.coalesce(ranged, F.lit(""))
 
 
-def _page_year(year: Column) -> Column:
-    return F.when(F.length(year) == 2, year.cast("int") + 2000).otherwise(year.cast("int"))
-
-
 def page_date_range(c: Column) -> Column:
     """Date range in running text: full, then short end, then year/month/day words."""
     text = clean_text(c)
-    full = _parts(text, PAGE_RANGE_FULL, 6)
-    short = _parts(text, PAGE_RANGE_SHORT_END, 5)
-    words = _parts(text, PAGE_RANGE_KOREAN, 6)
-
-    def two_sided(p: Column) -> Column:
-        return F.concat(
-            _dotted(_page_year(p[0]), p[1], p[2]), F.lit("~"), _dotted(_page_year(p[3]), p[4], p[5])
-        )
-
-    borrowed = F.concat(
-        _dotted(_page_year(short[0]), short[1], short[2]),
-        F.lit("~"),
-        _dotted(_page_year(short[0]), short[3], short[4]),
+    found = F.coalesce(
+        _rewrite(text, PAGE_RANGE_FULL, "$1.$2.$3~$4.$5.$6"),
+        _rewrite(text, PAGE_RANGE_SHORT_END, "$1.$2.$3~$1.$4.$5"),
+        _rewrite(text, PAGE_RANGE_KOREAN, "$1.$2.$3~$4.$5.$6"),
     )
-    return F.coalesce(two_sided(full), borrowed, two_sided(words), F.lit(""))
+    ranged = _chain(found, PAGE_START_CENTURY, PAGE_END_CENTURY, START_WIDTH, END_WIDTH, PAD_PARTS)
+    return F.coalesce(ranged, F.lit(""))
 
 
 def strict_period(text: Column, allow_dash: bool = False) -> Column:

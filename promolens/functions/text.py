@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from promolens.vocabulary import Rules, Vocabulary
 
 WS = r"(?U)\s+"
-EDGE_WS = r"(?U)^\s+|\s+$"
+# fixed values: every character that counts as white space at the edges of a text
+EDGE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,12 +23,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ustrip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_WS, "")
+    """Strip Unicode white space; plain ``trim`` knows the blank only."""
+    return F.btrim(c, F.lit(EDGE_CHARS))
 
 
 def collapse(c: Column) -> Column:
     """Whitespace runs to one blank, edges stripped; null stays null."""
-    return ustrip(F.regexp_replace(c, WS, " "))
+    return F.trim(F.regexp_replace(c, WS, " "))
 
 
 def clean_text(c: Column) -> Column:

@@ -68,7 +68,7 @@ def campaign_texts(spark: SparkSession, base: str) -> DataFrame:
     period = pick(
         key % 23,
         "정보 없음",
-        span(short, "~"),
+        F.when(start >= "2000-01-01", span(short, "~")).otherwise(span(dots, "~")),
         F.concat(F.date_format(start, dots), F.lit("~"), F.date_format(end, "yyyy"), F.lit(".02.30")),
         F.lit(None).cast("string"),
         span(dashes, " ~ "),
