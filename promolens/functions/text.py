@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -114,30 +115,31 @@ def comparison_key(c: Column) -> Column:
     return F.substring(compact, 1, 140)
 
 
+def _alternatives(words) -> str:
+    return "|".join(re.escape(w).replace("\\ ", " ") for w in words)
+
+
 def is_header_like(c: Column, vocab: Vocabulary) -> Column:
-    text = ustrip(c)
-    hit = text.isin(*vocab.header_words)
-    for word in vocab.header_words:
-        hit = hit | text.startswith(word + " ") | text.endswith(" " + word)
-    return c.isNull() | (F.length(c) <= 5) | hit
+    """Site names and menu labels, alone or at the edge of a text; also anything tiny."""
+    words = _alternatives(vocab.header_words)
+    return c.isNull() | (F.length(c) <= 5) | ustrip(c).rlike(rf"^(?:{words})(?: |$)| (?:{words})$")
 
 
 def is_notification(c: Column, vocab: Vocabulary) -> Column:
-    text = ustrip(c)
     first, second = vocab.hidden_title_pair
+    prefixes = _alternatives(vocab.notification_prefixes)
     return F.coalesce(
         (F.length(c) >= 10)
-        & (
-            starts_with_any(text, vocab.notification_prefixes)
-            | (text.contains(first) & text.contains(second))
-        ),
+        & (ustrip(c).rlike(rf"^(?:{prefixes})") | (c.contains(first) & c.contains(second))),
         F.lit(False),
     )
 
 
-def is_noise(c: Column, vocab: Vocabulary) -> Column:
-    """Legal or privacy boilerplate, unless it speaks about the offer itself."""
-    text = clean_text(c)
+def is_noise(text: Column, vocab: Vocabulary) -> Column:
+    """Legal or privacy boilerplate, unless it speaks about the offer itself.
+
+    ``text`` has its white space collapsed already.
+    """
     rescued = contains_any(text, vocab.noise_rescue_words) & ~contains_any(
         text, vocab.noise_always_words
     )

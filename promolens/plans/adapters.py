@@ -360,3 +360,113 @@ def response_texts(spark: SparkSession, base: str) -> DataFrame:
         F.lit("no answer"),
     )
     return ev.select(F.col("event_id").alias("id"), F.col("event_type"), wrapped.alias("response"))
+
+
+# ---- feeds, dumps, captures and search pages ---------------------------------------------
+
+def feed_a_documents(spark: SparkSession, base: str) -> DataFrame:
+    """One feed A document per order with filled, blank, noisy and unusable items."""
+    t = campaign_texts(spark, base)
+    key = F.col("id").cast("string")
+    compact = lambda c: F.date_format(c, "yyyyMMdd")
+    term = F.concat(F.date_format("start_date", "yyyy.M.d"), F.lit(" ~ "), F.date_format("end_date", "yyyy.M.d"))
+    item = pick(
+        F.col("id") % 4,
+        F.to_json(F.struct(
+            F.col("title").alias("mobWbEvtNm"), F.concat(F.lit("/evt/view?id="), key, F.lit("&utm_source=x")).alias("hpgEvtDlPgeUrlAr"),
+            compact("start_date").alias("mobWbEvtStd"), compact("end_date").alias("mobWbEvtEdd"),
+            F.col("conditions").alias("hpgEvtSmrTt"))),
+        F.to_json(F.struct(
+            F.lit("").alias("mobWbEvtNm"), F.col("title").alias("evtImgSlTilNm"),
+            F.concat(F.lit("https://www.example.com/a?b=2&a="), key, F.lit("#x")).alias("evtDtlUrl"), term.alias("evtTermTxt"))),
+        F.to_json(F.struct(F.col("title").alias("evtImgRplNm"), F.lit("javascript:void(0)").alias("evtUrlAr"))),
+        F.to_json(F.struct(F.lit("이벤트").alias("mobWbEvtNm"), F.lit("/evt/noise").alias("evtDtlUrl"))),
+    )
+    extra = F.when(
+        F.col("id") % 2 == 0,
+        F.to_json(F.struct(
+            F.concat(F.lit("상시 "), F.col("nation")).alias("mobWbEvtNm"),
+            F.concat(F.lit("../evt/always?id="), key).alias("evtDtlUrl"), compact("start_date").alias("mobWbEvtStd"))),
+    ).otherwise("")
+    payload = F.concat(
+        F.lit('{"root":{"evnlist":['), item, F.lit(',"text",17]},"mbw_json":{"dpEvtList":['), extra,
+        F.lit('],"ingEvtList":null,"evtList":[null]}}'),
+    )
+    return t.select("id", "company", payload.alias("payload"))
+
+
+def feed_b_documents(spark: SparkSession, base: str) -> DataFrame:
+    t = campaign_texts(spark, base)
+    spaced = lambda c: F.date_format(c, "yyyy. M. d")
+    code = F.when(F.col("id") % 10 == 0, "").otherwise(F.concat(F.lit("EV"), F.col("id").cast("string")))
+    item = F.to_json(F.struct(
+        code.alias("bnftWebEvntCd"), F.col("title").alias("bnftEvntNm"), spaced("start_date").alias("srtDttm"),
+        spaced("end_date").alias("endDttm"), F.col("conditions").alias("bnftEvntSmrCn")))
+    return t.select("id", "company", F.concat(F.lit('{"bdy":{"eventList":['), item, F.lit(']}}')).alias("payload"))
+
+
+def list_rows(spark: SparkSession, base: str) -> DataFrame:
+    t = campaign_texts(spark, base)
+    return t.select(
+        "id", "company", F.concat(F.lit("/cpb/view.hc?code="), F.col("id").cast("string")).alias("href"),
+        F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(F.lit("  "), F.col("title"), F.lit(" \n"))).alias("title"),
+        F.concat(F.date_format("start_date", "yyyy.MM.dd"), F.lit(" ~ "), F.date_format("end_date", "yyyy.MM.dd")).alias("period"),
+        F.concat_ws("\n", "title", "benefit_value").alias("raw_text"),
+    )
+
+
+def dump_documents(spark: SparkSession, base: str) -> DataFrame:
+    t = campaign_texts(spark, base)
+    key = F.col("id").cast("string")
+    item = F.to_json(F.struct(
+        F.when(F.col("id") % 8 == 0, " ").otherwise(F.col("title")).alias("cmpTitNm"),
+        F.date_format("start_date", "yyyyMMdd").alias("cmsCmpStrtdt"),
+        F.when(F.col("id") % 5 == 0, "").otherwise(F.date_format("end_date", "yyyyMMdd")).alias("cmsCmpEnddt"),
+        F.concat(F.lit("C"), key).alias("cmpId"),
+        F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("9"), key)).alias("cmsId")))
+    return t.select("id", "company", F.concat(F.lit('{"listPeiHPPPrgEvnInqrDVO":['), item, F.lit("]}")).alias("payload"))
+
+
+def capture_log(spark: SparkSession, base: str) -> DataFrame:
+    ev = table(spark, base, "events")
+    k = props_k()
+    path = (
+        F.when(F.col("event_type") == "view", "/Event/list").when(F.col("event_type") == "click", "/tracking/event")
+        .when(F.col("event_type") == "purchase", "/benefit/data").when(F.col("event_type") == "signup", "/user")
+        .otherwise("/log/list")
+    )
+    host = F.when(k % 3 == 1, "other.org").otherwise("example.com")
+    name = F.when(k % 5 == 0, "zz").otherwise("title")
+    body = F.concat(
+        F.lit('{"'), name, F.lit('":"'), F.repeat(F.lit("x"), k), F.lit('","u":'), F.col("user_id").cast("string"),
+        F.lit(',"pad":"'), F.repeat(F.lit("y"), 60), F.when(k % 7 == 0, "").otherwise('"}'),
+    )
+    return ev.select(
+        F.col("event_id").alias("id"), F.lit("example.com").alias("domain"),
+        F.concat(F.lit("https://api."), host, path, F.lit("?k="), k.cast("string")).alias("url"),
+        F.when(k % 4 == 0, "text/html").otherwise("application/json; charset=utf-8").alias("content_type"),
+        body.alias("body"),
+    )
+
+
+def search_pages(spark: SparkSession, base: str) -> DataFrame:
+    """One result page per customer with seven result links."""
+    c = table(spark, base, "customer")
+    key = F.col("c_custkey").cast("string")
+
+    def link(target) -> Column:
+        return F.concat(F.lit('<a href="/url?q='), target, F.lit('&sa=U">r</a>'))
+
+    links = [
+        link(F.concat(F.lit("https://www.kbcard.com/event/"), key)),
+        link(F.concat(F.lit("https://www.kbcard.com/event/"), key)),
+        link(F.concat(F.lit("https://blog.example.com/event/"), key)),
+        link(F.concat(F.lit("https://www.samsungcard.com/benefit/"), F.col("c_nationkey").cast("string"))),
+        link(F.concat(F.lit("https://www.samsungcard.com/main/"), key)),
+        link(F.concat(F.lit("https://m.shinhancard.com/event?s="), F.col("c_mktsegment"))),
+        '<a href="https://www.hyundaicard.com/event/direct">r</a>',
+    ]
+    return c.select(
+        F.col("c_custkey").alias("query"),
+        F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in links]).alias("html"),
+    )

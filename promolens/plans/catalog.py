@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from promolens.plans import market_queries
+from promolens.plans import ingest_queries, market_queries
 
-GROUPS = (market_queries,)
+GROUPS = (market_queries, ingest_queries)
 
 
 def queries() -> dict:

@@ -221,3 +221,74 @@ edits AS (
   FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
 )
 """
+
+
+def first_rule(c: str, rules, default: str) -> str:
+    cases = " ".join(f"WHEN {any_of(c, words)} THEN '{label}'" for label, words in rules)
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+def labels(*rules: tuple[str, str]) -> str:
+    """List of the labels whose conditions hold, in order."""
+    items = ", ".join(f"CASE WHEN {cond} THEN '{label}' END" for cond, label in rules)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def canonical_period(c: str) -> str:
+    """List-page period; inputs here have four-digit years on both sides or no match."""
+    p = periods.LIST_RANGE
+    part = lambda n: f"try_cast({group(c, p, n)} AS INT)"
+    year = lambda n: f"CASE WHEN {part(n)} < 100 THEN {part(n)} + 2000 ELSE {part(n)} END"
+    return (
+        f"CASE WHEN regexp_matches({c}, '{p}') THEN printf('%04d.%02d.%02d~%04d.%02d.%02d', {year(1)}, {part(2)}, {part(3)}, "
+        f"CASE WHEN {year(4)} < 1000 THEN {year(1)} ELSE {year(4)} END, {part(5)}, {part(6)}) ELSE {clean(c)} END"
+    )
+
+
+def unescape(c: str) -> str:
+    from promolens.functions.markup import ENTITIES
+
+    for entity, char in ENTITIES:
+        c = f"replace({c}, '{entity.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def inline_text(c: str, joiner: str = "") -> str:
+    return f"trim(regexp_replace({unescape(f'''regexp_replace({c}, '(?s)<[^>]*>', '{joiner}', 'g')''')}, '\\s+', ' ', 'g'))"
+
+
+def drop_elements(c: str, tags) -> str:
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in tags:
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
+    return c
+
+
+def text_blocks(c: str) -> str:
+    from promolens.functions.markup import BLOCK_EDGE
+
+    pieces = f"regexp_split_to_array({c}, '{BLOCK_EDGE}')"
+    return f"list_filter(list_transform({pieces}, lambda x: {inline_text('x')}), lambda x: x <> '')"
+
+
+PROMO_PAGES = """
+promo_pages AS (
+  SELECT page_id, url, d, replace(html, '<article>', '<article><p class="period">' || CASE page_id % 4
+      WHEN 0 THEN '이벤트 기간 2026.02.' || d || '(월) ~ 2026.03.' || d WHEN 1 THEN '진행기간 26.02.' || d || ' ~ 03.' || d
+      WHEN 2 THEN '2026년 2월 ' || d || '일 ~ 2026년 3월 ' || d || '일' ELSE '기간 별도 안내' END ||
+    '</p><p>대상카드 제휴 고객 캐시백 1' || d || ',000원 혜택</p><ul class="eventList"><li><a href="javascript:goDetail(''' || page_id ||
+    ''', ''A'')"><strong class="tit">오퍼 ' || page_id || ' 할인 혜택</strong><span>2026.1.' || d || ' ~ 2026.2.' || d ||
+    '</span></a></li><li><a href="/evt/view.do?id=' || page_id || '&amp;utm_source=list">이벤트</a>추가 이벤트 ' || page_id ||
+    ' 안내 · 2026.03.' || d || ' ~ 2026.04.' || d || '</li><li><a href="#" onclick="openEvent(''' || page_id ||
+    ''')">더보기 이벤트</a></li></ul>') AS html
+  FROM (SELECT *, lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS d FROM pages)
+)
+"""
+
+RESPONSES = """
+responses AS (
+  SELECT event_id AS id, event_type, k, CASE k % 5 WHEN 0 THEN '높음' WHEN 1 THEN '중상' WHEN 2 THEN '보통' WHEN 3 THEN '낮음' ELSE '' END AS level,
+    CASE k % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Mid' ELSE 'Low' END AS threat, event_id % 6 <= 3 AS ok
+  FROM (SELECT *, cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+)
+"""
