@@ -171,12 +171,12 @@ def distinct_by_key(items: Column, key_of: Callable[[Column], Column]) -> Column
         items, lambda v, i: F.struct(key_of(v).alias("k"), i.alias("p"), v.alias("v"))
     )
     firsts = let(
-        F.array_sort(keyed),
+        F.sort_array(keyed),
         lambda s: F.filter(
             s, lambda e, i: (e["k"] != "") & ((i == 0) | (e["k"] != s[F.greatest(i - 1, F.lit(0))]["k"]))
         ),
     )
-    back = F.array_sort(
+    back = F.sort_array(
         F.transform(firsts, lambda e: F.struct(e["p"].alias("p"), e["v"].alias("v")))
     )
     return F.transform(back, lambda e: e["v"])

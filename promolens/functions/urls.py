@@ -79,7 +79,7 @@ def normalise_query(query: Column, vocab: Vocabulary) -> Column:
         & ~((p["k"] == vocab.dropped_when_blank) & (p["v"] == "")),
     )
     coded = F.transform(
-        F.array_sort(kept), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
+        F.sort_array(kept), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
     )
     return F.array_join(coded, "&")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions import amounts, periods, records, text
+from promolens.functions.rows import exploded
 from promolens.operators.ranking import first_per_group, ranked_list, top_values, value_counts
 from promolens.params import Params
 from promolens.vocabulary import (
@@ -76,22 +77,17 @@ def company_overview(events: DataFrame, params: Params) -> DataFrame:
     marker = F.array(
         F.struct(F.lit("row").alias("kind"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("pos"))
     )
-    items = flagged.select(
+    values = F.when(
+        F.col("_has_insight"),
+        F.concat(
+            tagged("point", F.col("_ins.competitive_points")), tagged("strategy", F.col("_ins.promo_strategies"))
+        ),
+    ).otherwise(none)
+    keep = [
         "id", "company", "_visible", "period_end", "_extracted", "_has_insight",
         F.when(F.col("_has_insight"), F.col("_ins.benefit_level")).alias("_level"),
-        F.explode(
-            F.concat(
-                marker,
-                F.when(
-                    F.col("_has_insight"),
-                    F.concat(
-                        tagged("point", F.col("_ins.competitive_points")),
-                        tagged("strategy", F.col("_ins.promo_strategies")),
-                    ),
-                ).otherwise(none),
-            )
-        ).alias("item"),
-    ).select("*", "item.*").drop("item")
+    ]
+    items = exploded(flagged, keep, F.concat(marker, values), "item").select("*", "item.*").drop("item")
 
     is_row = F.col("kind") == "row"
     shown = is_row & F.col("_visible")
@@ -789,10 +785,9 @@ def _weekly_marks(events: DataFrame, params: Params) -> DataFrame:
             F.when(inside(end), F.lit("ending")),
         )
     )
-    return events.where(records.visible(params)).select(
-        "id", text.first_filled(F.col("company"), F.lit(UNKNOWN_COMPANY)).alias("company"), "title",
-        F.explode(kinds).alias("kind"),
-    )
+    shown = events.where(records.visible(params))
+    company = text.first_filled(F.col("company"), F.lit(UNKNOWN_COMPANY)).alias("company")
+    return exploded(shown, ["id", company, "title"], kinds, "kind")
 
 
 def weekly_changes(events: DataFrame, params: Params) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import periods, records, text
+from promolens.functions.rows import exploded
 from promolens.params import Params
 
 
@@ -85,7 +86,7 @@ def facets(events: DataFrame) -> DataFrame:
         F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: one("tag", t)),
     )
     return (
-        events.select(F.explode(cells).alias("c")).select("c.*")
+        exploded(events, [], cells, "c").select("c.*")
         .where(F.coalesce(F.col("value"), F.lit("")) != "").distinct()
     )
 

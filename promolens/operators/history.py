@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import text
+from promolens.functions.rows import posexploded
 from promolens.operators.ranking import first_seen, with_previous
 
 SOURCE_PRIORITY = ("gemini", "hybrid", "rule")
@@ -53,23 +54,17 @@ def section_rows(contents: DataFrame, sections: Column, order, limit_chars: int
     Sections follow ``order``; blank items are skipped before numbering. The
     numbering is a position in one row's array, so no shuffle is involved.
     """
-    items = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.filter(
-                        F.coalesce(F.try_element_at(sections, F.lit(name)), F.array().cast("array<string>")),
-                        lambda v: v.isNotNull() & (v != ""),
-                    ),
-                    lambda v, name=name: F.struct(
-                        F.lit(name).alias("section_type"), F.substring(v, 1, limit_chars).alias("content")
-                    ),
-                )
-                for name in order
-            ]
+    def rows_of(name: str) -> Column:
+        texts = F.coalesce(F.try_element_at(sections, F.lit(name)), F.array().cast("array<string>"))
+        return F.transform(
+            F.filter(texts, lambda v: v.isNotNull() & (v != "")),
+            lambda v: F.struct(
+                F.lit(name).alias("section_type"), F.substring(v, 1, limit_chars).alias("content")
+            ),
         )
-    )
-    return contents.select("event_id", F.posexplode(items).alias("sort_order", "item")).select(
+
+    items = F.flatten(F.array(*[rows_of(name) for name in order]))
+    return posexploded(contents, ["event_id"], items, "sort_order", "item").select(
         "event_id", "item.section_type", "item.content", "sort_order"
     )
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promolens.functions.rows import exploded
+
 
 def first_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
@@ -32,9 +34,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], values: Column, ident: str
     The place is (smallest row id, first position in that row), which fixes the
     order of equally frequent values. Counting happens map-side first.
     """
-    items = df.select(*keys, F.col(ident).alias("_id"), values.alias("_vals")).select(
-        *keys, "_id", F.posexplode("_vals").alias("_pos", "value"), "_vals"
-    )
+    rows = df.select(*keys, F.col(ident).alias("_id"), values.alias("_vals"))
+    items = exploded(rows, [*keys, "_id", "_vals"], F.col("_vals"), "value")
     places = items.withColumn("_pos", F.array_position("_vals", F.col("value"))).drop("_vals")
     return places.groupBy(*keys, "value").agg(
         F.count("*").alias("n"),
@@ -54,7 +55,7 @@ def ranked_list(value: str | Column, rank: str = "rank", when: Column | None = N
     value = F.col(value) if isinstance(value, str) else value
     pair = F.struct(F.col(rank).alias("r"), value.alias("v"))
     picked = F.collect_list(pair if when is None else F.when(when, pair))
-    return F.transform(F.array_sort(picked), lambda e: e["v"])
+    return F.transform(F.sort_array(picked), lambda e: e["v"])
 
 
 def with_previous(

@@ -85,14 +85,19 @@ def condition_blocks(sources: list[Column], vocab: Vocabulary) -> Column:
     return F.array_join(keyword_blocks(sources, words, vocab, 320, 10), " | ")
 
 
+def first_with(texts: Column, word: str) -> Column:
+    """First text that contains the word; null when none does."""
+    return F.get(F.filter(texts, lambda t: t.contains(word)), F.lit(0))
+
+
 def target_text(blocks: Column, lines: Column, vocab: Vocabulary) -> Column:
     """Labelled element of moderate length, else a labelled line."""
     options = [
         let(
-            F.get(F.filter(blocks, lambda b, kw=kw: b.contains(kw)), F.lit(0)),
+            first_with(blocks, label),
             lambda t: F.when(F.length(t).between(6, 149), F.substring(t, 1, 120)),
         )
-        for kw in vocab.target_element_labels
+        for label in vocab.target_element_labels
     ]
     labelled = F.filter(
         lines, lambda v: text.contains_any(v, vocab.target_labels) & (F.length(v) <= 160)
@@ -117,7 +122,7 @@ def page_title(html: Column, vocab: Vocabulary) -> Column:
         found,
         lambda t: t.isNotNull() & (F.length(t) >= 4) & ~text.is_header_like(t, vocab) & ~text.is_notification(t, vocab),
     )
-    ranked = F.array_sort(F.transform(usable, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    ranked = F.sort_array(F.transform(usable, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
 
     def choose(r: Column) -> Column:
         offer = F.filter(r, lambda e: text.contains_any(e["t"], vocab.title_preferred_words))
@@ -139,10 +144,7 @@ def page_period(body: Column, blocks: Column, lines: Column, vocab: Vocabulary)
         short = F.when(F.length(t).between(6, 119), F.substring(t, 1, 100))
         return F.coalesce(text.blank_to_null(periods.page_date_range(t)), short)
 
-    elements = [
-        let(F.get(F.filter(blocks, lambda b, kw=kw: b.contains(kw)), F.lit(0)), from_element)
-        for kw in vocab.period_labels[:3]
-    ]
+    elements = [let(first_with(blocks, label), from_element) for label in vocab.period_labels[:3]]
     label = vocab.period_labels[0]
     line = F.get(F.filter(lines, lambda v: v.contains(label) & (F.length(v) <= 240)), F.lit(0))
     return F.coalesce(
@@ -174,14 +176,18 @@ def score_lines(lines: Column, vocab: Vocabulary) -> Column:
         )
 
         def accept(b: Column) -> Column:
-            total = F.zip_with(b, bonus, lambda x, y: x + y)
-            first = F.array_position(F.transform(b, lambda x: x > 0), True)
-            best = F.array_max(total)
-            return F.transform(
-                total,
-                lambda t, i: F.when((t >= 2) | ((best == 1) & (i + 1 == first)), t).otherwise(0),
+            totals = F.zip_with(b, bonus, lambda x, y: x + y)
+            first_hit = F.array_position(F.transform(b, lambda x: x > 0), True)
+            facts = lambda t: F.struct(
+                t.alias("t"), F.array_max(t).alias("best"), first_hit.alias("first")
             )
 
+            def mark(f: Column) -> Column:
+                taken = lambda t, i: (t >= 2) | ((f["best"] == 1) & (i + 1 == f["first"]))
+                return F.transform(f["t"], lambda t, i: F.when(taken(t, i), t).otherwise(0))
+
+            return let(let(totals, facts), mark)
+
         accepted = let(base, lambda b: F.when(F.array_max(b) > 0, accept(b)))
         return F.struct(F.substring(line, 1, SECTION_TEXT).alias("text"), accepted.alias("scores"))
 
@@ -205,7 +211,7 @@ def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabular
     )
 
     def best(items: Column) -> Column:
-        return F.transform(F.slice(F.array_sort(items), 1, SECTION_KEEP), lambda e: e["t"])
+        return F.transform(F.slice(F.sort_array(items), 1, SECTION_KEEP), lambda e: e["t"])
 
     return let(own, lambda o: best(F.when(F.size(o) > 0, o).otherwise(spare)))
 

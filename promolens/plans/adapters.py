@@ -17,6 +17,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work enough tasks when the input has few splits.
+
+    A large table has more splits than cores and is left alone, so no extra
+    shuffle happens at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pick(key: Column, *options) -> Column:
     """``options[key]`` as a chain of conditions; the last option is the default."""
     chain = None
@@ -335,7 +345,7 @@ def promo_pages(spark: SparkSession, base: str) -> DataFrame:
         F.lit(" 안내 · 2026.03."), day, F.lit(" ~ 2026.04."), day, F.lit("</li>"),
         F.lit('<li><a href="#" onclick="openEvent(\''), pid, F.lit('\')">더보기 이벤트</a></li></ul>'),
     )
-    return table(spark, base, "pages").select(
+    return spread(table(spark, base, "pages")).select(
         "page_id", "url", F.replace(F.col("html"), F.lit("<article>"), block).alias("html")
     )
 

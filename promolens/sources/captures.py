@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import text, urls
+from promolens.functions.rows import posexploded
 from promolens.vocabulary import Vocabulary
 
 
@@ -37,7 +38,7 @@ def search_hits(results: DataFrame, vocab: Vocabulary, per_query: int = 5) -> Da
         return text.contains_any(u, vocab.site_domains) & text.contains_any(u, vocab.search_url_words)
 
     firsts = F.slice(F.array_distinct(F.filter(found, wanted)), 1, per_query)
-    return results.select("query", F.posexplode(firsts).alias("position", "url"))
+    return posexploded(results, ["query"], firsts, "position", "url")
 
 
 def distinct_hits(hits: DataFrame) -> DataFrame:

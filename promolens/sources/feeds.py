@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from promolens import schemas
 from promolens.functions import periods, text
+from promolens.functions.rows import posexploded
 from promolens.vocabulary import (
     LEGACY_CATEGORY_DEFAULT, LEGACY_CATEGORY_RULES, LEGACY_THREAT_RULES, NO_INFO, SEE_DETAIL, THREAT_DEFAULT,
     Vocabulary,
@@ -32,7 +33,7 @@ def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
 def _items(documents: DataFrame, lists: Column, item_schema: str) -> DataFrame:
     """One row per JSON object in the lists, with its place in the document."""
     keep = [c for c in documents.columns if c != "payload"]
-    raw = documents.select(*keep, F.posexplode(lists).alias("item_no", "raw"))
+    raw = posexploded(documents, keep, lists, "item_no", "raw")
     objects = raw.where(F.col("raw").startswith("{"))
     return objects.withColumn("item", F.from_json("raw", item_schema))
 

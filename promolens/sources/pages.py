@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions import markup, periods, text, urls
+from promolens.functions.rows import posexploded
 from promolens.vocabulary import (
     BLOCK_TITLE_WORDS, CATEGORY_RULES, CATEGORY_DEFAULT, DETAIL_HEADER_NOISE, DETAIL_JUNK_TITLES,
     DETAIL_TITLE_SUFFIXES, HIDDEN_TITLE_PREFIXES, LEGACY_CATEGORY_RULES, NO_INFO, NOT_FOUND_MARKER, SEE_DETAIL,
@@ -26,7 +27,7 @@ LIST_DATE_RANGE = (
 
 def call_links(pages: DataFrame, company: str | Column, list_url: str, vocab: Vocabulary) -> DataFrame:
     """Links that open a detail by script call: id, title by fallback, period from the link text."""
-    links = pages.select("page_id", F.posexplode(markup.anchors(F.col("html"))).alias("link_no", "a"))
+    links = posexploded(pages, ["page_id"], markup.anchors(F.col("html")), "link_no", "a")
     called = links.withColumn("event_no", F.regexp_extract("a.href", DETAIL_CALL, 1)).where(
         F.col("event_no") != ""
     )
@@ -59,10 +60,10 @@ def block_links(pages: DataFrame, company: str | Column, list_url: str, vocab: V
         F.filter(openings, lambda p: p.rlike(r"(?i)^<(?:li|article|section|div)\b")),
         lambda p: F.regexp_replace(p, r"(?is)</(?:li|article|section|div)>.*$", ""),
     )
-    blocks = pages.select("page_id", F.posexplode(items).alias("block_no", "block"))
-    links = blocks.select(
-        "page_id", "block_no", markup.inline_text(F.col("block"), " ").alias("raw_text"),
-        F.posexplode(markup.anchors(F.col("block"))).alias("link_no", "a"),
+    blocks = posexploded(pages, ["page_id"], items, "block_no", "block")
+    links = posexploded(
+        blocks, ["page_id", "block_no", markup.inline_text(F.col("block"), " ").alias("raw_text")],
+        markup.anchors(F.col("block")), "link_no", "a",
     ).where(F.col("a.href").rlike(EVENT_HREF))
     pieces = F.transform(F.split("raw_text", r"[|·•]+"), lambda p: text.clean_title(p, vocab))
     named = F.filter(
@@ -137,7 +138,7 @@ def promotion_links(pages: DataFrame, vocab: Vocabulary, per_page: int = 20) ->
         lambda u: u.isNotNull() & (~F.lower(u).contains("list") | F.lower(u).contains("detail")),
     )
     firsts = F.slice(F.array_distinct(kept), 1, per_page)
-    return pages.select("page_id", F.posexplode(firsts).alias("position", "target"))
+    return posexploded(pages, ["page_id"], firsts, "position", "target")
 
 
 def container_records(
@@ -153,7 +154,7 @@ def container_records(
     items = F.slice(
         F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), 1, per_page
     )
-    rows = pages.select("page_id", F.posexplode(items).alias("position", "inner"))
+    rows = posexploded(pages, ["page_id"], items, "position", "inner")
     heading = F.coalesce(
         text.blank_to_null(markup.inline_text(F.regexp_extract("inner", r"(?is)<h[34]\b[^>]*>(.*?)</h[34]>", 1))),
         markup.class_text(F.col("inner"), r"\b(?:event-)?title\b"),
