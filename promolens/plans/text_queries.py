@@ -43,7 +43,7 @@ def alternatives(words) -> str:
 def usable(c: str, v) -> str:
     heads = alternatives(v.header_words)
     first, second = v.hidden_title_pair
-    return f"""(NOT (length({c}) <= 5 OR regexp_matches({c}, '^(?:{heads})(?: |$)| (?:{heads})$'))
+    return f"""(NOT (length({c}) <= 5 OR regexp_matches(trim({c}), '^(?:{heads})(?: |$)| (?:{heads})$'))
       AND NOT (length({c}) >= 10 AND (regexp_matches({c}, '^(?:{alternatives(v.notification_prefixes)})') OR (contains({c}, '{first}') AND contains({c}, '{second}'))))
       AND NOT ({ov.any_of(c, v.noise_words)} AND NOT ({ov.any_of(c, v.noise_rescue_words)} AND NOT {ov.any_of(c, v.noise_always_words)})))"""
 
@@ -235,18 +235,18 @@ POOLS = f""", base AS (SELECT *, id % 5 = 3 AS hc,
     list_transform(regexp_extract_all(pool, '\\d[\\d,]{{0,8}}\\s*(?:만|천)?\\s*원'), lambda x: regexp_replace(x, '\\s', '', 'g')) AS w2,
     regexp_extract_all(pool, '(\\d{{1,3}}(?:\\.\\d+)?)\\s*(?:%|％|퍼센트)', 1) AS p2 FROM pools2),
   maxes AS (SELECT *, coalesce(list_max(list_transform(CASE WHEN len(w1) + len(p1) = 0 THEN w2 ELSE w1 END,
-      lambda x: try_cast(regexp_replace(x, '[^\\d]', '', 'g') AS BIGINT) * CASE WHEN contains(x, '만') THEN 10000 WHEN contains(x, '천') THEN 1000 ELSE 1 END)), 0) AS won,
+      lambda x: try_cast(regexp_replace(x, '[^\\d]', '', 'g') AS BIGINT) * CASE WHEN contains(x, '만') THEN 10000 WHEN contains(x, '천') THEN 1000 ELSE 1 END)), 0) AS mwon,
     coalesce(list_max(list_transform(CASE WHEN len(w1) + len(p1) = 0 THEN p2 ELSE p1 END, lambda x: x::DOUBLE)), 0) AS mp FROM figs),
-  lev AS (SELECT *, CASE WHEN won >= 100000 OR mp >= 30 THEN '높음' WHEN won >= 50000 OR mp >= 20 THEN '중상'
-    WHEN won >= 10000 OR mp >= 10 OR {ov.any_of('pool', LEVEL_KEEP_WORDS)} THEN '보통' ELSE '낮음' END AS lv,
+  lev AS (SELECT *, CASE WHEN mwon >= 100000 OR mp >= 30 THEN '높음' WHEN mwon >= 50000 OR mp >= 20 THEN '중상'
+    WHEN mwon >= 10000 OR mp >= 10 OR {ov.any_of('pool', LEVEL_KEEP_WORDS)} THEN '보통' ELSE '낮음' END AS lv,
     ({' + '.join(f"contains(tp, '{s}')::INT" for s in TARGET_SIGNALS)}) AS sig FROM maxes),
   rated AS (SELECT *, CASE lv WHEN '높음' THEN 4.0 WHEN '중상' THEN 3.0 WHEN '보통' THEN 2.0 ELSE 1.0 END::DOUBLE AS score,
     CASE WHEN trim(tp) = '' THEN '낮음' WHEN {ov.any_of('tp', ('전체', '전 고객', '전회원'))} AND sig <= 2 THEN '낮음'
       WHEN sig >= 3 OR regexp_matches(tp, '[가-힣A-Za-z0-9\\s]{{2,25}}카드') THEN '높음' ELSE '보통' END AS clarity,
-    {ov.labels(("contains(pool, '무이자') OR contains(pool, '할부')", '무이자/할부 혜택'), ("mp >= 20", '높은 할인율'), ("won >= 50000", '고액 혜택'),
+    {ov.labels(("contains(pool, '무이자') OR contains(pool, '할부')", '무이자/할부 혜택'), ("mp >= 20", '높은 할인율'), ("mwon >= 50000", '고액 혜택'),
       ("contains(pool, '캐시백')", '즉시 체감형 캐시백'), ("contains(pool, '포인트') OR contains(pool, '적립')", '포인트 적립형 혜택'), ("partner", '제휴 파트너 연계'),
       (ov.any_of('pool', VIP_WORDS), '프리미엄 고객 혜택'))} AS pts,
-    {ov.labels(*[(ov.any_of('pool', w), n) for n, w in STRATEGY_RULES], ("partner OR contains(pool, '제휴')", '브랜드 제휴 확장'), ("won >= 50000 OR mp >= 20", '공격적 가격 프로모션'))} AS strat,
+    {ov.labels(*[(ov.any_of('pool', w), n) for n, w in STRATEGY_RULES], ("partner OR contains(pool, '제휴')", '브랜드 제휴 확장'), ("mwon >= 50000 OR mp >= 20", '공격적 가격 프로모션'))} AS strat,
     {ov.labels(*[(ov.any_of("concat_ws(' ', title, nullif(benefit_value, ''), nullif(conditions, ''), nullif(raw_text, ''))", w), n) for n, w in OBJECTIVE_RULES])} AS obj,
     {ov.labels(*[(f"contains(concat_ws(' ', target_segment, conditions), '{t}')", t) for t in TARGET_TAGS])} AS tgt,
     {ov.labels(*[(ov.any_of("concat_ws(' ', nullif(conditions, ''), nullif(raw_text, ''))", w), n) for n, w in CHANNEL_RULES])} AS chn,
@@ -284,8 +284,8 @@ def parsed_responses(spark, base):
     )
 
 
-@query("hybrid_insights", RATED + ", " + ov.RESPONSES.strip() + """SELECT c.id, CASE WHEN ok THEN level ELSE lv END AS benefit_level,
-  CASE WHEN ok THEN CASE level WHEN '높음' THEN 4.0 WHEN '중상' THEN 3.0 WHEN '낮음' THEN 1.0 ELSE 2.0 END ELSE score END::DOUBLE AS benefit_score,
+@query("hybrid_insights", RATED + ", " + ov.RESPONSES.strip() + """SELECT c.id, CASE WHEN ok THEN r.level ELSE lv END AS benefit_level,
+  CASE WHEN ok THEN CASE r.level WHEN '높음' THEN 4.0 WHEN '중상' THEN 3.0 WHEN '낮음' THEN 1.0 ELSE 2.0 END ELSE score END::DOUBLE AS benefit_score,
   CASE WHEN ok THEN 'gemini' ELSE 'rule' END AS source, CASE WHEN ok THEN 0.85 ELSE 0.5 END::DOUBLE AS insight_confidence,
   CASE WHEN ok THEN r.threat ELSE threat_level END AS threat_level, CASE WHEN ok THEN r.event_type ELSE category END AS category,
   CASE WHEN ok THEN 'summary ' || k ELSE one_line_summary END AS one_line_summary,
@@ -299,7 +299,7 @@ def hybrid_insights(spark, base):
     )
 
 
-@query("insight_overlay", RATED + ", " + ov.RESPONSES.strip() + """SELECT c.id, CASE WHEN ok AND level <> '' THEN level ELSE lv END AS benefit_level, clarity AS target_clarity,
+@query("insight_overlay", RATED + ", " + ov.RESPONSES.strip() + """SELECT c.id, CASE WHEN ok AND r.level <> '' THEN r.level ELSE lv END AS benefit_level, clarity AS target_clarity,
   CASE WHEN ok THEN r.threat ELSE threat_level END AS threat_level, CASE WHEN ok THEN 'k' || k ELSE array_to_string(pts, ' | ') END AS competitive_points
   FROM (SELECT * FROM rated) c LEFT JOIN responses r ON r.id = c.id""")
 def insight_overlay(spark, base):
