@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promolens import schemas
 from promolens.functions import amounts, periods, text, urls
+from promolens.functions.rows import computed_once
 from promolens.params import Params
 from promolens.vocabulary import Vocabulary
 
@@ -22,7 +23,8 @@ def build_records(staged: DataFrame, vocab: Vocabulary) -> DataFrame:
     def given(name: str) -> Column:
         return F.col(name) if name in have else F.lit("")
 
-    cleaned = staged.withColumns(
+    cleaned = computed_once(
+        staged,
         {
             "url": urls.normalise_url(F.col("url"), F.col("base_url"), vocab),
             "title": text.clean_title(F.col("title"), vocab),
@@ -32,7 +34,7 @@ def build_records(staged: DataFrame, vocab: Vocabulary) -> DataFrame:
                 name: text.clean_text(given(name))
                 for name in ("benefit_type", "benefit_value", "conditions", "target_segment")
             },
-        }
+        },
     )
     category_source = F.concat_ws(" ", "title", "raw_text")
     threat_source = F.concat_ws(" ", "title", "period", "raw_text")

@@ -18,3 +18,15 @@ def exploded(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
 
 def posexploded(df: DataFrame, keep: list, values: Column, pos: str, name: str) -> DataFrame:
     return df.select(*keep, F.posexplode_outer(values).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Like ``withColumns`` for costly expressions that later filters and joins use.
+
+    A filter on a projected column is pushed below the projection with the whole
+    expression copied into it. A one-item ``inline`` stops that, so the columns
+    are evaluated once per row.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))

@@ -90,12 +90,12 @@ def normalise_url(href: Column, base: Column, vocab: Vocabulary) -> Column:
     def build(url: Column) -> Column:
         scheme = F.lower(F.regexp_extract(url, SPLIT, 1))
         host = F.regexp_extract(url, SPLIT, 2)
-        query = normalise_query(F.regexp_extract(url, SPLIT, 4), vocab)
-        whole = F.concat(
-            scheme, F.lit("://"), host, F.regexp_extract(url, SPLIT, 3),
-            F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+        raw_query = F.regexp_extract(url, SPLIT, 4)
+        query = F.when(raw_query == "", F.lit("")).otherwise(
+            F.regexp_replace(normalise_query(raw_query, vocab), "^(?=.)", "?")
         )
-        return F.when((scheme == "") | (host == ""), F.lit("")).otherwise(whole)
+        whole = F.concat(scheme, F.lit("://"), host, F.regexp_extract(url, SPLIT, 3), query)
+        return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), whole).otherwise(F.lit(""))
 
     def resolve(raw: Column) -> Column:
         bad = (raw == "") | raw.rlike(UNUSABLE)

@@ -49,7 +49,7 @@ def first_lines(spark: SparkSession, base: str) -> DataFrame:
 
 def campaign_texts(spark: SparkSession, base: str) -> DataFrame:
     """Orders as promotion records with text fields only."""
-    orders = table(spark, base, "orders")
+    orders = spread(table(spark, base, "orders"))
     customer = table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, base, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, base, "region").select("r_regionkey", "r_name")
@@ -352,7 +352,7 @@ def promo_pages(spark: SparkSession, base: str) -> DataFrame:
 
 def response_texts(spark: SparkSession, base: str) -> DataFrame:
     """Analysis answers as text: fenced, wrapped in prose, bare or broken."""
-    ev = table(spark, base, "events")
+    ev = spread(table(spark, base, "events"))
     k = props_k()
     level = pick(k % 5, "높음", "중상", "보통", "낮음", "")
     body = F.concat(
