@@ -28,15 +28,14 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from promolens.plans import catalog
+    from promolens.session import tuned
 
     base = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench")
+        tuned(SparkSession.builder.master(f"local[{cpus}]").appName("bench"))
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
-        .config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.queries()
