@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Wide projections compile to methods that the JVM leaves interpreted by default.
-JIT = "-XX:-DontCompileHugeMethods"
-
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.extraJavaOptions", JIT)
-        .config("spark.executor.extraJavaOptions", JIT)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
