@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import functools
 
-from promolens.llm import op2_ngram_jaccard_join, op6_substring_dedup
+from promolens.llm import (
+    op10_toxicity,
+    op2_ngram_jaccard_join,
+    op4_bpe,
+    op5_url_filter,
+    op6_substring_dedup,
+    op7_decontamination,
+    op8_language_id,
+    op9_exact_topk,
+)
 from promolens.llm.ship import ship
 
-MODULES = (op2_ngram_jaccard_join, op6_substring_dedup)
+MODULES = (
+    op10_toxicity, op2_ngram_jaccard_join, op4_bpe, op5_url_filter,
+    op6_substring_dedup, op7_decontamination, op8_language_id, op9_exact_topk,
+)
 
 
 def shipped(fn):

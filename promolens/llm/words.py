@@ -16,6 +16,10 @@ SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+WORD_BLANKS = _SPACE
+#: White space, ASCII punctuation and digits.
+NO_LETTERS = _SPACE.copy()
+NO_LETTERS[33:65] = NO_LETTERS[91:97] = NO_LETTERS[123:128] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for s in (11, 12)]
@@ -73,12 +77,12 @@ def sliced(table, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tu
 class Words:
     """Words of consecutive rows: byte spans ``start``/``end`` and ``first[i]:first[i+1]`` as the words of row i."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, blank: np.ndarray = WORD_BLANKS):
         self.data, self.off = text_bytes(column)
         if lower:
             self.data = _LOWER[self.data]
         data, off = self.data, self.off
-        solid = ~_SPACE[data]
+        solid = ~blank[data]
         begin, end = solid.copy(), solid.copy()
         if len(data):
             begin[1:] &= ~solid[:-1]
@@ -93,13 +97,22 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    def hashes(self, seed: int = 0, heads: tuple = ()) -> np.ndarray:
+        """Hash of each word. With ``heads`` also of the words' first k bytes, for each k: a list of such arrays;
+        shorter words have their own hash there."""
         n = len(self.data)
         up, down = powers(seed, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[seed][self.data] * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+        def of(end, salt=0):
+            h = (total[end] - total[self.start]) * down[self.start]
+            return mix(h + (end - self.start).astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(salt))
+
+        own = of(self.end)
+        if not heads:
+            return own
+        return [own, *(np.where(self.end - self.start > k, of(np.minimum(self.end, self.start + k), k), own) for k in heads)]
 
     def windows(self, h: np.ndarray, w: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``w`` words within one row, in order."""
