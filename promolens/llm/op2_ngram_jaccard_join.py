@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.llm import exchange as X
@@ -240,5 +240,18 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest doc_id of each group; of rows that repeat a doc_id the first
+    by text stays, rows without doc_id all stay."""
+    groups = similar_groups(docs, n, percent)
+    keep = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "keep")
+    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi")
+    if keep.where("rows > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy("text")
+        again = docs.join(keep.where("rows > 1"), "doc_id", "left_semi").select(F.struct("*").alias("row"), F.row_number().over(order).alias("place"))
+        kept = kept.unionByName(again.where("place = 1").select("row.*"))
+    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_ngram_jaccard_join(spark, base: str) -> DataFrame:
     return similar_groups(table(spark, base, "documents"), n=4, percent=85)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promolens.llm import hashed_sample as S
 from promolens.llm.staging import table
 from promolens.llm.words import U, Words, mix, sliced
 
@@ -91,8 +92,8 @@ class Index:
         return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment of every pair at ``percent`` or more."""
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with ``leaks``: array of (item_id, n_item, n_shared, containment) at ``percent`` or more."""
 
     def sets(batches):
         for batch in batches:
@@ -105,31 +106,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80)
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct().mapInArrow(sets, "item_id long, grams binary").where("length(grams) > 0")
     total = items.agg(F.sum(F.length("grams"))).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK))
-    spark, out = docs.sparkSession, None
+    sc, names = docs.sparkSession.sparkContext, []
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        if not rows:
-            continue
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], np.frombuffer(r[1], np.uint64)) for r in rows), key=lambda x: (x[0], x[1].tobytes())), percent))
-
-        def search(batches, index=index):
-            for batch in batches:
-                for a, b in sliced(batch):
-                    part = batch.slice(a, b - a)
+        own = sorted(((r[0], np.frombuffer(r[1], np.uint64)) for r in rows), key=lambda x: (x[0], x[1].tobytes()))
+        index = sc.broadcast(Index(own, percent) if own else None)
+
+        def work(index=index):
+            def do(part):
+                found: list[list] = [[] for _ in range(part.num_rows)]
+                if index.value:
                     h, first = gram_sets(part.column("text"), n)
-                    got = index.value.found(h, np.repeat(np.arange(b - a), np.diff(first)))
-                    at = pa.array([g[0] for g in got], pa.int64())
-                    size = [len(index.value.sets[g[1]]) for g in got]
-                    yield pa.record_batch([
-                        part.column("doc_id").take(at), pa.array([index.value.ids[g[1]] for g in got], pa.int64()), pa.array(size, pa.int64()),
-                        pa.array([g[2] for g in got], pa.int64()), pa.array([g[2] / s for g, s in zip(got, size)], pa.float64())],
-                        names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-
-        found = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long, containment double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
-    return out
+                    for row, i, shared in index.value.found(h, np.repeat(np.arange(part.num_rows), np.diff(first))):
+                        size = len(index.value.sets[i])
+                        found[row].append({"item_id": index.value.ids[i], "n_item": size, "n_shared": shared, "containment": shared / size})
+                return [pa.array(found, kind)]
+
+            return do
+
+        names.append(f"leaks_{k}" if blocks > 1 else "leaks")
+        docs = S.scored(docs, f"{names[-1]} array<struct<item_id:bigint,n_item:bigint,n_shared:bigint,containment:double>>", work)
+    if blocks > 1:
+        docs = docs.withColumn("leaks", F.concat(*names)).drop(*names)
+    return docs
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment of every pair."""
+    return marked(docs.select("doc_id", "text"), benchmark, n, percent).select("doc_id", F.inline("leaks"))
 
 
 def op7_decontamination(spark, base: str) -> DataFrame:

@@ -6,7 +6,9 @@ import functools
 
 from promolens.llm import (
     op10_toxicity,
+    op1_training_order,
     op2_ngram_jaccard_join,
+    op3_chat_format,
     op4_bpe,
     op5_url_filter,
     op6_substring_dedup,
@@ -17,8 +19,9 @@ from promolens.llm import (
 from promolens.llm.ship import ship
 
 MODULES = (
-    op10_toxicity, op2_ngram_jaccard_join, op4_bpe, op5_url_filter,
-    op6_substring_dedup, op7_decontamination, op8_language_id, op9_exact_topk,
+    op1_training_order, op2_ngram_jaccard_join, op3_chat_format, op4_bpe,
+    op5_url_filter, op6_substring_dedup, op7_decontamination, op8_language_id,
+    op9_exact_topk, op10_toxicity,
 )
 
 
@@ -31,8 +34,16 @@ def shipped(fn):
     return run
 
 
+def pipeline(spark, base: str):
+    """The stages of corpus_pipeline.py at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, base)
+
+
 def queries() -> dict:
-    return {name: shipped(getattr(m, name)) for m in MODULES for name in [m.__name__.rpartition(".")[2]]}
+    single = {name: shipped(getattr(m, name)) for m in MODULES for name in [m.__name__.rpartition(".")[2]]}
+    return single | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
