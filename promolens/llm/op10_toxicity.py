@@ -6,9 +6,9 @@ and the first 4, 5 and 6 bytes of longer ones (inflected forms share them), hash
 ``MIN_DOCS`` sample texts, whose shares among the two labels differ by ``LEAST_Z`` standard errors, are known.
 
 The model is fitted on a bounded sample of labelled rows outside the held-out fold: at most ``POSITIVES`` and
-``NEGATIVES`` documents in an order of hashed ids. Only the sample's terms reach the driver, only the model the
-tasks. Null or empty text: the score of no term. Labels that are null are left out, of several per doc_id the
-highest counts. Without a labelled row all scores are 0.
+``NEGATIVES`` documents in an order of hashed ids. The sample's terms meet in one task; only the model
+reaches the driver and the other tasks. Null or empty text: the score of no term. Labels that are null are left out, of several per doc_id the
+highest counts. Without a labelled row to learn from all scores are (almost) 0.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class Model:
         h, first = terms(column)
         n = len(first) - 1
         if not len(self.known):
-            return np.zeros(n)
+            return np.full(n, sigmoid(self.bias))
         row, found = np.repeat(np.arange(n), np.diff(first)), []
         for kind in h:
             i = np.minimum(np.searchsorted(self.known, kind), len(self.known) - 1)
@@ -80,7 +80,7 @@ def fit(texts: list[np.ndarray], label: np.ndarray) -> Model:
     z = (bad / max(n1, 1) - (count - bad) / max(n - n1, 1)) / spread
     known = every[(count >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)]
     if not len(known) or not len(label):
-        return Model(np.zeros(0, np.uint64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return Model(np.zeros(0, np.uint64), -35.0, np.zeros(0), np.zeros((0, FACTORS)))
     i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
     hit = known[i] == flat
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[hit]
@@ -132,8 +132,18 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.record_batch([part.column("doc_id"), part.column("toxic"), pa.array(bags, pa.binary())], names=["doc_id", "toxic", "bag"])
 
     bags = rows.mapInArrow(run, "doc_id long, toxic int, bag binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("bag").alias("bag"))
-    got = sorted(bags.collect(), key=lambda r: r[0])
-    return fit([np.frombuffer(r[2], np.uint64) for r in got], np.array([r[1] for r in got], float))
+
+    def train(t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc_id")
+        m = fit([np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("bag")], np.asarray(t.column("toxic")).astype(float))
+        return pa.table({"bias": [m.bias], "parts": pa.array([[x.tobytes() for x in (m.known, m.weight, m.factor)]], pa.list_(pa.binary()))})
+
+    # the bounded sample is one task; the driver gets the model only
+    got = bags.groupBy(F.lit(0).alias("all")).applyInArrow(train, "bias double, parts array<binary>").collect()
+    if not got:
+        return fit([], np.zeros(0))
+    known, weight, factor = (np.frombuffer(x, kind) for x, kind in zip(got[0][1], (np.uint64, float, float)))
+    return Model(known, got[0][0], weight, factor.reshape(-1, FACTORS))
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
