@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from promolens.llm.words import U
 
-GROUP_BYTES = 6 << 20
-BUCKET_ENTRIES = 1_500_000
+GROUP_BYTES = 4 << 20
+BUCKET_ENTRIES = 1_000_000
 REQUEST = "g long, bucket int, res binary, extra binary"
 ANSWER = "g long, bucket int, res binary, val binary"
 
@@ -63,6 +63,7 @@ def answered(requests: DataFrame, kind: str, rule: Callable) -> DataFrame:
         parts = [np.frombuffer(x, kind) for x in rows.column("res").to_pylist()]
         extra = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("extra").to_pylist()])
         distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        inverse = inverse.astype(np.int32)
         keep, value = rule(inverse, extra, len(distinct))
         res, val, at = [], [], 0
         for p in parts:

@@ -70,21 +70,21 @@ def sigmoid(x):
 
 def fit(texts: list[np.ndarray], label: np.ndarray) -> Model:
     """AdaGrad on the logistic loss; ``texts``: distinct terms of each sample row."""
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    every, slot = np.unique(flat, return_inverse=True)
-    count = np.bincount(slot)
-    bad = np.bincount(slot, weights=np.repeat(label, [len(t) for t in texts])) if len(flat) else count
+    every, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_counts=True)
+    own, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for t, y in zip(texts, label) if y)]), return_counts=True)
+    bad = np.zeros(len(every), np.int64)
+    bad[np.searchsorted(every, own)] = times
     n, n1 = max(len(label), 1), label.sum()
     p = count / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
     z = (bad / max(n1, 1) - (count - bad) / max(n - n1, 1)) / spread
     known = every[(count >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)]
+    del every, count, own, times, bad, p, spread, z
     if not len(known) or not len(label):
         return Model(np.zeros(0, np.uint64), -35.0, np.zeros(0), np.zeros((0, FACTORS)))
-    i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    hit = known[i] == flat
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[hit]
-    feature = i[hit]
+    there = [np.searchsorted(known, t[np.isin(t, known, assume_unique=True)]) for t in texts]
+    feature = np.concatenate(there)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in there])
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     rng = np.random.default_rng(7)
     rate = np.clip(label.mean(), 1e-3, 1 - 1e-3)

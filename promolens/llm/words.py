@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,6 +72,7 @@ def sliced(table, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tu
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
