@@ -60,7 +60,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and whether they decode to them."""
     ship(spark)
     path = bpe.vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"), "ids")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from promolens.llm.staging import table
 from promolens.llm.words import sliced, text_bytes
 
-CACHE_SYMBOLS = 3_000_000
+CACHE_SYMBOLS, SLICE = 600_000, 1 << 19
 #: The pre-tokenisation of the vocabulary, with letters L and other characters O.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?\p{N}+| ?O+|\s+(?!\S)|\s+"
 
@@ -167,10 +167,11 @@ def merged(sym: np.ndarray, lens: np.ndarray, t: dict) -> tuple[np.ndarray, np.n
     return np.concatenate(out_sym)[order], np.bincount(word, minlength=len(lens))
 
 
-def _appended(df: DataFrame, source: str, result: str, kind: T.DataType, work) -> DataFrame:
-    """``work(column) -> Arrow array`` of a slice as a further column; one of that name is replaced."""
-    names = [c for c in df.columns if c != result]
-    schema = T.StructType([T.StructField("source", df.schema[source].dataType), T.StructField("rest", T.StructType([df.schema[c] for c in names])), T.StructField("result", kind)])
+def _appended(df: DataFrame, source: str, results: dict[str, T.DataType], work) -> DataFrame:
+    """``work()(column) -> list of Arrow arrays`` of a slice as further columns; those of their names are replaced."""
+    names = [c for c in df.columns if c not in results]
+    fields = [T.StructField(f"result_{i}", kind) for i, kind in enumerate(results.values())]
+    schema = T.StructType([T.StructField("rest", T.StructType([df.schema[c] for c in names])), *fields])
     packed = df.select(F.col(f"`{source}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"))
 
     def run(batches):
@@ -178,56 +179,82 @@ def _appended(df: DataFrame, source: str, result: str, kind: T.DataType, work) -
         for batch in batches:
             for a, b in do.ranges(batch):
                 part = batch.slice(a, b - a)
-                yield pa.record_batch([part.column("source"), part.column("rest"), do(part.column("source"))], names=["source", "rest", "result"])
+                yield pa.record_batch([part.column("rest"), *do(part.column("source"))], names=schema.names)
 
-    return packed.mapInArrow(run, schema).select(*[F.col(f"rest.`{c}`").alias(c) for c in names], F.col("result").alias(result))
+    return packed.mapInArrow(run, schema).select(
+        *[F.col(f"rest.`{c}`").alias(c) for c in names], *[F.col(f.name).alias(name) for f, name in zip(fields, results)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the column ``ids`` (array of int)."""
-    tables = df.sparkSession.sparkContext.broadcast(load(path))
+def decoded(column: pa.Array, t: dict) -> pa.Array:
+    """Texts of an array of id lists."""
+    n = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    flat = np.asarray(column.flatten().fill_null(-1)).astype(np.int64)
+    known = (flat >= 0) & (flat < t["size"])
+    flat = np.where(known, flat, 0)
+    lens = np.where(known, t["len"][flat], 0)
+    data = gathered(t["bytes"], t["at"][flat], lens).tobytes()
+    off = np.r_[0, np.cumsum(lens)][np.r_[0, np.cumsum(n)]]
+    null = np.asarray(column.is_null().to_numpy(zero_copy_only=False))
+    return pa.array([None if x else data[a:b].decode("utf-8", "replace") for x, a, b in zip(null, off[:-1].tolist(), off[1:].tolist())], pa.string())
+
+
+class _Encode:
+    def __init__(self, tables):
+        self.encoder = Encoder(tables)
+
+    def ranges(self, batch):
+        return sliced(batch, "source", SLICE)
+
+    def __call__(self, column) -> list[pa.Array]:
+        flat, off = self.encoder.encode(column)
+        return [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))]
+
+
+class _Decode:
+    def __init__(self, tables):
+        self.tables = tables
+
+    def ranges(self, batch):
+        n = np.asarray(batch.column("source").value_lengths().fill_null(0))
+        total, a = np.r_[0, np.cumsum(n)], 0
+        while a < len(n):
+            b = min(len(n), max(a + 1, int(np.searchsorted(total, total[a] + SLICE, "right")) - 1))
+            yield a, b
+            a = b
 
-    class Work:
-        def __init__(self):
-            self.encoder = Encoder(tables.value)
+    def __call__(self, column) -> list[pa.Array]:
+        return [decoded(column, self.tables)]
 
-        def ranges(self, batch):
-            return sliced(batch, "source")
 
-        def __call__(self, column):
-            flat, off = self.encoder.encode(column)
-            return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))
+class _Both(_Encode):
+    def __call__(self, column) -> list[pa.Array]:
+        ids, = super().__call__(column)
+        return [ids, decoded(ids, self.encoder.t)]
 
-    return _appended(df, text, ids, T.ArrayType(T.IntegerType()), Work)
+
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _tables(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast(load(path))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the column ``ids`` (array of int)."""
+    tables = _tables(df, path)
+    return _appended(df, text, {ids: IDS}, lambda: _Encode(tables.value))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the column ``text`` of what ``ids`` stand for."""
-    tables = df.sparkSession.sparkContext.broadcast(load(path))
-
-    class Work:
-        def ranges(self, batch):
-            n = np.asarray(batch.column("source").value_lengths().fill_null(0))
-            total, a = np.r_[0, np.cumsum(n)], 0
-            while a < len(n):
-                b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 20), "right")) - 1)
-                yield a, min(b, len(n))
-                a = min(b, len(n))
-
-        def __call__(self, column):
-            t = tables.value
-            n = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-            flat = np.asarray(column.flatten().fill_null(-1)).astype(np.int64)
-            known = (flat >= 0) & (flat < t["size"])
-            flat = np.where(known, flat, 0)
-            lens = np.where(known, t["len"][flat], 0)
-            data = gathered(t["bytes"], t["at"][flat], lens).tobytes()
-            off = np.r_[0, np.cumsum(lens)][np.r_[0, np.cumsum(n)]]
-            null = np.asarray(column.is_null().to_numpy(zero_copy_only=False))
-            raw = [None if x else data[a:b] for x, a, b in zip(null, off[:-1].tolist(), off[1:].tolist())]
-            return pa.array([r if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())
-
-    return _appended(df, ids, text, T.StringType(), Work)
+    tables = _tables(df, path)
+    return _appended(df, ids, {text: T.StringType()}, lambda: _Decode(tables.value))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass over the rows."""
+    tables = _tables(df, path)
+    return _appended(df, text, {ids: IDS, back: T.StringType()}, lambda: _Both(tables.value))
 
 
 def vocabulary() -> str:
@@ -239,7 +266,7 @@ def vocabulary() -> str:
 def op4_bpe(spark, base: str) -> DataFrame:
     path = vocabulary()
     docs = table(spark, base, "documents").select("doc_id", "text")
-    return decode(encode(docs, path).drop("text"), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
