@@ -176,7 +176,7 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # equal sets are one node: its smallest doc_id
     cand = rows.where("tokens is not null and doc_id is not null")
     nodes = stage(cand.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("mult")), "nodes")
-    lead = cand.withColumnRenamed("doc_id", "id").join(nodes, ["n", "s1", "s2", "id"])
+    lead = cand.withColumnRenamed("doc_id", "id").join(nodes, ["n", "s1", "s2", "id"]).dropDuplicates(["n", "s1", "s2", "id"])
     # clusters by shared first-order prefix tokens
     seen = lead.select("id", F.explode("a").alias("token"))
     least = stage(seen.groupBy("token").agg(F.min("id").alias("m"), F.max("id").alias("top")).where("m < top").drop("top"), "least")

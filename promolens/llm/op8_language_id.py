@@ -126,6 +126,8 @@ def learned(docs: DataFrame) -> Model:
     bags = rows.mapInArrow(run, "doc_id long, lang string, words binary, count binary")
     got = bags.groupBy("doc_id", "lang").agg(F.max(F.struct("words", "count")).alias("bag")).select("lang", "bag.*").collect()
     langs = sorted({r[0] for r in got})
+    if not langs:
+        return Model([], (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)), [])
     total: dict[tuple[int, bytes], int] = {}
     for lang, words, count in got:
         k = langs.index(lang)
