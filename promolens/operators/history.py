@@ -40,7 +40,12 @@ def latest_insight(insights: DataFrame) -> DataFrame:
 
 
 def replace_insights(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """New insight rows take the place of stored ones with the same promotion and source."""
+    """New insight rows take the place of stored ones with the same promotion and source.
+
+    Of several new rows for one promotion and source the newest stays.
+    """
+    age = [F.desc(c) for c in ("generated_at", "id") if c in fresh.columns]
+    fresh = first_seen(fresh, ["event_id", "source"], age) if age else fresh
     known = [c for c in fresh.columns if c in stored.columns]
     kept = stored.join(fresh.select("event_id", "source").distinct(), ["event_id", "source"], "left_anti")
     return kept.unionByName(fresh.select(*known), allowMissingColumns=True)
@@ -177,11 +182,8 @@ def lock_state(commands: DataFrame) -> DataFrame:
     """Current lock per promotion from lock and unlock commands; the last one wins."""
     last = first_seen(commands, ["event_id"], [F.desc("locked_at"), F.desc("seq")])
     held = F.col("is_locked")
-    return last.select(
-        "event_id", "is_locked",
-        F.when(held, F.col("locked_by")).alias("locked_by"),
-        F.when(held, F.col("locked_at")).alias("locked_at"),
-    )
+    kept = [c for c in ("locked_by", "locked_at", "lock_reason") if c in commands.columns]
+    return last.select("event_id", "is_locked", *[F.when(held, F.col(c)).alias(c) for c in kept])
 
 
 def apply_locks(stored: DataFrame, commands: DataFrame) -> DataFrame:
