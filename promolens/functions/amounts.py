@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promolens.functions.text import blank_to_null
+from promolens.functions.text import blank_to_null, wide
 from promolens.vocabulary import FIVE_LEVEL_LOWEST, FIVE_LEVELS
 
 # fixed values: the accepted shapes
 STORED_AMOUNT = r"(\d+)(만|천)?원"
 STORED_PCT = r"(\d+(?:\.\d+)?)%"
-TEXT_AMOUNT = r"(\d[\d,]{0,8})\s*(만|천)?\s*원"
-TEXT_PCT = r"(\d{1,3}(?:\.\d+)?)\s*(?:%|％|퍼센트)"
+TEXT_AMOUNT = wide(r"(\d[\d,]{0,8})\s*(만|천)?\s*원")
+TEXT_PCT = wide(r"(\d{1,3}(?:\.\d+)?)\s*(?:%|％|퍼센트)")
 
 
 def _unit(text: Column) -> Column:
@@ -40,7 +40,7 @@ def benefit_pct(c: Column) -> Column:
 def all_amounts(c: Column) -> Column:
     """All amounts of a text without inner blanks, ordered and distinct."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TEXT_AMOUNT), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, r"\s", "")))
+    return F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, wide(r"\s"), "")))
 
 
 def all_percentages(c: Column) -> Column:

@@ -9,40 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promolens.functions.text import WS, blank_to_null, clean_text
+from promolens.functions.text import WS, blank_to_null, clean_text, wide
 from promolens.vocabulary import NO_INFO
 
 # fixed values: the accepted range shapes
-STORED_RANGE = (
+STORED_RANGE = wide(
     r"(\d{2,4})[./-](\d{1,2})[./-](\d{1,2})\s*(?:~|～|-|–)\s*"
     r"(\d{2,4})[./-](\d{1,2})[./-](\d{1,2})"
 )
-LIST_RANGE = (
+LIST_RANGE = wide(
     r"(\d{2,4})[./-](\d{1,2})[./-](\d{1,2})\s*(?:~|∼|～|-|–)\s*"
     r"(\d{1,4})[./-](\d{1,2})[./-](\d{1,2})"
 )
-PAGE_RANGE_FULL = (
+PAGE_RANGE_FULL = wide(
     r"(\d{2,4})[./-]\s*(\d{1,2})[./-]\s*(\d{1,2})\s*(?:\([^)]*\))?\s*(?:~|～|-|–|∼)\s*"
     r"(\d{2,4})[./-]\s*(\d{1,2})[./-]\s*(\d{1,2})"
 )
-PAGE_RANGE_SHORT_END = (
+PAGE_RANGE_SHORT_END = wide(
     r"(\d{2,4})[./-]\s*(\d{1,2})[./-]\s*(\d{1,2})\s*(?:\([^)]*\))?\s*(?:~|～|-|–|∼)\s*"
     r"(\d{1,2})[./-]\s*(\d{1,2})"
 )
-PAGE_RANGE_KOREAN = (
+PAGE_RANGE_KOREAN = wide(
     r"(\d{2,4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일?\s*(?:~|～|-|–|∼|부터)\s*"
     r"(\d{2,4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일?"
 )
-BLOCK_RANGE = (
+BLOCK_RANGE = wide(
     r"(\d{2,4}[./-]\d{1,2}[./-]\d{1,2})\s*(?:~|∼|～|-|–)\s*(\d{2,4}[./-]\d{1,2}[./-]\d{1,2})"
 )
-WEEKDAY_RANGE = (
+WEEKDAY_RANGE = wide(
     r"(\d{4}\.\d{1,2}\.\d{1,2})(?:\([^)]*\))?\s*(?:~|∼|～|-|–)\s*"
     r"(\d{1,4}\.\d{1,2}\.\d{1,2})(?:\([^)]*\))?"
 )
 STRICT_RANGE = r"20\d{2}\.\d{2}\.\d{2}~20\d{2}\.\d{2}\.\d{2}"
 STRICT_RANGE_OR_DASH = r"20\d{2}\.\d{2}\.\d{2}[~\-]20\d{2}\.\d{2}\.\d{2}"
-TRAILING_DATE = r"(\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2})\s*$"
+TRAILING_DATE = wide(r"(\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2})\s*$")
 
 
 def _rewrite(text: Column, pattern: str, template: str) -> Column:

@@ -29,7 +29,7 @@ def build_records(staged: DataFrame, vocab: Vocabulary) -> DataFrame:
             "url": urls.normalise_url(F.col("url"), F.col("base_url"), vocab),
             "title": text.clean_title(F.col("title"), vocab),
             "period": periods.canonical_period(given("period")),
-            "raw_text": F.substring(text.clean_text(given("raw_text")), 1, 800),
+            "raw_text": text.clean_text(given("raw_text")),
             **{
                 name: text.clean_text(given(name))
                 for name in ("benefit_type", "benefit_value", "conditions", "target_segment")
@@ -108,10 +108,10 @@ def merge_extracted(extracted: DataFrame, existing: DataFrame, params: Params) -
     return derive_fields(merged, params.as_of)
 
 
-def search_blob(raw_chars: int = 600) -> Column:
+def search_blob() -> Column:
     names = ("title", "category", "benefit_value", "conditions", "target_segment", "one_line_summary")
     cols = [F.coalesce(F.col(n), F.lit("")) for n in names]
-    return F.concat_ws(" ", *cols, F.substring(F.coalesce(F.col("raw_text"), F.lit("")), 1, raw_chars))
+    return F.concat_ws(" ", *cols, F.coalesce(F.col("raw_text"), F.lit("")))
 
 
 def visible(params: Params) -> Column:

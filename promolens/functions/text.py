@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from promolens.vocabulary import Rules, Vocabulary
 
 WS = r"(?U)\s+"
+#: Any white space, as a class that leaves digits and letters of a pattern alone.
+BLANK = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # fixed values: every character that counts as white space at the edges of a text
 EDGE_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -18,6 +20,11 @@ EDGE_CHARS = (
 )
 
 
+def wide(pattern: str) -> str:
+    """``pattern`` with ``\\s`` for any white space instead of the ASCII kinds."""
+    return pattern.replace(r"\s", BLANK)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -111,8 +118,7 @@ def is_meaningful(title: Column, period: Column, vocab: Vocabulary) -> Column:
 
 
 def comparison_key(c: Column) -> Column:
-    compact = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z가-힣]", ""))
-    return F.substring(compact, 1, 140)
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z가-힣]", ""))
 
 
 def _alternatives(words) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions import amounts, periods, records, text
-from promolens.functions.rows import exploded
+from promolens.functions.rows import computed_once, exploded
 from promolens.operators.ranking import first_per_group, ranked_list, top_values, value_counts
 from promolens.params import Params
 from promolens.vocabulary import (
@@ -207,7 +207,8 @@ def header_kpis(events: DataFrame, overview: DataFrame, params: Params) -> DataF
 
 def weekly_trend(events: DataFrame, since: dt.date, until: dt.date) -> DataFrame:
     """Starts and ends per week. Rows without a start date do not take part."""
-    marks = events.where(F.col("period_start").isNotNull()).select(
+    dated = computed_once(events, {c: F.col(c) for c in ("period_start", "period_end")})
+    marks = dated.where(F.col("period_start").isNotNull()).select(
         F.explode(
             F.array(
                 F.struct(F.lit("s").alias("kind"), F.col("period_start").alias("day")),
@@ -367,6 +368,7 @@ def weeks_covered(rows: DataFrame, params: Params) -> DataFrame:
     back_to_end = F.ceil(F.date_diff(as_of, F.col("period_end")) / 7)
     low = F.greatest(F.lit(last) - back_to_start, F.lit(0)).cast("int")
     high = F.least(F.lit(last) - back_to_end, F.lit(last)).cast("int")
+    rows = computed_once(rows, {c: F.col(c) for c in ("period_start", "period_end")})
     return (
         rows.where(F.col("period_start").isNotNull() & F.col("period_end").isNotNull())
         .withColumns({"_low": low, "_high": high})

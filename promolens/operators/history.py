@@ -6,20 +6,16 @@ changes to the next version; ``storage.write_version`` puts it under a new path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions import text
 from promolens.functions.rows import posexploded
 from promolens.operators.ranking import first_seen, with_previous
 
+# fixed values: order of sources, fields open to edits
 SOURCE_PRIORITY = ("gemini", "hybrid", "rule")
 EDITABLE = ("title", "period", "benefit_value", "benefit_type", "conditions", "target_segment", "category")
-INSIGHT_COLUMNS = (
-    "benefit_level", "benefit_score", "target_clarity", "objective_tags", "target_tags", "channel_tags",
-    "competitive_points", "promo_strategies", "evidence", "threat_level", "threat_reason",
-    "marketing_takeaway", "insight_confidence", "section_coverage",
-)
 
 
 # ---- insights ---------------------------------------------------------------------
@@ -53,7 +49,7 @@ def replace_insights(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 # ---- sections ----------------------------------------------------------------------
 
-def section_rows(contents: DataFrame, sections: Column, order, limit_chars: int = 2000) -> DataFrame:
+def section_rows(contents: DataFrame, sections: Column, order) -> DataFrame:
     """Section map to rows with a running ``sort_order`` inside each promotion.
 
     Sections follow ``order``; blank items are skipped before numbering. The
@@ -64,7 +60,7 @@ def section_rows(contents: DataFrame, sections: Column, order, limit_chars: int
         return F.transform(
             F.filter(texts, lambda v: v.isNotNull() & (v != "")),
             lambda v: F.struct(
-                F.lit(name).alias("section_type"), F.substring(v, 1, limit_chars).alias("content")
+                F.lit(name).alias("section_type"), v.alias("content")
             ),
         )
 
@@ -117,9 +113,16 @@ def manual_edits(events: DataFrame, edits: DataFrame) -> DataFrame:
     """Audit rows of an edit batch: only allowed fields whose text really changes.
 
     ``edits`` has one row per (event_id, field_name, new_value, editor, reason,
-    edited_at). Null and empty text count as equal.
+    edited_at) and may have ``seq``, which orders edits of one moment (without it, or if
+    it is equal too, their values do). Each edit is compared with
+    the value that the edits before it left; a null never clears a field. Null and empty text count as equal.
     """
-    current = events.select(
+    order = [c for c in ("edited_at", "seq") if c in edits.columns]
+    before = Window.partitionBy("event_id", "field_name").orderBy(*order, "new_value").rowsBetween(Window.unboundedPreceding, -1)
+    edits = edits.where(F.col("field_name").isin(*EDITABLE))
+    edits = edits.withColumn("_left", F.last("new_value", ignorenulls=True).over(before))
+    touched = edits.select(F.col("event_id").alias("id")).distinct()
+    current = events.join(touched, "id", "left_semi").select(
         F.col("id").alias("event_id"),
         F.explode(
             F.array(
@@ -127,25 +130,25 @@ def manual_edits(events: DataFrame, edits: DataFrame) -> DataFrame:
             )
         ).alias("f"),
     ).select("event_id", "f.field_name", "f.old_value")
-    joined = edits.where(F.col("field_name").isin(*EDITABLE)).join(current, ["event_id", "field_name"])
-    old, new = F.col("old_value"), F.col("new_value")
+    joined = edits.join(current, ["event_id", "field_name"])
+    old, new = F.coalesce("_left", "old_value"), F.col("new_value")
     changed = F.coalesce(old, F.lit("")) != F.coalesce(new, F.lit(""))
     return joined.where(changed).select(
-        "event_id", "field_name", F.substring(old, 1, 2000).alias("old_value"),
-        F.substring(new, 1, 2000).alias("new_value"), "editor", "edited_at", "reason",
+        "event_id", "field_name", old.alias("old_value"), new.alias("new_value"), "editor", "reason", *order,
     )
 
 
 def edit_updates(audit: DataFrame) -> DataFrame:
-    """Audit rows to one update row per promotion; the last edit of a field wins.
+    """Audit rows to one update row per promotion; the last edit of a field that gives a value wins.
 
     Each field reduces to one value with ``max_by``, which merges map-side.
     """
+    order = F.struct(*[c for c in ("edited_at", "seq") if c in audit.columns], "new_value")
     return audit.groupBy("event_id").agg(
         *[
             F.max_by(
                 F.when(F.col("field_name") == f, F.col("new_value")),
-                F.when(F.col("field_name") == f, F.col("edited_at")),
+                F.when((F.col("field_name") == f) & F.col("new_value").isNotNull(), order),
             ).alias(f)
             for f in EDITABLE
         ]
@@ -224,7 +227,7 @@ def job_state(transitions: DataFrame) -> DataFrame:
         F.max_by("status", order).alias("status"),
         F.count_if(F.col("status") == "failed").alias("retry_count"),
         F.max_by(
-            F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.substring("error", 1, 2000)),
+            F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error")),
             F.when(F.coalesce(F.col("error"), F.lit("")) != "", order),
         ).alias("last_error"),
         F.min("at").alias("started_at"),

@@ -50,7 +50,9 @@ def insert_if_new(batch: DataFrame, stored: DataFrame, order: list[Column], para
 
 
 def limit_per_company(batch: DataFrame, order: list[Column], params: Params) -> DataFrame:
-    """The first records of each company in arrival order, as many as a run takes."""
+    """The first records of each company in arrival order, if the run has a limit; all of them otherwise."""
+    if params.ingest_limit_per_company is None:
+        return batch
     return first_per_group(batch, ["company"], order, params.ingest_limit_per_company, "_rn").drop("_rn")
 
 

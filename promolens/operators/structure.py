@@ -15,7 +15,7 @@ from promolens.functions.text import let
 from promolens.vocabulary import Vocabulary
 
 NO_TEXTS = "array<string>"
-MIN_LINE, MAX_LINE, MENU_LINE = 6, 700, 35
+MIN_LINE, MENU_LINE = 6, 35
 SECTION_TEXT, SECTION_INSERT, SECTION_KEEP = 500, 30, 25
 FEW_LINES = 40
 
@@ -50,7 +50,7 @@ def candidate_lines(raw: Column, vocab: Vocabulary) -> Column:
 
     def keep(c: Column) -> Column:
         menu = text.contains_any(c, vocab.menu_words) & (F.length(c) <= MENU_LINE)
-        return F.length(c).between(MIN_LINE, MAX_LINE) & ~menu & _usable(c, vocab)
+        return (F.length(c) >= MIN_LINE) & ~menu & _usable(c, vocab)
 
     chunks = F.filter(F.flatten(F.transform(lines, expand)), keep)
     return text.distinct_by_key(chunks, text.comparison_key)
@@ -232,7 +232,7 @@ def sections(df: DataFrame, vocab: Vocabulary, lines: str, block_sources: list[s
 HIDDEN_ELEMENTS = ("script", "style", "nav", "footer")
 
 
-def page_texts(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None, raw_chars: int = 8000) -> DataFrame:
+def page_texts(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None) -> DataFrame:
     """Visible text, blocks and candidate lines of each page.
 
     ``rendered`` names an optional column with browser text. It leads, and the
@@ -256,7 +256,7 @@ def page_texts(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None,
             .otherwise(r),
         )
     found = texts.withColumn("_lines", candidate_lines(source, vocab))
-    cut = found.withColumn("raw_text", F.substring(F.array_join("_lines", "\n"), 1, raw_chars))
+    cut = found.withColumn("raw_text", F.array_join("_lines", "\n"))
     return cut.withColumns(
         {"lines": candidate_lines(F.col("raw_text"), vocab), "full_lines": candidate_lines(F.col("full_text"), vocab)}
     ).withColumnRenamed("_html", "bare_html").withColumnRenamed("_lines", "page_lines")

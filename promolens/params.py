@@ -19,7 +19,7 @@ class Params:
     focal_match: str = "eq"  # "eq" on stored data, "contains" for the dashboard variant
     vocab: Vocabulary = field(default_factory=Vocabulary)
 
-    ingest_limit_per_company: int = 200
+    ingest_limit_per_company: int | None = None  # None takes every row
     benchmark_items: int = 20
     gap_rival_items: int = 10
     gap_weeks: int = 8

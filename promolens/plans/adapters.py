@@ -304,8 +304,8 @@ def edits(spark: SparkSession, base: str) -> DataFrame:
     return turns.join(before, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("event_id"),
         field.alias("field_name"),
-        F.substring("old_value", 1, 2000).alias("old_value"),
-        F.substring("text", 1, 2000).alias("new_value"),
+        F.col("old_value"),
+        F.col("text").alias("new_value"),
         F.col("role").alias("editor"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 86400 + F.col("turn") * 60)
         .cast("timestamp_ntz").alias("edited_at"),

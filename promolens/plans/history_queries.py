@@ -139,18 +139,20 @@ def _edit_batch(spark, base):
         ad.pick(F.col("l_linenumber") % 4, "title", "category", "benefit_value", "url").alias("field_name"),
         F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "N", F.col("l_shipdate").cast("string")).alias("new_value"),
         F.col("l_linestatus").alias("editor"), F.col("l_shipdate").alias("edited_at"), F.lit("fix").alias("reason"),
+        F.col("l_linenumber").alias("seq"),
     )
 
 
 @query("manual_edits", C + f"""SELECT event_id, field_name, old_value, new_value, editor, {TS.format('edited_at')} AS edited_at FROM (
-  SELECT c.id AS event_id, e.f AS field_name, CASE e.f WHEN 'title' THEN c.title WHEN 'category' THEN c.category ELSE c.benefit_value END AS old_value,
+  SELECT c.id AS event_id, e.f AS field_name, coalesce(last_value(e.v IGNORE NULLS) OVER (PARTITION BY c.id, e.f ORDER BY e.l_shipdate, e.l_linenumber, e.v NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE e.f WHEN 'title' THEN c.title WHEN 'category' THEN c.category ELSE c.benefit_value END) AS old_value,
     e.v AS new_value, e.l_linestatus AS editor, e.l_shipdate AS edited_at
   FROM (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'category' WHEN 2 THEN 'benefit_value' ELSE 'url' END AS f,
       CASE l_returnflag WHEN 'A' THEN '' WHEN 'N' THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS v FROM lineitem) e
   JOIN campaigns c ON c.id = e.l_orderkey WHERE e.f <> 'url')
   WHERE coalesce(old_value, '') <> coalesce(new_value, '')""")
 def manual_edits(spark, base):
-    return hi.manual_edits(ad.campaigns(spark, base), _edit_batch(spark, base)).drop("reason")
+    return hi.manual_edits(ad.campaigns(spark, base), _edit_batch(spark, base)).drop("reason", "seq")
 
 
 @query("edited_events", C + """, ed AS (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'category' ELSE 'benefit_value' END AS f,

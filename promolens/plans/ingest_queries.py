@@ -45,7 +45,7 @@ def _built(inner: str, order_cols: str = "id") -> str:
     return f"""SELECT {order_cols}, url, company, title, period,
       {ov.first_rule("(title || ' ' || raw_text)", CATEGORY_RULES, CATEGORY_DEFAULT)} AS category,
       {ov.first_rule("(title || ' ' || period || ' ' || raw_text)", THREAT_RULES, THREAT_DEFAULT)} AS threat_level, raw_text
-      FROM (SELECT * REPLACE (left(raw_text, 800) AS raw_text) FROM ({inner}))"""
+      FROM ({inner})"""
 
 
 # ---- sources --------------------------------------------------------------------------
@@ -172,7 +172,7 @@ H_RANGE = periods.STORED_RANGE
       lambda x: {ov.inline_text('x')}) AS heads FROM promo_pages),
   titled AS (SELECT *, coalesce(list_filter(heads, lambda t: length(t) >= 4)[1], '') AS title FROM parts)
   SELECT page_id, url, title, coalesce({ov.canonical_period("nullif(regexp_extract(body, '" + H_RANGE + "'), '')")}, '') AS period,
-    {ov.first_rule('title', CATEGORY_RULES, CATEGORY_DEFAULT)} AS category, left(body, 800) AS raw_text,
+    {ov.first_rule('title', CATEGORY_RULES, CATEGORY_DEFAULT)} AS category, body AS raw_text,
     CASE WHEN length(title) < 3 THEN 'short' ELSE 'hit' END AS outcome FROM titled""")
 def page_details(spark, base):
     return pages.detail_records(ad.promo_pages(spark, base), "P").drop("company")
@@ -344,7 +344,7 @@ def dedupe_keys(spark, base):
 
 
 @query("search_blobs", C + """SELECT id, sha256(title || ' ' || coalesce(category, '') || ' ' || coalesce(benefit_value, '') || ' ' || coalesce(conditions, '') || ' ' ||
-  target_segment || ' ' || one_line_summary || ' ' || left(coalesce(raw_text, ''), 600)) AS digest FROM campaigns""")
+  target_segment || ' ' || one_line_summary || ' ' || coalesce(raw_text, '')) AS digest FROM campaigns""")
 def search_blobs(spark, base):
     return ad.campaigns(spark, base).select("id", F.sha2(records.search_blob(), 256).alias("digest"))
 
@@ -400,7 +400,7 @@ def insert_if_new(spark, base):
     )
 
 
-RUN = """, taken AS (SELECT * FROM submissions QUALIFY row_number() OVER (PARTITION BY company ORDER BY arrival) <= 200),
+RUN = """, taken AS (SELECT * FROM submissions),
   fresh AS (SELECT * FROM taken t WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.order_status = 'F' AND s.url = t.url)
     QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival) = 1)
 """

@@ -268,7 +268,7 @@ def lenient_gap_list(spark, base):
 PROFILE_CTE = f""",
 shown AS (
   SELECT *, concat_ws(' ', title, coalesce(category, ''), coalesce(benefit_value, ''), coalesce(conditions, ''), target_segment, one_line_summary,
-      left(coalesce(raw_text, ''), 600)) AS blob,
+      coalesce(raw_text, '')) AS blob,
     CASE WHEN period_start IS NULL OR period_end IS NULL THEN 0 ELSE greatest(period_end - period_start + 1, 0) END AS days
   FROM campaigns WHERE visible
 ),

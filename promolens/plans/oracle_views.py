@@ -216,7 +216,7 @@ edits AS (
   SELECT c.conv_id AS event_id,
     CASE c.turn % 7 WHEN 0 THEN 'title' WHEN 1 THEN 'period' WHEN 2 THEN 'benefit_value' WHEN 3 THEN 'benefit_type'
       WHEN 4 THEN 'conditions' WHEN 5 THEN 'target_segment' ELSE 'category' END AS field_name,
-    left(p.text, 2000) AS old_value, left(c.text, 2000) AS new_value, c.role AS editor,
+    p.text AS old_value, c.text AS new_value, c.role AS editor,
     TIMESTAMP '2024-01-01' + to_seconds(c.conv_id * 86400 + c.turn * 60) AS edited_at, c.turn
   FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
 )

@@ -48,7 +48,7 @@ def usable(c: str, v) -> str:
       AND NOT ({ov.any_of(c, v.noise_words)} AND NOT ({ov.any_of(c, v.noise_rescue_words)} AND NOT {ov.any_of(c, v.noise_always_words)})))"""
 
 
-KEY = "left(lower(regexp_replace({0}, '[^0-9A-Za-z가-힣]', '', 'g')), 140)"
+KEY = "lower(regexp_replace({0}, '[^0-9A-Za-z가-힣]', '', 'g'))"
 
 
 def candidate_cte(source: str, v, name: str = "cand") -> str:
@@ -70,7 +70,7 @@ def candidate_cte(source: str, v, name: str = "cand") -> str:
       unnest(string_split(regexp_replace(line, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))), line FROM {name}_lines
     {cuts}),
   {name}_kept AS (SELECT doc_id, ln, kind, p, c, {KEY.format('c')} AS key FROM (SELECT *, {norm.format('chunk')} AS c FROM {name}_chunks)
-    WHERE c <> '' AND (kind = 0 OR c <> line) AND length(c) BETWEEN 6 AND 700 AND NOT ({ov.any_of('c', v.menu_words)} AND length(c) <= 35) AND {usable('c', v)}),
+    WHERE c <> '' AND (kind = 0 OR c <> line) AND length(c) >= 6 AND NOT ({ov.any_of('c', v.menu_words)} AND length(c) <= 35) AND {usable('c', v)}),
   {name} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, kind, p) AS pos, c AS line FROM (
     SELECT * FROM {name}_kept WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ln, kind, p) = 1))
 """

@@ -138,7 +138,7 @@ def dump_records(items: DataFrame, company: str | Column, by_content_id: str, by
         F.lit("일반").alias("target_segment"),
         text.first_rule(F.col("title"), LEGACY_THREAT_RULES, THREAT_DEFAULT).alias("threat_level"),
         F.col("title").alias("one_line_summary"),
-        F.substring("raw", 1, 500).alias("raw_text"),
+        F.col("raw").alias("raw_text"),
     )
 
 

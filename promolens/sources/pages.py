@@ -110,7 +110,7 @@ def detail_records(pages: DataFrame, company: str | Column) -> DataFrame:
         "page_id", "url", (F.lit(company) if isinstance(company, str) else company).alias("company"),
         "title", periods.detail_period(F.col("_body")).alias("period"),
         text.first_rule(F.col("title"), CATEGORY_RULES, CATEGORY_DEFAULT).alias("category"),
-        F.substring("_body", 1, 800).alias("raw_text"), outcome.alias("outcome"),
+        F.col("_body").alias("raw_text"), outcome.alias("outcome"),
     )
 
 
@@ -175,5 +175,5 @@ def container_records(
         text.first_rule(F.col("title"), LEGACY_CATEGORY_RULES, CATEGORY_DEFAULT).alias("category"),
         text.first_rule(F.col("title"), LEGACY_THREAT_RULES, THREAT_DEFAULT).alias("threat_level"),
         F.lit(SEE_DETAIL).alias("benefit_value"), F.lit(SEE_DETAIL).alias("conditions"),
-        F.substring(markup.inline_text(F.col("inner")), 1, 500).alias("raw_text"),
+        markup.inline_text(F.col("inner")).alias("raw_text"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from promolens.functions.records import accepted, build_records
 from promolens.operators.ingest import (
-    extraction_plan, extraction_summary, insert_if_new, newest_first, pending_extraction,
+    extraction_plan, extraction_summary, insert_if_new, pending_extraction,
 )
 from promolens.params import Params
 
@@ -57,11 +57,14 @@ def ingest_stream(
     return _start(staged.writeStream.foreachBatch(write), checkpoint, interval)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _earlier_batches(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
     """Addresses stored by the batches before this one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if batch_id == 0 or not fs.exists(path):
+    if batch_id == 0 or not _exists(spark, target):
         return spark.createDataFrame([], "url STRING")
     return (
         spark.read.option("basePath", target).schema("url STRING, batch BIGINT").parquet(target)
@@ -71,19 +74,30 @@ def _earlier_batches(spark: SparkSession, target: str, batch_id: int) -> DataFra
 
 def extraction_stream(
     events: DataFrame, locks: Callable[[], DataFrame], extract: Callable[[DataFrame], DataFrame],
-    target: str, checkpoint: str, limit: int = 20, interval: str | None = None,
+    target: str, checkpoint: str, interval: str | None = None,
 ) -> StreamingQuery:
-    """Pending records in micro-batches: newest first, limited, locked ones skipped.
+    """Pending records in micro-batches: locked ones skipped, unfinished ones taken up again.
 
     ``extract`` turns the records to be extracted into results with ``id, error,
-    source``; outcomes of the batch are stored per batch id.
+    source``; outcomes of the batch are stored per batch id, with the record in
+    ``event``. Records that were locked, got an error or no result are ``unfinished``
+    and take part in the next batch, unless it brings a newer state of them. The
+    reader's files per batch bound a batch; no row is left out.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        queue = pending_extraction(batch).orderBy(*newest_first()).limit(limit)
-        plan = extraction_plan(queue, locks()).select("id", "url", "action")
-        done = extract(plan.where(F.col("action") == "extract")).select("id", "error", "source")
-        outcome = plan.join(done, "id", "left")
+        before = f"{target}/batch={batch_id - 1}"
+        if batch_id and _exists(batch.sparkSession, before):
+            left = batch.sparkSession.read.parquet(before).where("unfinished").select("event.*")
+            batch = batch.unionByName(left.join(batch.select("id"), "id", "left_anti"))
+        queue = pending_extraction(batch)
+        event = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        plan = extraction_plan(queue, locks()).select("id", "url", "action", event.alias("event"))
+        done = extract(plan.where(F.col("action") == "extract").drop("event")).select("id", "error", "source")
+        open_ = (F.col("action") == "skipped") | (
+            (F.col("action") == "extract") & (F.col("error").isNotNull() | F.col("_done").isNull()))
+        outcome = plan.join(done.withColumn("_done", F.lit(True)), "id", "left")
+        outcome = outcome.withColumn("unfinished", F.coalesce(open_, F.lit(False))).drop("_done")
         outcome.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return _start(events.writeStream.foreachBatch(write), checkpoint, interval)

@@ -153,3 +153,13 @@ def test_long_page_does_not_overflow(spark):
     bare = markup.drop_elements(F.col("t"), ("script", "style"))
     got = values(spark, [html], F.length(F.array_join(markup.text_blocks(bare), "")))
     assert got == [999_999]
+
+
+def test_any_white_space_in_periods_and_amounts(spark):
+    for b in (" ", "　", " ", "\x0b", "\x85"):
+        got = values(spark, [f"2026.02.01{b}~{b}2026.03.31"], periods.period_dates(F.col("t")))
+        assert tuple(got[0]) == (D(2026, 2, 1), D(2026, 3, 31))
+        assert values(spark, [f"2026년{b}2월 1일{b}~ 2026년 3월{b}31일"], periods.page_date_range(F.col("t"))) == values(
+            spark, ["2026년 2월 1일 ~ 2026년 3월 31일"], periods.page_date_range(F.col("t")))
+        assert values(spark, [f"5{b}만{b}원"], amounts.all_amounts(F.col("t"))) == [["5만원"]]
+        assert values(spark, [f"10{b}%"], amounts.all_percentages(F.col("t"))) == [["10%"]]

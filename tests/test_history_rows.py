@@ -1,5 +1,7 @@
 """Replaced insights and lock reasons."""
 
+from pyspark.sql import functions as F
+
 from promolens.operators import history
 
 
@@ -16,3 +18,23 @@ def test_lock_reason_is_kept_while_locked(spark):
     commands = spark.createDataFrame([(1, True, "a", 1, "checked", 1), (2, True, "b", 1, "x", 1), (2, False, "b", 2, "y", 2)], schema)
     got = {r.event_id: (r.is_locked, r.lock_reason) for r in history.lock_state(commands).collect()}
     assert got == {1: (True, "checked"), 2: (False, None)}
+
+
+def test_edits_are_compared_with_the_edit_before(spark):
+    events = spark.createDataFrame([(1, "A"), (2, "A")], "id long, title string")
+    for f in history.EDITABLE[1:]:
+        events = events.withColumn(f, F.lit(None).cast("string"))
+    long = "x" * 5000
+    schema = "event_id long, field_name string, new_value string, editor string, reason string, edited_at long"
+    edits = spark.createDataFrame([
+        (1, "title", "B", "e", "", 1), (1, "title", None, "e", "", 2), (1, "title", "A", "e", "", 3), (1, "title", "A", "e", "", 4),
+        (1, "url", "z", "e", "", 1), (2, "title", long, "e", "", 1)], schema)
+    audit = history.manual_edits(events, edits)
+    got = sorted((r.edited_at, r.old_value, r.new_value) for r in audit.where("event_id = 1").collect())
+    assert got == [(1, "A", "B"), (2, "B", None), (3, "B", "A")]
+    assert {r.id: r.title for r in history.edit_updates(audit).collect()} == {1: "A", 2: long}
+
+
+def test_a_null_edit_does_not_hide_the_last_value(spark):
+    audit = spark.createDataFrame([(1, "title", "B", 1), (1, "title", None, 2)], "event_id long, field_name string, new_value string, edited_at long")
+    assert history.edit_updates(audit).first().title == "B"

@@ -197,3 +197,19 @@ def test_focal_contains_variant(spark):
     loose = Params(as_of=P.as_of, focal="신한", focal_match="contains")
     assert an.category_gap(seeded(spark), loose).count() == 6
     assert filters.event_list(seeded(spark), P, company="신한카드").count() == 3
+
+
+def test_long_values_stay_whole(spark):
+    start = "카드 이용 조건 안내 " * 20
+    long = "이벤트 기간 중 결제 시 캐시백 " * 700
+    lines = [start + "국내 가맹점", start + "해외 가맹점", long.strip()]
+    df = spark.createDataFrame([("\n".join(lines),)], "t STRING")
+    got = df.select(structure.candidate_lines(F.col("t"), V)).first()[0]
+    assert set(got) >= set(lines)
+    staged = spark.createDataFrame([("A", "https://www.example.com/l", f"/e/{i}", f"오퍼 {i}", "2026.02.01~2026.03.31", long) for i in range(300)],
+                                   "company STRING, base_url STRING, url STRING, title STRING, period STRING, raw_text STRING")
+    rows = records.build_records(staged, V).withColumn("arrival", F.col("title"))
+    assert rows.where(F.length("raw_text") == len(long.strip())).count() == 300
+    assert ingest.ingest_run(rows, spark.createDataFrame([], "url STRING"), [F.asc("arrival")], P).count() == 300
+    two = Params(as_of=P.as_of, focal=P.focal, ingest_limit_per_company=2)
+    assert ingest.ingest_run(rows, spark.createDataFrame([], "url STRING"), [F.asc("arrival")], two).count() == 2

@@ -36,16 +36,22 @@ def test_stream_equals_batch_ingest(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
 
 
-def test_extraction_stream_skips_locked(spark):
+def test_extraction_stream_takes_up_unfinished_rows(spark):
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     schema = "id BIGINT, url STRING, marketing_content STRING, created_at TIMESTAMP_NTZ"
     land(f"{root}/in", "a.json", [{"id": i, "url": f"https://x/{i}" if i != 3 else "ftp://x", "created_at": f"2026-01-0{i} 00:00:00"} for i in range(1, 7)])
     events = spark.readStream.schema(schema).json(f"{root}/in")
     locks = lambda: spark.createDataFrame([(2, True)], "event_id BIGINT, is_locked BOOLEAN")
     extract = lambda df: df.select("id", F.lit(None).cast("string").alias("error"), F.lit("rule").alias("source"))
-    jobs.extraction_stream(events, locks, extract, f"{root}/out", f"{root}/ck", limit=5).awaitTermination()
-    got = {r.id: r.action for r in spark.read.parquet(f"{root}/out").collect()}
-    assert got == {6: "extract", 5: "extract", 4: "extract", 3: "failed", 2: "skipped"}
+    failing = lambda df: extract(df).withColumn("error", F.when(F.col("id") == 4, "timeout"))
+    jobs.extraction_stream(events, locks, failing, f"{root}/out", f"{root}/ck").awaitTermination()
+    got = {r.id: (r.action, r.unfinished) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {6: ("extract", False), 5: ("extract", False), 4: ("extract", True), 3: ("failed", False), 2: ("skipped", True), 1: ("extract", False)}
+    land(f"{root}/in", "b.json", [{"id": 7, "url": "https://x/7", "created_at": "2026-01-09 00:00:00"}])
+    free = lambda: locks().where("false")
+    jobs.extraction_stream(events, free, extract, f"{root}/out", f"{root}/ck").awaitTermination()
+    got = {r.id: (r.action, r.unfinished) for r in spark.read.parquet(f"{root}/out/batch=1").collect()}
+    assert got == {i: ("extract", False) for i in (2, 4, 7)}
 
 
 def test_progress_and_log_streams(spark):
