@@ -80,13 +80,16 @@ def class_text(html: Column, class_pattern: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    return unescape(F.regexp_extract(tag, rf"(?is)\b{name}=\"([^\"]*)\"", 1))
+    """Value of an attribute in an opening tag, in double, single or no quotes; empty when absent."""
+    value = F.regexp_extract(tag, rf"(?is)(?<=[\s\"'])(?:{name})\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return unescape(F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2"))
 
 
 def meta_content(html: Column, key: str) -> Column:
-    return blank_to_null(
-        unescape(F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{key}[^>]*\bcontent=\"([^\"]*)\"", 1))
-    )
+    """Content of the first meta tag whose name or property is ``key``, whatever the order of its attributes."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    named = F.filter(tags, lambda t: F.lower(attribute(t, "name|property")) == key)
+    return blank_to_null(F.get(F.transform(named, lambda t: attribute(t, "content")), F.lit(0)))
 
 
 def anchors(html: Column) -> Column:

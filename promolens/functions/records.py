@@ -134,8 +134,14 @@ def has_json_content(c: Column) -> Column:
 
 
 def content_map(c: Column) -> Column:
-    """Section JSON to ``map<string, array<string>>``; broken text gives null."""
-    return F.from_json(text.blank_to_null(text.ustrip(c)), "map<string,array<string>>")
+    """Section JSON to ``map<string, array<string>>``; broken text gives null, a single value one item."""
+    values = F.from_json(text.blank_to_null(text.ustrip(c)), "map<string,string>")
+
+    def items(v: Column) -> Column:
+        listed = F.when(F.startswith(v, F.lit("[")), F.from_json(v, "array<string>"))
+        return F.when(v.isNotNull(), F.coalesce(listed, F.array(v)))
+
+    return F.transform_values(values, lambda _, v: items(v))
 
 
 def tag_array(c: Column) -> Column:

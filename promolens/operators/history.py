@@ -52,19 +52,22 @@ def replace_insights(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def section_rows(contents: DataFrame, sections: Column, order) -> DataFrame:
     """Section map to rows with a running ``sort_order`` inside each promotion.
 
-    Sections follow ``order``; blank items are skipped before numbering. The
-    numbering is a position in one row's array, so no shuffle is involved.
+    Sections of ``order`` come first, the other keys as the map has them; blank items
+    are skipped before numbering. The numbering is a position in one row's array, so
+    no shuffle is involved.
     """
-    def rows_of(name: str) -> Column:
-        texts = F.coalesce(F.try_element_at(sections, F.lit(name)), F.array().cast("array<string>"))
+    def rows_of(name: Column) -> Column:
+        texts = F.coalesce(F.try_element_at(sections, name), F.array().cast("array<string>"))
         return F.transform(
             F.filter(texts, lambda v: v.isNotNull() & (v != "")),
             lambda v: F.struct(
-                F.lit(name).alias("section_type"), v.alias("content")
+                name.alias("section_type"), v.alias("content")
             ),
         )
 
-    items = F.flatten(F.array(*[rows_of(name) for name in order]))
+    named = F.array(*[F.lit(name) for name in order])
+    names = F.concat(named, F.array_except(F.map_keys(sections), named))
+    items = F.flatten(F.transform(names, rows_of))
     return posexploded(contents, ["event_id"], items, "sort_order", "item").select(
         "event_id", "item.section_type", "item.content", "sort_order"
     )

@@ -16,7 +16,6 @@ from promolens.vocabulary import Vocabulary
 
 NO_TEXTS = "array<string>"
 MIN_LINE, MENU_LINE = 6, 35
-SECTION_TEXT, SECTION_INSERT, SECTION_KEEP = 500, 30, 25
 FEW_LINES = 40
 
 
@@ -62,27 +61,25 @@ def merged_lines(lines: Column, full_lines: Column) -> Column:
     return text.distinct_by_key(both, text.comparison_key)
 
 
-def keyword_blocks(
-    sources: list[Column], keywords, vocab: Vocabulary, max_len: int = 400, max_blocks: int = 20
-) -> Column:
-    """Texts with any keyword from several sources in priority order, distinct, the first few."""
+def keyword_blocks(sources: list[Column], keywords, vocab: Vocabulary) -> Column:
+    """Texts with any keyword from several sources in priority order, distinct."""
 
     def keep(c: Column) -> Column:
-        return F.length(c).between(MIN_LINE, max_len) & text.contains_any(c, keywords) & _usable(c, vocab)
+        return (F.length(c) >= MIN_LINE) & text.contains_any(c, keywords) & _usable(c, vocab)
 
     kept = F.filter(F.concat(*sources), keep)
-    return F.slice(text.distinct_by_key(kept, text.comparison_key), 1, max_blocks)
+    return text.distinct_by_key(kept, text.comparison_key)
 
 
 def benefit_blocks(sources: list[Column], vocab: Vocabulary) -> Column:
     words = dict(vocab.section_rules)[vocab.benefit_section]
-    return F.array_join(keyword_blocks(sources, words, vocab, 320, 10), " | ")
+    return F.array_join(keyword_blocks(sources, words, vocab), " | ")
 
 
 def condition_blocks(sources: list[Column], vocab: Vocabulary) -> Column:
     rules = dict(vocab.section_rules)
     words = list(dict.fromkeys(w for s in vocab.condition_sections for w in rules[s]))
-    return F.array_join(keyword_blocks(sources, words, vocab, 320, 10), " | ")
+    return F.array_join(keyword_blocks(sources, words, vocab), " | ")
 
 
 def first_with(texts: Column, word: str) -> Column:
@@ -189,7 +186,7 @@ def score_lines(lines: Column, vocab: Vocabulary) -> Column:
             return let(let(totals, facts), mark)
 
         accepted = let(base, lambda b: F.when(F.array_max(b) > 0, accept(b)))
-        return F.struct(F.substring(line, 1, SECTION_TEXT).alias("text"), accepted.alias("scores"))
+        return F.struct(line.alias("text"), accepted.alias("scores"))
 
     return F.filter(F.transform(lines, score), lambda e: e["scores"].isNotNull())
 
@@ -198,7 +195,7 @@ def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabular
     """Best texts of one section; keyword blocks stand in when it got no line."""
     mine = F.filter(scored, lambda e: e["scores"][index] > 0)
     usable = F.filter(mine, lambda e: (F.length(e["text"]) >= MIN_LINE) & _usable(e["text"], vocab))
-    firsts = F.slice(text.distinct_by_key(usable, lambda e: text.comparison_key(e["text"])), 1, SECTION_INSERT)
+    firsts = text.distinct_by_key(usable, lambda e: text.comparison_key(e["text"]))
     own = F.transform(
         firsts,
         lambda e, i: F.struct(
@@ -206,12 +203,12 @@ def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabular
         ),
     )
     spare = F.transform(
-        F.transform(fallback, lambda t: F.substring(t, 1, SECTION_TEXT)),
+        fallback,
         lambda t, i: F.struct(F.lit(-1).alias("s"), (-F.length(t)).alias("l"), i.alias("p"), t.alias("t")),
     )
 
     def best(items: Column) -> Column:
-        return F.transform(F.slice(F.sort_array(items), 1, SECTION_KEEP), lambda e: e["t"])
+        return F.transform(F.sort_array(items), lambda e: e["t"])
 
     return let(own, lambda o: best(F.when(F.size(o) > 0, o).otherwise(spare)))
 
@@ -221,7 +218,7 @@ def sections(df: DataFrame, vocab: Vocabulary, lines: str, block_sources: list[s
     scored = df.withColumn("_scored", score_lines(F.col(lines), vocab))
     pieces = []
     for i, (name, words) in enumerate(vocab.section_rules):
-        spare = keyword_blocks([F.col(c) for c in block_sources], words, vocab, SECTION_TEXT, 15)
+        spare = keyword_blocks([F.col(c) for c in block_sources], words, vocab)
         pieces += [F.lit(name), section_items(F.col("_scored"), i, spare, vocab)]
     return scored.withColumn("sections", F.create_map(*pieces)).drop("_scored")
 
@@ -307,10 +304,15 @@ def extract_pages(pages: DataFrame, vocab: Vocabulary, rendered: str | None = No
         F.col("sections"), F.create_map(F.lit("혜택_금액"), F.col("amounts"), F.lit("혜택_비율"), F.col("percentages"))
     )
     keep = [c for c in pages.columns if c not in ("html", "title", "period")]
+    gone = F.coalesce(F.col("html").contains("조회 결과가 없습니다"), F.lit(False))
+    fields = {
+        **{c: F.col(c) for c in ("title", "period", "benefit_value", "conditions", "target_segment", "benefit_type",
+                                 "one_line_summary", "raw_text")},
+        "marketing_content": content,
+    }
     return money.select(
-        *keep, "title", "period", "benefit_value", "conditions", "target_segment", "benefit_type",
-        "one_line_summary", "raw_text", content.alias("marketing_content"),
-        F.when(F.col("html").contains("조회 결과가 없습니다"), "no such promotion").alias("error"),
+        *keep, *[F.when(~gone, c).alias(name) for name, c in fields.items()],
+        F.when(gone, "no such promotion").alias("error"),
     )
 
 
@@ -367,7 +369,7 @@ def page_digest(pages: DataFrame, max_chars: int = 8000) -> DataFrame:
     lines = F.concat(
         head("[제목] ", title), head("[기간] ", period), block("[본문]", markup.text_blocks(body)),
         F.flatten(F.transform(tables, table_lines)), F.flatten(F.transform(lists, list_lines)),
-        block("[이미지 설명]", images), head("[메타 설명] ", markup.meta_content(html, '"description"')),
+        block("[이미지 설명]", images), head("[메타 설명] ", markup.meta_content(html, "description")),
     )
     digest = pages.withColumn("_html", markup.drop_elements(F.col("html"), DIGEST_DROPPED)).withColumn(
         "lines", drop_repeats(lines)

@@ -101,13 +101,12 @@ SCORED = f""", scored AS (SELECT doc_id, pos, line, [{', '.join(hits('line', w)
   totals AS (SELECT *, [b[i] + h[i] for i in range(1, 8)] AS t FROM scored WHERE list_max(b) > 0),
   placed AS (SELECT doc_id, pos, line, i AS sec, t[i] AS score FROM (SELECT *, unnest(range(1, 8)) AS i FROM totals)
     WHERE t[i] >= 2 OR (list_max(t) = 1 AND i = list_position([x > 0 for x in b], true))),
-  cut AS (SELECT doc_id, sec, pos, score, left(line, 500) AS c FROM placed),
+  cut AS (SELECT doc_id, sec, pos, score, line AS c FROM placed),
   firsts AS (SELECT * FROM (SELECT *, {KEY.format('c')} AS key FROM cut WHERE length(c) >= 6 AND {usable('c', SAMPLE)}) WHERE key <> ''
     QUALIFY row_number() OVER (PARTITION BY doc_id, sec, key ORDER BY pos) = 1),
-  taken AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY doc_id, sec ORDER BY pos) <= 30),
-  kw AS (SELECT doc_id, pos, line, sec FROM (SELECT *, unnest(range(1, 8)) AS sec FROM scored) WHERE b[sec] > 0 AND length(line) <= 500),
-  spare AS (SELECT k.doc_id, k.sec, k.pos, 1 AS score, k.line AS c FROM kw k WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.doc_id = k.doc_id AND x.sec = k.sec)
-    QUALIFY row_number() OVER (PARTITION BY k.doc_id, k.sec ORDER BY k.pos) <= 15),
+  taken AS (SELECT * FROM firsts),
+  kw AS (SELECT doc_id, pos, line, sec FROM (SELECT *, unnest(range(1, 8)) AS sec FROM scored) WHERE b[sec] > 0),
+  spare AS (SELECT k.doc_id, k.sec, k.pos, 1 AS score, k.line AS c FROM kw k WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.doc_id = k.doc_id AND x.sec = k.sec)),
   ranked AS (SELECT doc_id, sec, c, row_number() OVER (PARTITION BY doc_id, sec ORDER BY score DESC, length(c) DESC, pos) AS rank FROM (
     SELECT doc_id, sec, pos, score, c FROM taken UNION ALL SELECT * FROM spare))
 """
@@ -118,7 +117,7 @@ def _doc_sections(spark, base):
     return st.sections(lines, SAMPLE, "lines", ["lines"])
 
 
-@query("document_sections", DOCS + SCORED + f"""SELECT doc_id, [{', '.join("'" + n + "'" for n in NAMES)}][sec] AS section, rank, c AS content FROM ranked WHERE rank <= 25""")
+@query("document_sections", DOCS + SCORED + f"""SELECT doc_id, [{', '.join("'" + n + "'" for n in NAMES)}][sec] AS section, rank, c AS content FROM ranked""")
 def document_sections(spark, base):
     found = _doc_sections(spark, base).select("doc_id", F.explode_outer("sections").alias("section", "items"))
     return posexploded(found, ["doc_id", "section"], F.col("items"), "rank", "content").withColumn("rank", F.col("rank") + 1)
@@ -135,8 +134,7 @@ def line_hits(spark, base):
 
 
 @query("keyword_blocks", DOCS + f"""SELECT doc_id, string_agg(line, ' | ' ORDER BY pos) AS benefits FROM (
-  SELECT * FROM cand WHERE length(line) <= 320 AND {ov.any_of('line', dict(SAMPLE.section_rules)['benefit'])}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 10) GROUP BY doc_id""")
+  SELECT * FROM cand WHERE {ov.any_of('line', dict(SAMPLE.section_rules)['benefit'])}) GROUP BY doc_id""")
 def keyword_blocks(spark, base):
     lines = _doc_lines(spark, base)
     return lines.select("doc_id", st.benefit_blocks([F.col("lines")], SAMPLE).alias("benefits")).where(F.col("benefits") != "")

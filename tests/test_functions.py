@@ -163,3 +163,17 @@ def test_any_white_space_in_periods_and_amounts(spark):
             spark, ["2026년 2월 1일 ~ 2026년 3월 31일"], periods.page_date_range(F.col("t")))
         assert values(spark, [f"5{b}만{b}원"], amounts.all_amounts(F.col("t"))) == [["5만원"]]
         assert values(spark, [f"10{b}%"], amounts.all_percentages(F.col("t"))) == [["10%"]]
+
+
+def test_attributes_in_any_quotes_and_order(spark):
+    tags = ['<a href="/e/1">', "<a class=x href='/e/1'>", "<a data-href='/no' href=/e/1>", "<a HREF = \"/e/1\">"]
+    assert values(spark, tags, markup.attribute(F.col("t"), "href")) == ["/e/1"] * 4
+    assert values(spark, ["<a>"], markup.attribute(F.col("t"), "href")) == [""]
+    heads = ['<meta property="og:title" content="T">', "<meta content='T' property='og:title'/>", "<meta name=x content=y><meta property=og:title content=T>"]
+    assert values(spark, heads, markup.meta_content(F.col("t"), "og:title")) == ["T"] * 3
+    assert values(spark, ["<meta name=x content=y>"], markup.meta_content(F.col("t"), "og:title")) == [None]
+
+
+def test_content_map_with_single_values(spark):
+    got = values(spark, ['{"a": ["x", "y"], "b": "one", "c": 5, "d": null, "e": []}', "{broken", "", None], records.content_map(F.col("t")))
+    assert got == [{"a": ["x", "y"], "b": ["one"], "c": ["5"], "d": None, "e": []}, None, None, None]

@@ -38,3 +38,9 @@ def test_edits_are_compared_with_the_edit_before(spark):
 def test_a_null_edit_does_not_hide_the_last_value(spark):
     audit = spark.createDataFrame([(1, "title", "B", 1), (1, "title", None, 2)], "event_id long, field_name string, new_value string, edited_at long")
     assert history.edit_updates(audit).first().title == "B"
+
+
+def test_all_sections_become_rows(spark):
+    df = spark.createDataFrame([(1, {"money": ["5"], "b": ["x", "", "y" * 3000], "rate": ["10%"]})], "event_id long, m map<string,array<string>>")
+    got = [(r.section_type, len(r.content), r.sort_order) for r in history.section_rows(df, F.col("m"), ("a", "b")).orderBy("sort_order").collect()]
+    assert got == [("b", 1, 0), ("b", 3000, 1), ("money", 1, 2), ("rate", 3, 3)]
