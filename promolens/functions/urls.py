@@ -88,14 +88,17 @@ def normalise_url(href: Column, base: Column, vocab: Vocabulary) -> Column:
     """Absolute address without fragment and tracking parameters; empty when unusable."""
 
     def build(url: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(url, SPLIT, 1))
-        host = F.regexp_extract(url, SPLIT, 2)
-        raw_query = F.regexp_extract(url, SPLIT, 4)
-        query = F.when(raw_query == "", F.lit("")).otherwise(
-            F.regexp_replace(normalise_query(raw_query, vocab), "^(?=.)", "?")
-        )
-        whole = F.concat(scheme, F.lit("://"), host, F.regexp_extract(url, SPLIT, 3), query)
-        return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), whole).otherwise(F.lit(""))
+        # the parts of an absolute address lie between its first ":", "?" and "#": no pattern is needed
+        whole = F.substring_index(url, "#", 1)
+        bare = F.substring_index(whole, "?", 1)
+        scheme = F.substring_index(bare, ":", 1)
+        query = F.when(F.length(whole) > F.length(bare) + 1, let(
+            normalise_query(F.substr(whole, F.length(bare) + 2), vocab),
+            lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q)),
+        )).otherwise(F.lit(""))
+        rest = F.substr(bare, F.length(scheme) + 1)
+        usable = url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")
+        return F.when(usable, F.concat(F.lower(scheme), rest, query)).otherwise(F.lit(""))
 
     def resolve(raw: Column) -> Column:
         bad = (raw == "") | raw.rlike(UNUSABLE)

@@ -184,22 +184,28 @@ def statistics(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def header_kpis(events: DataFrame, overview: DataFrame, params: Params) -> DataFrame:
-    """Dashboard head line; activity is the lenient one."""
+def header_kpis(events: DataFrame, params: Params) -> DataFrame:
+    """Dashboard head line in one pass, by way of the companies; activity is the lenient one."""
     active = periods.lenient_active(F.col("status"), F.col("period"), params.as_of)
-    shown = events.where(records.visible(params)).agg(
-        F.count("*").alias("total"),
-        F.sum(_flag(active)).alias("active"),
-        F.sum(_flag(~active)).alias("ended"),
-        F.sum(_flag(F.try_parse_json(F.col("marketing_insights")).isNotNull())).alias("insights"),
+    flags = computed_once(events.select("company", "title", "period", "status", "marketing_content", "marketing_insights"), {
+        "_shown": records.visible(params), "_active": active,
+        "_insight": F.try_parse_json(F.col("marketing_insights")).isNotNull(),
+        "_extracted": records.has_json_content(F.col("marketing_content")),
+    })
+    shown = F.col("_shown")
+    counted = {
+        "total": shown, "active": shown & F.col("_active"), "ended": shown & ~F.col("_active"),
+        "insights": shown & F.col("_insight"), "_extracted": F.col("_extracted"),
+    }
+    per_company = flags.groupBy(company_name().alias("company")).agg(
+        F.count("*").alias("_n"), *[F.sum(_flag(c)).alias(name) for name, c in counted.items()]
     )
-    shared = overview.agg(
-        F.sum("extracted_count").alias("_x"), F.sum("collected_count").alias("_c"),
-        F.count("*").alias("companies"),
+    sums = per_company.agg(
+        F.count("*").alias("companies"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", *counted)]
     )
-    return shown.join(shared).select(
+    return sums.select(
         "total", "active", "ended", "insights",
-        amounts.rate(F.col("_x"), F.col("_c")).alias("extraction_rate"), "companies",
+        amounts.rate(F.col("_extracted"), F.col("_n")).alias("extraction_rate"), "companies",
     )
 
 
@@ -485,6 +491,13 @@ def visible_profile(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def status_counts(events: DataFrame, params: Params) -> DataFrame:
+    """Visible records per company and status, each status as it is stored."""
+    status = text.first_filled(F.col("status"), F.lit("unknown")).alias("status")
+    shown = events.where(records.visible(params))
+    return shown.groupBy(company_name().alias("company"), status).agg(F.count("*").alias("n"))
+
+
 def category_mix(events: DataFrame, params: Params) -> DataFrame:
     """Per company: leading categories, number of categories and the entropy of their shares.
 
@@ -559,14 +572,12 @@ def company_briefing(snapshot: DataFrame) -> DataFrame:
     benefit = text.blank_to_null(F.concat_ws(" / ", "_won", "_pct"))
     return named.select(
         "company",
-        F.substring(overview, 1, 150).alias("overview"),
+        overview.alias("overview"),
         F.col("_strats").alias("key_strategy"),
         F.slice("top_categories", 1, 3).alias("strongest_categories"),
         F.coalesce(F.concat(benefit, F.lit(" 수준")), F.lit("혜택 데이터 부족")).alias("avg_benefit_assessment"),
         F.lit("전반적 고객층 대상").alias("target_focus"),
-        F.substring(
-            text.first_filled(F.col("_points"), F.concat(F.col("_cats"), F.lit(" 영역에서 경쟁 심화"))), 1, 50
-        ).alias("rival_threat"),
+        text.first_filled(F.col("_points"), F.concat(F.col("_cats"), F.lit(" 영역에서 경쟁 심화"))).alias("rival_threat"),
         F.concat(F.col("_cats"), F.lit(" 카테고리에서 차별화된 혜택 구조 설계가 필요합니다.")).alias("recommended_counter"),
     )
 
@@ -638,22 +649,25 @@ def comparison_table(levels: DataFrame, companies: list[str]) -> DataFrame:
     return wide.na.fill(FIVE_LEVEL_DEFAULT, companies)
 
 
-def company_corpus(events: DataFrame, params: Params) -> DataFrame:
-    """Newest texts of each company, cut and joined: the input of a text comparison."""
-    rows = events.where(records.visible(params)).select(
+def corpus_texts(events: DataFrame, params: Params) -> DataFrame:
+    """The visible texts of named companies that are long enough to compare."""
+    return events.where(records.visible(params)).select(
         F.coalesce(text.ustrip(F.col("company")), F.lit("")).alias("company"), "id", "created_at", "raw_text"
     ).where((F.col("company") != "") & (F.length(text.ustrip(F.col("raw_text"))) > 30))
-    cut = rows.withColumn("raw_text", F.substring("raw_text", 1, params.corpus_chars))
+
+
+def company_corpus(events: DataFrame, params: Params) -> DataFrame:
+    """The ``corpus_rows`` newest texts of each company, whole and joined: the input of a text comparison."""
     newest = first_per_group(
-        cut, ["company"], [F.desc_nulls_last("created_at"), F.asc("id")], params.corpus_rows
+        corpus_texts(events, params), ["company"], [F.desc_nulls_last("created_at"), F.asc("id")], params.corpus_rows
     )
     return newest.groupBy("company").agg(F.array_join(ranked_list("raw_text"), "\n").alias("corpus"))
 
 
-def phrase_presence(corpus: DataFrame, phrases=COMMON_PHRASES) -> DataFrame:
-    """Which common phrases occur anywhere in the company texts."""
-    hits = corpus.agg(
-        *[F.coalesce(F.max(F.col("corpus").contains(p)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(phrases)]
+def phrase_presence(texts: DataFrame, phrases=COMMON_PHRASES) -> DataFrame:
+    """Which common phrases occur anywhere in the ``raw_text`` of the rows."""
+    hits = texts.agg(
+        *[F.coalesce(F.max(F.col("raw_text").contains(p)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(phrases)]
     )
     cells = F.array(
         *[

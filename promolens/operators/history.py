@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.functions import text
+from promolens import schemas
+from promolens.functions import records, text
 from promolens.functions.rows import posexploded
 from promolens.operators.ranking import first_seen, with_previous
 
@@ -204,15 +205,17 @@ def toggle_locks(stored: DataFrame, requests: DataFrame) -> DataFrame:
 
     A promotion without a lock row counts as unlocked.
     """
+    last = F.struct("locked_at", "seq")
+    reason = F.max_by("lock_reason", last) if "lock_reason" in requests.columns else F.lit(None).cast("string")
     asked = requests.groupBy("event_id").agg(
-        F.count("*").alias("_n"), F.max_by("locked_by", F.struct("locked_at", "seq")).alias("_by"),
-        F.max("locked_at").alias("_at"),
+        F.count("*").alias("_n"), F.max_by("locked_by", last).alias("_by"),
+        F.max("locked_at").alias("_at"), reason.alias("_reason"),
     )
     joined = asked.join(stored.select("event_id", F.col("is_locked").alias("_was")), "event_id", "left")
     now = F.coalesce("_was", F.lit(False)) != (F.col("_n") % 2 == 1)
     return joined.select(
         "event_id", now.alias("is_locked"), F.when(now, F.col("_by")).alias("locked_by"),
-        F.when(now, F.col("_at")).alias("locked_at"),
+        F.when(now, F.col("_at")).alias("locked_at"), F.when(now, F.col("_reason")).alias("lock_reason"),
     )
 
 
@@ -260,25 +263,44 @@ def job_stats(jobs: DataFrame) -> DataFrame:
 
 # ---- joined views ---------------------------------------------------------------------------
 
+# fixed values: fields of an insight, and attributes of the comparison below
+INSIGHT_FIELDS = (
+    "benefit_level", "benefit_score", "target_clarity", "threat_reason", "marketing_takeaway", "objective_tags",
+    "target_tags", "channel_tags", "competitive_points", "promo_strategies", "evidence", "insight_confidence",
+    "section_coverage",
+)
+
+
 def intelligence(
     events: DataFrame, insights: DataFrame, sections: DataFrame, snapshots: DataFrame, locks: DataFrame
 ) -> DataFrame:
-    """Promotion with its best insight, section and snapshot counts and lock flag.
+    """Promotion with its best insight, its sections, section and snapshot counts and lock flag.
 
-    Children are reduced to one row per promotion before they are joined.
+    Of the insight fields those that the insight table has are taken; its threat level is
+    ``insight_threat``. The keys that only the stored insight JSON has come as ``insight_extra``, for
+    promotions with an insight. Children are reduced to one row per promotion before they are joined.
     """
     best = latest_insight(insights).select(
-        F.col("event_id").alias("id"), "benefit_level", "benefit_score", "objective_tags", "target_tags",
-        "competitive_points", "promo_strategies", "marketing_takeaway", F.col("source").alias("insight_source"),
+        F.col("event_id").alias("id"), *[c for c in INSIGHT_FIELDS if c in insights.columns],
+        *[F.col("threat_level").alias("insight_threat") for c in insights.columns if c == "threat_level"],
+        F.col("source").alias("insight_source"),
     )
-    parts = sections.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("section_count"))
+    part = F.struct("sort_order", "section_type", "content")
+    parts = sections.groupBy(F.col("event_id").alias("id")).agg(
+        F.count("*").alias("section_count"), F.sort_array(F.collect_list(part)).alias("sections"))
     shots = snapshots.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("snapshot_count"))
     held = locks.select(F.col("event_id").alias("id"), F.col("is_locked").alias("locked"))
-    return (
+    view = (
         events.join(best, "id", "left").join(parts, "id", "left").join(shots, "id", "left")
         .join(held, "id", "left")
         .na.fill(0, ["section_count", "snapshot_count"]).na.fill(False, ["locked"])
+        .withColumn("sections", F.coalesce("sections", F.array()))
     )
+    if "marketing_insights" not in events.columns:
+        return view
+    stored = records.insight_struct(F.col("marketing_insights"))
+    extra = F.struct(*[stored[k].alias(k) for k in schemas.INSIGHT_EXTRA_KEYS])
+    return view.withColumn("insight_extra", F.when(F.col("insight_source").isNotNull(), extra))
 
 
 def with_insight(insights: DataFrame, events: DataFrame) -> DataFrame:
@@ -304,7 +326,7 @@ def side_by_side(view: DataFrame, chosen: DataFrame) -> DataFrame:
         if name in ("competitive_points", "promo_strategies"):
             c = F.array_join(c, ", ")
         if name == "marketing_takeaway":
-            return F.substring(F.coalesce(c, F.lit("")), 1, 120)
+            return F.coalesce(c, F.lit(""))
         if name in ("company", "title"):
             return F.coalesce(c, F.lit(""))
         return F.coalesce(text.blank_to_null(c.cast("string")), F.lit("-"))

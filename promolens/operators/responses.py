@@ -22,40 +22,38 @@ MISSING = "미추출"
 # ---- requests ---------------------------------------------------------------------
 
 def section_lines(content: Column, order) -> Column:
-    """One line per filled section: five items of at most 200 characters each."""
+    """One line per filled section, its items whole: sections of ``order`` first, then the other keys of the map."""
 
-    def line(name: str) -> Column:
-        items = F.filter(
-            F.coalesce(F.try_element_at(content, F.lit(name)), F.array().cast("array<string>")), lambda v: v.isNotNull()
-        )
-        cut = F.transform(F.slice(items, 1, 5), lambda v: F.substring(v, 1, 200))
-        return F.when(
-            F.size(items) > 0, F.concat(F.lit(f"[{name}] "), F.array_join(cut, " / "))
-        )
+    none = F.array().cast("array<string>")
+
+    def line(name: Column) -> Column:
+        items = F.filter(F.coalesce(F.try_element_at(content, name), none), lambda v: v.isNotNull())
+        return F.when(F.size(items) > 0, F.concat(F.lit("["), name, F.lit("] "), F.array_join(items, " / ")))
 
-    return F.slice(F.array_compact(F.array(*[line(n) for n in order])), 1, 20)
+    named = F.array(*[F.lit(n) for n in order])
+    names = F.concat(named, F.coalesce(F.array_except(F.map_keys(content), named), none))
+    return F.array_compact(F.transform(names, line))
 
 
-def request_table(events: DataFrame, order, raw_chars: int = 2500) -> DataFrame:
-    """Prompt text per promotion: a structured summary, section lines, raw text."""
+def request_table(events: DataFrame, order) -> DataFrame:
+    """Prompt text per promotion: a structured summary, section lines, raw text; all of them whole."""
 
-    def shown(name: str, chars: int | None, missing: str = MISSING) -> Column:
-        c = text.blank_to_null(F.col(name))
-        return F.coalesce(c if chars is None else F.substring(c, 1, chars), F.lit(missing))
+    def shown(name: str, missing: str = MISSING) -> Column:
+        return F.coalesce(text.blank_to_null(F.col(name)), F.lit(missing))
 
     lines = F.array_join(section_lines(F.col("marketing_content"), order), "\n")
     prompt = F.concat_ws(
         "\n",
         F.concat(F.lit("company: "), F.coalesce("company", F.lit(""))),
         F.concat(F.lit("title: "), F.coalesce("title", F.lit(""))),
-        F.concat(F.lit("period: "), shown("period", None)),
-        F.concat(F.lit("target: "), shown("target_segment", 300, "미추출 (전체 고객 가능성)")),
-        F.concat(F.lit("benefit: "), shown("benefit_value", 600)),
-        F.concat(F.lit("conditions: "), shown("conditions", 500)),
+        F.concat(F.lit("period: "), shown("period")),
+        F.concat(F.lit("target: "), shown("target_segment", "미추출 (전체 고객 가능성)")),
+        F.concat(F.lit("benefit: "), shown("benefit_value")),
+        F.concat(F.lit("conditions: "), shown("conditions")),
         F.lit("sections:"),
         F.coalesce(text.blank_to_null(lines), F.lit("(섹션 데이터 없음)")),
         F.lit("page:"),
-        F.substring(F.coalesce("raw_text", F.lit("")), 1, raw_chars),
+        F.coalesce("raw_text", F.lit("")),
     )
     return events.select("id", prompt.alias("prompt"))
 
@@ -184,7 +182,7 @@ def extraction_records(responses: DataFrame) -> DataFrame:
     return parsed.select(
         "id", "url", *[F.col(f"answer.{k}").alias(k) for k in ("company", "title", "period", "benefit_type",
         "benefit_value", "conditions", "target_segment", "threat_level", "one_line_summary", "category")],
-        F.substring("source_text", 1, 1000).alias("raw_text"),
+        F.col("source_text").alias("raw_text"),
     )
 
 

@@ -16,6 +16,11 @@ from promolens.vocabulary import (
 )
 
 RULE_CONFIDENCE, RESPONSE_CONFIDENCE = 0.5, 0.85
+# fixed values: text fields that only a model answer gives
+ANSWER_TEXTS = (
+    "threat_reason", "benefit_detail", "target_profile", "conditions_summary", "event_duration_type",
+    "shinhan_response", "marketing_takeaway",
+)
 
 
 def _joined(*cols: Column) -> Column:
@@ -151,7 +156,8 @@ def hybrid_insights(rules: DataFrame, responses: DataFrame) -> DataFrame:
     """Valid response where there is one, else the rule record.
 
     ``responses`` has ``id`` and the parsed ``answer`` struct; null answers do not
-    count. With a response, the summary, category and threat of the record change.
+    count. With a response, the summary, category and threat of the record change, and
+    the fields that only an answer has are filled; they are null or empty without one.
     """
     valid = responses.where(F.col("answer").isNotNull()).select("id", "answer")
     joined = rules.join(valid, "id", "left").withColumn("_llm", F.col("answer").isNotNull())
@@ -170,6 +176,8 @@ def hybrid_insights(rules: DataFrame, responses: DataFrame) -> DataFrame:
             k: pick(k, F.coalesce(a(k), none))
             for k in ("competitive_points", "promo_strategies", "objective_tags", "target_tags", "channel_tags")
         },
+        **{k: F.when(F.col("_llm"), a(k)) for k in ANSWER_TEXTS},
+        **{k: F.when(F.col("_llm"), F.coalesce(a(k), none)).otherwise(none) for k in ("weaknesses", "evidence")},
         "insight_threat": pick("insight_threat", a("threat_level")),
         "insight_confidence": pick("insight_confidence", F.lit(RESPONSE_CONFIDENCE)),
         "source": F.when(F.col("_llm"), "gemini").otherwise("rule"),

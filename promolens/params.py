@@ -24,7 +24,6 @@ class Params:
     gap_rival_items: int = 10
     gap_weeks: int = 8
     corpus_rows: int = 20
-    corpus_chars: int = 500
     recent_days: int = 7
     ending_days: int = 14
 

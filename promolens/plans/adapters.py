@@ -249,6 +249,9 @@ def insights(spark: SparkSession, base: str) -> DataFrame:
         F.array(F.concat(F.lit("k"), k.cast("string"))).alias("competitive_points"),
         F.array(kind).alias("promo_strategies"),
         F.concat(F.lit("takeaway "), k.cast("string")).alias("marketing_takeaway"),
+        pick(k % 3, "높음", "보통", F.lit(None).cast("string")).alias("target_clarity"),
+        pick(k % 2, "High", "Low").alias("threat_level"),
+        F.array(F.concat(F.lit("e"), k.cast("string"))).alias("evidence"),
         F.col("ts").alias("generated_at"),
     )
 
@@ -358,7 +361,9 @@ def response_texts(spark: SparkSession, base: str) -> DataFrame:
     body = F.concat(
         F.lit('{"benefit_level":"'), level, F.lit('","threat_level":"'), pick(k % 3, "High", "Mid", "Low"),
         F.lit('","category":"'), F.col("event_type"), F.lit('","competitive_points":["k'), k.cast("string"),
-        F.lit('"],"one_line_summary":"summary '), k.cast("string"), F.lit('"}'),
+        F.lit('"],"one_line_summary":"summary '), k.cast("string"), F.lit('","threat_reason":"reason '), k.cast("string"),
+        F.lit('","marketing_takeaway":"takeaway '), k.cast("string"), F.lit('","evidence":["e'), k.cast("string"),
+        F.lit('"],"weaknesses":["w","'), k.cast("string"), F.lit('"]}'),
     )
     wrapped = pick(
         F.col("event_id") % 6,

@@ -228,8 +228,8 @@ def job_stats(spark, base):
 
 
 VIEW = C + SECTIONS + "," + ov.INSIGHTS + LATEST + "," + ov.SNAPSHOTS + "," + LOCK + """,
-shots AS (SELECT event_id, count(*) AS n FROM snapshots GROUP BY 1), secs AS (SELECT event_id, count(*) AS n FROM parts GROUP BY 1),
-view AS (SELECT c.*, i.benefit_level AS ins_level, i.source AS insight_source, i.k, i.event_type, coalesce(s.n, 0) AS section_count, coalesce(h.n, 0) AS snapshot_count,
+shots AS (SELECT event_id, count(*) AS n FROM snapshots GROUP BY 1), secs AS (SELECT event_id, count(*) AS n, string_agg(section_type || ': ' || content, ' | ' ORDER BY sort_order) AS texts FROM parts GROUP BY 1),
+view AS (SELECT c.*, i.benefit_level AS ins_level, i.source AS insight_source, i.k, i.event_type, CASE i.k % 3 WHEN 0 THEN '높음' WHEN 1 THEN '보통' END AS clarity, coalesce(s.texts, '') AS section_texts, coalesce(s.n, 0) AS section_count, coalesce(h.n, 0) AS snapshot_count,
   coalesce(l.is_locked, false) AS locked, i.event_id IS NOT NULL AS found FROM campaigns c LEFT JOIN latest i ON i.event_id = c.id LEFT JOIN secs s ON s.event_id = c.id
   LEFT JOIN shots h ON h.event_id = c.id LEFT JOIN lock_last l ON l.event_id = c.id)
 """
@@ -242,10 +242,13 @@ def _view(spark, base):
     )
 
 
-@query("intelligence", VIEW + "SELECT id, company, title, ins_level AS benefit_level, insight_source, section_count, snapshot_count, locked FROM view")
+@query("intelligence", VIEW + """SELECT id, company, title, ins_level AS benefit_level, insight_source, section_count, snapshot_count, locked, clarity AS target_clarity,
+  CASE WHEN found THEN CASE k % 2 WHEN 0 THEN 'High' ELSE 'Low' END END AS insight_threat, CASE WHEN found THEN 'e' || k END AS evidence, section_texts FROM view""")
 def intelligence(spark, base):
     return _view(spark, base).select(
-        "id", "company", "title", "benefit_level", "insight_source", "section_count", "snapshot_count", "locked"
+        "id", "company", "title", "benefit_level", "insight_source", "section_count", "snapshot_count", "locked",
+        "target_clarity", "insight_threat", F.get("evidence", F.lit(0)).alias("evidence"),
+        F.array_join(F.transform("sections", lambda s: F.concat(s["section_type"], F.lit(": "), s["content"])), " | ").alias("section_texts"),
     )
 
 
@@ -254,7 +257,7 @@ def intelligence(spark, base):
     {'n': 1::BIGINT, 'a': 'company', 'v': company}, {'n': 2, 'a': 'title', 'v': title}, {'n': 3, 'a': 'period', 'v': coalesce(nullif(period, ''), '-')},
     {'n': 4, 'a': 'benefit_value', 'v': coalesce(nullif(benefit_value, ''), '-')}, {'n': 5, 'a': 'benefit_type', 'v': coalesce(benefit_type, '-')},
     {'n': 6, 'a': 'conditions', 'v': coalesce(conditions, '-')}, {'n': 7, 'a': 'target_segment', 'v': target_segment}, {'n': 8, 'a': 'category', 'v': coalesce(category, '-')},
-    {'n': 9, 'a': 'benefit_level', 'v': coalesce(ins_level, '-')}, {'n': 10, 'a': 'target_clarity', 'v': '-'},
+    {'n': 9, 'a': 'benefit_level', 'v': coalesce(ins_level, '-')}, {'n': 10, 'a': 'target_clarity', 'v': coalesce(clarity, '-')},
     {'n': 11, 'a': 'competitive_points', 'v': CASE WHEN found THEN 'k' || k ELSE '-' END}, {'n': 12, 'a': 'promo_strategies', 'v': coalesce(event_type, '-')},
     {'n': 13, 'a': 'marketing_takeaway', 'v': coalesce('takeaway ' || k, '')}], recursive := true) FROM chosen)""")
 def side_by_side(spark, base):

@@ -194,18 +194,17 @@ ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
     FROM parsed WHERE href <> '' AND ({ov.any_of('href', V.link_href_words)} OR {ov.any_of('txt', V.link_text_words)})),
   firsts AS (SELECT page_id, target, min(n) AS n FROM targets
     WHERE target IS NOT NULL AND (NOT contains(lower(target), 'list') OR contains(lower(target), 'detail')) GROUP BY page_id, target)
-  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS position, target FROM firsts
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n) <= 20""")
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS position, target FROM firsts""")
 def promotion_links(spark, base):
     return pages.promotion_links(ad.promo_pages(spark, base), V)
 
 
-@query("page_containers", P + """SELECT page_id, 'javascript:goDetail(''' || page_id || ''', ''A'')' AS url, '오퍼 ' || page_id || ' 할인 혜택' AS title,
+@query("page_containers", P + f"""SELECT page_id, '{SITE}' AS url, '오퍼 ' || page_id || ' 할인 혜택' AS title,
   '정보 없음' AS period, '쇼핑' AS category, 'Low' AS threat_level, '오퍼 ' || page_id || ' 할인 혜택2026.1.' || d || ' ~ 2026.2.' || d AS raw_text
   FROM promo_pages""")
 def page_containers(spark, base):
     found = pages.container_records(
-        ad.promo_pages(spark, base), "P", "https://www.example.com", SITE, required_words=("이벤트", "혜택")
+        ad.promo_pages(spark, base), "P", SITE, required_words=("이벤트", "혜택")
     )
     return found.select("page_id", "url", "title", "period", "category", "threat_level", "raw_text")
 

@@ -103,7 +103,7 @@ SELECT count(*) FILTER (visible) AS total, count(*) FILTER (visible AND act) AS
   {ov.rate('count(*) FILTER (has_content)', 'count(*)')} AS extraction_rate, count(DISTINCT company) AS companies
 FROM flagged""")
 def header_kpis(spark, base):
-    return an.header_kpis(ad.campaigns(spark, base), _overview(spark, base), PARAMS)
+    return an.header_kpis(ad.campaigns(spark, base), PARAMS)
 
 
 @query("weekly_trend", C + f"""
@@ -311,6 +311,11 @@ def company_snapshot(spark, base):
     return _snapshot(spark, base).select(*SNAP_COLUMNS.split(", "), "top_categories")
 
 
+@query("status_counts", C + "SELECT company, coalesce(nullif(status, ''), 'unknown') AS status, count(*) AS n FROM campaigns WHERE visible GROUP BY ALL")
+def status_counts(spark, base):
+    return an.status_counts(ad.campaigns(spark, base), PARAMS)
+
+
 @query("recent_events", C + """SELECT company, id, title, category, benefit_value, period, status, threat_level,
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, rank FROM (SELECT *, row_number() OVER (
     PARTITION BY company ORDER BY created_at DESC NULLS LAST, id) AS rank FROM campaigns WHERE visible) WHERE rank <= 5""")
@@ -322,12 +327,12 @@ FIRST_TWO = "array_to_string(string_split({0}, ' | ')[1:2], ', ')"
 
 
 @query("company_briefing", SNAP + f"""SELECT company,
-  left(company || '은 현재 ' || active_count || '건의 이벤트를 진행 중이며, ' || ct || ' 카테고리에 집중하고 있습니다. 주요 전략은 ' || st || ' 중심입니다.', 150) AS overview,
+  company || '은 현재 ' || active_count || '건의 이벤트를 진행 중이며, ' || ct || ' 카테고리에 집중하고 있습니다. 주요 전략은 ' || st || ' 중심입니다.' AS overview,
   st AS key_strategy, array_to_string(cat_list, ' | ') AS strongest_categories,
   coalesce(nullif(concat_ws(' / ', CASE WHEN avg_benefit_amount_won <> 0 THEN '평균 ' || format('{{:,}}', avg_benefit_amount_won) || '원' END,
     CASE WHEN avg_benefit_pct <> 0 THEN '평균 ' || printf('%.1f', avg_benefit_pct) || '%' END), '') || ' 수준', '혜택 데이터 부족') AS avg_benefit_assessment,
   '전반적 고객층 대상' AS target_focus,
-  left(coalesce(nullif({FIRST_TWO.format('top_competitive_points')}, ''), ct || ' 영역에서 경쟁 심화'), 50) AS rival_threat,
+  coalesce(nullif({FIRST_TWO.format('top_competitive_points')}, ''), ct || ' 영역에서 경쟁 심화') AS rival_threat,
   ct || ' 카테고리에서 차별화된 혜택 구조 설계가 필요합니다.' AS recommended_counter
 FROM (SELECT *, coalesce(nullif(array_to_string(cat_list[1:2], ', '), ''), '다양한 카테고리') AS ct,
   coalesce(nullif({FIRST_TWO.format('top_promo_strategies')}, ''), '일반 프로모션') AS st FROM snap)""")
@@ -377,7 +382,7 @@ def comparison_table(spark, base):
     return an.comparison_table(levels, COMPANIES).orderBy("metric_no")
 
 
-CORPUS_CTE = """, picked AS (SELECT company, left(raw_text, 500) AS t, row_number() OVER (
+CORPUS_CTE = """, picked AS (SELECT company, raw_text AS t, row_number() OVER (
     PARTITION BY company ORDER BY created_at DESC NULLS LAST, id) AS rk FROM campaigns WHERE visible AND length(raw_text) > 30),
 corpus AS (SELECT company, string_agg(t, chr(10) ORDER BY rk) AS corpus FROM picked WHERE rk <= 20 GROUP BY company)
 """
@@ -389,10 +394,10 @@ def company_corpus(spark, base):
 
 
 @query("phrase_presence", C + CORPUS_CTE + " UNION ALL ".join(
-    f"SELECT {i + 1}::BIGINT AS phrase_no, '{p}' AS phrase WHERE EXISTS (SELECT 1 FROM corpus WHERE contains(corpus, '{p}'))"
+    f"SELECT {i + 1}::BIGINT AS phrase_no, '{p}' AS phrase WHERE EXISTS (SELECT 1 FROM picked WHERE contains(t, '{p}'))"
     for i, p in enumerate(COMMON_PHRASES)))
 def phrase_presence(spark, base):
-    return an.phrase_presence(an.company_corpus(ad.campaigns(spark, base), PARAMS))
+    return an.phrase_presence(an.corpus_texts(ad.campaigns(spark, base), PARAMS))
 
 
 LISTED_CTE = f""", listed AS (SELECT *, {ACT} AS act, company = '{FOCAL}' AS focal, {END} AS end_day FROM campaigns WHERE visible),

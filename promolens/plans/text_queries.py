@@ -286,14 +286,15 @@ def parsed_responses(spark, base):
   CASE WHEN ok THEN CASE r.level WHEN '높음' THEN 4.0 WHEN '중상' THEN 3.0 WHEN '낮음' THEN 1.0 ELSE 2.0 END ELSE score END::DOUBLE AS benefit_score,
   CASE WHEN ok THEN 'gemini' ELSE 'rule' END AS source, CASE WHEN ok THEN 0.85 ELSE 0.5 END::DOUBLE AS insight_confidence,
   CASE WHEN ok THEN r.threat ELSE threat_level END AS threat_level, CASE WHEN ok THEN r.event_type ELSE category END AS category,
-  CASE WHEN ok THEN 'summary ' || k ELSE one_line_summary END AS one_line_summary,
+  CASE WHEN ok THEN 'summary ' || k ELSE one_line_summary END AS one_line_summary, CASE WHEN ok THEN 'reason ' || k END AS threat_reason,
+  CASE WHEN ok THEN 'takeaway ' || k END AS marketing_takeaway, CASE WHEN ok THEN 'e' || k ELSE '' END AS evidence, CASE WHEN ok THEN 'w | ' || k ELSE '' END AS weaknesses,
   CASE WHEN ok THEN 'k' || k ELSE array_to_string(pts, ' | ') END AS competitive_points
   FROM (SELECT * FROM rated) c LEFT JOIN responses r ON r.id = c.id""")
 def hybrid_insights(spark, base):
     merged = sc.hybrid_insights(_scored(spark, base), rs.parse_responses(ad.response_texts(spark, base)))
     return merged.select(
         "id", "benefit_level", "benefit_score", "source", "insight_confidence", "threat_level", "category",
-        "one_line_summary", "competitive_points",
+        "one_line_summary", "threat_reason", "marketing_takeaway", "evidence", "weaknesses", "competitive_points",
     )
 
 
@@ -308,9 +309,9 @@ def insight_overlay(spark, base):
 
 
 @query("request_prompts", "WITH " + ov.CAMPAIGNS + """SELECT id, concat_ws(chr(10), 'company: ' || company, 'title: ' || title, 'period: ' || coalesce(nullif(period, ''), '미추출'),
-  'target: ' || left(target_segment, 300), 'benefit: ' || coalesce(left(nullif(benefit_value, ''), 600), '미추출'), 'conditions: ' || coalesce(left(nullif(conditions, ''), 500), '미추출'),
-  'sections:', CASE WHEN has_content THEN concat_ws(chr(10), '[혜택_상세] ' || left(title || ' 혜택', 200) || ' / ', '[참여방법] 앱 응모 / ' || segment,
-    CASE WHEN id % 2 = 0 THEN '[파트너십] 스타벅스' END) ELSE '(섹션 데이터 없음)' END, 'page:', left(coalesce(raw_text, ''), 2500)) AS prompt FROM campaigns""")
+  'target: ' || target_segment, 'benefit: ' || coalesce(nullif(benefit_value, ''), '미추출'), 'conditions: ' || coalesce(nullif(conditions, ''), '미추출'),
+  'sections:', CASE WHEN has_content THEN concat_ws(chr(10), '[혜택_상세] ' || title || ' 혜택' || ' / ', '[참여방법] 앱 응모 / ' || segment,
+    CASE WHEN id % 2 = 0 THEN '[파트너십] 스타벅스' END) ELSE '(섹션 데이터 없음)' END, 'page:', coalesce(raw_text, '')) AS prompt FROM campaigns""")
 def request_prompts(spark, base):
     events = ad.campaigns(spark, base).withColumn("marketing_content", records.content_map(F.col("marketing_content")))
     return rs.request_table(events, V.section_names)
@@ -365,7 +366,7 @@ def text_comparisons(spark, base):
     return found.select("id", "common_patterns", "condition_patterns", F.size(F.map_keys("differentiators")).alias("companies"))
 
 
-@query("extraction_records", E + """SELECT event_id AS id, 'https://www.example.com/e/' || event_id AS url, 't' || k AS title, left('source ' || repeat(event_type, 300), 1000) AS raw_text FROM ev""")
+@query("extraction_records", E + """SELECT event_id AS id, 'https://www.example.com/e/' || event_id AS url, 't' || k AS title, 'source ' || repeat(event_type, 300) AS raw_text FROM ev""")
 def extraction_records(spark, base):
     body = F.concat(F.lit('{"title":"t'), ad.props_k().cast("string"), F.lit('"}'))
     return rs.extraction_records(_answers(spark, base, body)).select("id", "url", "title", "raw_text")

@@ -53,14 +53,14 @@ INSIGHT_JSON = """
     `혜택_수준` STRING, `경쟁력_포인트` ARRAY<STRING>, `프로모션_전략` ARRAY<STRING>
 """
 
-# fixed values: the 18 keys of an analysis response
+# fixed values: the keys of an analysis response
 RESPONSE_JSON = """
     one_line_summary STRING, category STRING, threat_level STRING, threat_reason STRING,
     benefit_level STRING, benefit_detail STRING, target_clarity STRING, target_profile STRING,
     conditions_summary STRING, event_duration_type STRING, competitive_points ARRAY<STRING>,
     weaknesses ARRAY<STRING>, promo_strategies ARRAY<STRING>, objective_tags ARRAY<STRING>,
     target_tags ARRAY<STRING>, channel_tags ARRAY<STRING>, shinhan_response STRING,
-    marketing_takeaway STRING
+    marketing_takeaway STRING, evidence ARRAY<STRING>
 """
 
 # fixed values: keys of feed documents

@@ -29,15 +29,16 @@ def useful_captures(captures: DataFrame, vocab: Vocabulary) -> DataFrame:
     )
 
 
-def search_hits(results: DataFrame, vocab: Vocabulary, per_query: int = 5) -> DataFrame:
+def search_hits(results: DataFrame, vocab: Vocabulary, per_query: int | None = None) -> DataFrame:
     """Addresses behind search result links (``query, html``): known sites, with a
-    promotion word, first seen per query, a few per query."""
+    promotion word, first seen per query; all of them, or the first ``per_query``."""
     found = F.regexp_extract_all("html", F.lit(r"/url\?q=([^&\"]+)"), F.lit(1))
 
     def wanted(u: Column) -> Column:
         return text.contains_any(u, vocab.site_domains) & text.contains_any(u, vocab.search_url_words)
 
-    firsts = F.slice(F.array_distinct(F.filter(found, wanted)), 1, per_query)
+    firsts = F.array_distinct(F.filter(found, wanted))
+    firsts = firsts if per_query is None else F.slice(firsts, 1, per_query)
     return posexploded(results, ["query"], firsts, "position", "url")
 
 

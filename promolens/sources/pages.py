@@ -37,7 +37,7 @@ def call_links(pages: DataFrame, company: str | Column, list_url: str, vocab: Vo
         text.blank_to_null(text.clean_title(markup.class_text(F.col("a.inner"), r"\btitle\b"), vocab)),
         text.blank_to_null(text.clean_title(markup.inline_text(F.regexp_extract("a.inner", r"(?is)<strong\b[^>]*>(.*?)</strong>", 1)), vocab)),
         text.blank_to_null(text.clean_title(markup.attribute(F.regexp_extract("a.inner", r"(?is)<img\b[^>]*>", 0), "alt"), vocab)),
-        text.blank_to_null(text.clean_title(F.substring(plain, 1, 80), vocab)),
+        text.blank_to_null(text.clean_title(plain, vocab)),
     )
     return called.select(
         "page_id", "link_no",
@@ -114,8 +114,8 @@ def detail_records(pages: DataFrame, company: str | Column) -> DataFrame:
     )
 
 
-def promotion_links(pages: DataFrame, vocab: Vocabulary, per_page: int = 20) -> DataFrame:
-    """Links that look like promotions, absolute, distinct in order, a few per page."""
+def promotion_links(pages: DataFrame, vocab: Vocabulary, per_page: int | None = None) -> DataFrame:
+    """Links that look like promotions, absolute, distinct in order; all of a page, or its first ``per_page``."""
     href = lambda a: a["href"]
 
     def target(a: Column, base: Column) -> Column:
@@ -137,23 +137,23 @@ def promotion_links(pages: DataFrame, vocab: Vocabulary, per_page: int = 20) ->
         found,
         lambda u: u.isNotNull() & (~F.lower(u).contains("list") | F.lower(u).contains("detail")),
     )
-    firsts = F.slice(F.array_distinct(kept), 1, per_page)
+    firsts = F.array_distinct(kept)
+    firsts = firsts if per_page is None else F.slice(firsts, 1, per_page)
     return posexploded(pages, ["page_id"], firsts, "position", "target")
 
 
 def container_records(
-    pages: DataFrame, company: str | Column, site: str, list_url: str, per_page: int = 50,
+    pages: DataFrame, company: str | Column, list_url: str, per_page: int | None = None,
     required_words: tuple[str, ...] = (),
 ) -> DataFrame:
     """List containers (``li`` items) of a generic list page to records.
 
     Title from a heading, a title class or strong text (at least three characters,
-    on one site also with a required word); address made absolute or the list page
-    itself; period text from a date or period class, else the no-information marker.
+    on one site also with a required word); address made absolute, or the list page
+    itself where it is empty or a script; period text from a date or period class, else the no-information marker.
     """
-    items = F.slice(
-        F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), 1, per_page
-    )
+    items = F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
+    items = items if per_page is None else F.slice(items, 1, per_page)
     rows = posexploded(pages, ["page_id"], items, "position", "inner")
     heading = F.coalesce(
         text.blank_to_null(markup.inline_text(F.regexp_extract("inner", r"(?is)<h[34]\b[^>]*>(.*?)</h[34]>", 1))),
@@ -164,10 +164,8 @@ def container_records(
     staged = rows.withColumns({"title": heading, "_href": href})
     if required_words:
         staged = staged.where(text.contains_any(F.col("title"), required_words))
-    address = (
-        F.when(F.col("_href").startswith("/"), F.concat(F.lit(site), F.col("_href")))
-        .when(F.col("_href") == "", F.lit(list_url)).otherwise(F.col("_href"))
-    )
+    unusable = (F.col("_href") == "") | F.col("_href").rlike(urls.UNUSABLE)
+    address = F.when(unusable, F.lit(list_url)).otherwise(urls.absolutise(F.col("_href"), F.lit(list_url)))
     return staged.where(F.length("title") >= 3).select(
         "page_id", "position", (F.lit(company) if isinstance(company, str) else company).alias("company"),
         address.alias("url"), "title",
