@@ -187,11 +187,11 @@ def statistics(events: DataFrame, params: Params) -> DataFrame:
 def header_kpis(events: DataFrame, params: Params) -> DataFrame:
     """Dashboard head line in one pass, by way of the companies; activity is the lenient one."""
     active = periods.lenient_active(F.col("status"), F.col("period"), params.as_of)
-    flags = computed_once(events.select("company", "title", "period", "status", "marketing_content", "marketing_insights"), {
-        "_shown": records.visible(params), "_active": active,
-        "_insight": F.try_parse_json(F.col("marketing_insights")).isNotNull(),
-        "_extracted": records.has_json_content(F.col("marketing_content")),
-    })
+    flags = events.select(
+        "company", records.visible(params).alias("_shown"), active.alias("_active"),
+        F.try_parse_json(F.col("marketing_insights")).isNotNull().alias("_insight"),
+        records.has_json_content(F.col("marketing_content")).alias("_extracted"),
+    )
     shown = F.col("_shown")
     counted = {
         "total": shown, "active": shown & F.col("_active"), "ended": shown & ~F.col("_active"),

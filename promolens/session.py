@@ -9,6 +9,8 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # texts, pages and items unfold after the shuffle, so small partitions are worth a task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

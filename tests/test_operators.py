@@ -213,3 +213,58 @@ def test_long_values_stay_whole(spark):
     assert ingest.ingest_run(rows, spark.createDataFrame([], "url STRING"), [F.asc("arrival")], P).count() == 300
     two = Params(as_of=P.as_of, focal=P.focal, ingest_limit_per_company=2)
     assert ingest.ingest_run(rows, spark.createDataFrame([], "url STRING"), [F.asc("arrival")], two).count() == 2
+
+
+def test_prompts_keep_everything(spark):
+    from promolens.operators import responses
+
+    long = "x" * 5000
+    row = (1, "A", "t", "", long, long, None, long, {"other": ["o"], "benefit": [str(i) * 300 for i in range(9)], "none": []})
+    df = spark.createDataFrame([row, (2, None, None, None, None, None, None, None, None)], """id long, company string, title string, period string,
+        target_segment string, benefit_value string, conditions string, raw_text string, marketing_content map<string,array<string>>""")
+    got = as_dict(responses.request_table(df, ["benefit", "absent"]).collect(), "id", "prompt")
+    assert got[1].count(long) == 3 and "[benefit] " + " / ".join(str(i) * 300 for i in range(9)) + "\n[other] o\n" in got[1]
+    assert "섹션 데이터 없음" in got[2]
+
+
+def test_hybrid_insights_keep_the_answer(spark):
+    from promolens.operators import responses, scoring
+
+    empty = "array<string>"
+    rules = spark.createDataFrame([(1, "낮음", 1.0, "낮음", [], [], [], [], [], None, 0.5, "rule"), (2, "낮음", 1.0, "낮음", ["p"], [], [], [], [], None, 0.5, "rule")], f"""
+        id long, benefit_level string, benefit_score double, target_clarity string, competitive_points {empty}, promo_strategies {empty},
+        objective_tags {empty}, target_tags {empty}, channel_tags {empty}, insight_threat string, insight_confidence double, source string""")
+    answer = '{"benefit_level":"높음","threat_reason":"r","evidence":["e"],"weaknesses":["w"],"shinhan_response":"s"}'
+    parsed = responses.parse_responses(spark.createDataFrame([(1, answer), (2, "broken")], "id long, response string"))
+    got = {r.id: r for r in scoring.hybrid_insights(rules, parsed).collect()}
+    assert (got[1].threat_reason, got[1].evidence, got[1].weaknesses, got[1].shinhan_response, got[1].benefit_score) == ("r", ["e"], ["w"], "s", 4.0)
+    assert (got[2].threat_reason, got[2].evidence, got[2].source, got[2].competitive_points) == (None, [], "rule", ["p"])
+
+
+def test_page_lists_are_whole(spark):
+    from promolens.sources import captures, pages
+    from promolens.vocabulary import Vocabulary
+
+    items = "".join(f"<li><h3>이벤트 {i} 안내</h3><a href='view.do?id={i}'>x</a></li>" for i in range(80)) + "<li><h3>이벤트 script</h3><a href='javascript:go(1)'>x</a></li>"
+    df = spark.createDataFrame([(1, "https://a.example/x/list.do", items)], "page_id long, url string, html string")
+    got = pages.container_records(df, "A", "https://a.example/x/list.do").orderBy("position").collect()
+    assert len(got) == 81 and got[3].url == "https://a.example/x/view.do?id=3" and got[80].url == "https://a.example/x/list.do"
+    assert pages.container_records(df, "A", "https://a.example/x/list.do", per_page=5).count() == 5
+    html = "".join(f'<a href="/url?q=https://www.kbcard.com/event/{i}&x">y</a>' for i in range(30))
+    assert captures.search_hits(spark.createDataFrame([("q", html)], "query string, html string"), Vocabulary()).count() == 30
+
+
+def test_normalised_addresses(spark):
+    from promolens.functions import urls
+    from promolens.vocabulary import Vocabulary
+    from pyspark.sql import functions as F
+
+    cases = {
+        "HTTPS://A.example/p?b=2&a=1&utm_source=x#frag?no": "https://A.example/p?a=1&b=2", "https://a.example?": "https://a.example",
+        "https://a.example/p?x=a:b/c?d": "https://a.example/p?x=a%3Ab%2Fc%3Fd", "view.do?id=3": "https://h.example/d/view.do?id=3",
+        "/x:y?utm_source=1": "https://h.example/x:y", "javascript:go(1)": "", "https:///p": "", "": "", "//o.example/q#f": "https://o.example/q",
+        "#top": "https://h.example/d/list.do", "ftp:x": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    got = df.select("u", urls.normalise_url(F.col("u"), F.lit("https://h.example/d/list.do"), Vocabulary()).alias("n")).collect()
+    assert as_dict(got, "u", "n") == cases
