@@ -4,16 +4,17 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
 import compare
+from promolens.plans import catalog
 
 BASE = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 # The heavier half runs in tools/compare.py; these cover every operator family.
 NAMES = [
     "category_gap", "company_overview", "gap_trend", "strategy_map", "benefit_benchmark", "weekly_changes", "risk_lists",
     "feed_a_records", "page_block_links", "insert_if_new", "normalised_urls", "latest_insights", "manual_edits", "probe_cutoff",
     "candidate_lines", "document_sections", "rule_insights", "parsed_responses",
+    "header_kpis", "status_counts", "intelligence", "hybrid_insights", "request_prompts", "page_containers",
 ]
 
 
