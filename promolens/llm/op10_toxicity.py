@@ -2,8 +2,10 @@
 
 score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>) over the distinct known terms of a text: the pairwise part
 lets two terms weigh together what neither does alone. Terms are words without case, ASCII punctuation and digits,
-and the first 4, 5 and 6 bytes of longer ones (inflected forms share them), hashed to 40 bits; those of at least
-``MIN_DOCS`` sample texts, whose shares among the two labels differ by ``LEAST_Z`` standard errors, are known.
+and the first 4, 5 and 6 bytes of longer ones (inflected forms share them), hashed to 40 bits. Of those in at least
+``MIN_DOCS`` sample texts two kinds are known: terms whose shares among the two labels differ by ``LEAST_Z`` standard
+errors, and both terms of every pair whose texts hold more or less toxic ones than a first model of the former terms
+expects (Chernoff bound over all pairs looked at). Terms that say something only together are of the second kind.
 
 The model is fitted on a bounded sample of labelled rows outside the held-out fold: at most ``POSITIVES`` and
 ``NEGATIVES`` documents in an order of hashed ids. The sample's terms meet in one task; only the model
@@ -28,6 +30,9 @@ FACTORS, EPOCHS, RATE, DECAY, BATCH = 6, 12, 0.08, 2e-4, 128
 THRESHOLD = 0.3
 HEADS = (4, 5, 6)
 LEAST_Z = 4.0
+#: Of the pairs: log of the odds against any found by chance, and block sizes of the count.
+MARGIN, COLUMNS, TEXTS = 3.0, 256, 1024
+STEPS = 300
 
 
 def terms(column) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,10 +83,70 @@ def fit(texts: list[np.ndarray], label: np.ndarray) -> Model:
     p = count / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
     z = (bad / max(n1, 1) - (count - bad) / max(n - n1, 1)) / spread
+    often = every[count >= MIN_DOCS]
     known = every[(count >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)]
     del every, count, own, times, bad, p, spread, z
-    if not len(known) or not len(label):
+    if not len(label):
         return Model(np.zeros(0, np.uint64), -35.0, np.zeros(0), np.zeros((0, FACTORS)))
+    m, expected = trained(known, texts, label)
+    more = np.setdiff1d(together(often, texts, label, expected), known)
+    if len(more):
+        m, _ = trained(np.union1d(known, more), texts, label, pairs=True)
+    return m if len(m.known) else Model(m.known, -35.0, m.weight, m.factor)
+
+
+def together(often: np.ndarray, texts: list[np.ndarray], label: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Terms of the pairs (a term with itself is one) whose joint texts differ in label from ``expected``.
+
+    ``n`` joint texts with a mean label of q and a mean expectation of e are less likely than exp(-n KL(q, e)).
+    """
+    expected = np.clip(expected, 1e-3, 1 - 1e-3)
+    there = [np.searchsorted(often, t[np.isin(t, often, assume_unique=True)]) for t in texts]
+    feature = np.concatenate(there)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in there])
+    # heads with the texts of their word are one column
+    code = np.random.default_rng(8).integers(0, 2**63, len(texts), dtype=np.uint64)
+    same = np.zeros(len(often), np.uint64)
+    np.add.at(same, feature, code[row])
+    one = np.zeros(len(often), bool)
+    one[np.unique(same, return_index=True)[1]] = True
+    # what all texts of one label with the term could show at most; pairs have no more texts than their terms
+    least = 2 * np.log(max(2, one.sum())) + MARGIN
+    most = np.maximum(
+        np.bincount(feature, weights=np.where(label[row] > 0, -np.log(expected[row]), 0), minlength=len(often)),
+        np.bincount(feature, weights=np.where(label[row] > 0, 0, -np.log(1 - expected[row])), minlength=len(often)))
+    kept = np.flatnonzero(one & (most >= least))
+    if not len(kept):
+        return often[:0]
+    place = np.full(len(often), -1)
+    place[kept] = np.arange(len(kept))
+    on = place[feature] >= 0
+    feature, row = place[feature[on]], row[on]
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    hit = np.zeros(len(kept), bool)
+    for a in range(0, len(kept), COLUMNS):
+        left, width = min(COLUMNS, len(kept) - a), len(kept) - a
+        n, k, e = (np.zeros((left, width), np.float32) for _ in range(3))
+        for d in range(0, len(texts), TEXTS):
+            f, r = feature[first[d]: first[min(d + TEXTS, len(texts))]], row[first[d]: first[min(d + TEXTS, len(texts))]] - d
+            x = np.zeros((min(TEXTS, len(texts) - d), width), np.float32)
+            x[r[f >= a], f[f >= a] - a] = 1
+            y = x[:, :left].T
+            n += y @ x
+            e += (y * expected[d: d + TEXTS].astype(np.float32)) @ x
+            bad = np.flatnonzero(label[d: d + TEXTS])
+            k += y[:, bad] @ x[bad]
+        i, j = np.nonzero(n >= MIN_DOCS)
+        n, k, e = n[i, j].astype(float), k[i, j].astype(float), e[i, j].astype(float)
+        q, e = k / n, e / n
+        shown = n * (q * np.log(np.maximum(q, 1e-12) / e) + (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - e)))
+        hit[a + i[shown >= least]] = hit[a + j[shown >= least]] = True
+    return often[kept[hit]]
+
+
+def trained(known: np.ndarray, texts: list[np.ndarray], label: np.ndarray, pairs: bool = False) -> tuple[Model, np.ndarray]:
+    """The model over ``known``, and its scores of the sample. ``pairs``: some terms start with no slope in their
+    weights, factors take full and at least ``STEPS`` steps."""
     there = [np.searchsorted(known, t[np.isin(t, known, assume_unique=True)]) for t in texts]
     feature = np.concatenate(there)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in there])
@@ -90,7 +155,8 @@ def fit(texts: list[np.ndarray], label: np.ndarray) -> Model:
     rate = np.clip(label.mean(), 1e-3, 1 - 1e-3)
     m = Model(known, float(np.log(rate / (1 - rate))), np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
     seen_b, seen_w, seen_v = 1e-6, np.full(len(known), 1e-6), np.full((len(known), FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts))) if pairs else EPOCHS
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             docs = order[at: at + BATCH]
@@ -111,8 +177,8 @@ def fit(texts: list[np.ndarray], label: np.ndarray) -> Model:
             seen_v[used] += gv * gv
             m.bias -= RATE * gb / np.sqrt(seen_b)
             m.weight[used] -= RATE * g / np.sqrt(seen_w[used])
-            m.factor[used] -= 0.2 * RATE * gv / np.sqrt(seen_v[used])
-    return m
+            m.factor[used] -= (1 if pairs else 0.2) * RATE * gv / np.sqrt(seen_v[used])
+    return m, sigmoid(m.logits(row, feature, len(texts)))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:

@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,27 @@ def test_language_and_toxicity(spark, docs, none):
     assert t.where("toxic = 0 and predicted = 1").count() <= 0.02 * t.where("toxic = 0").count()
 
 
+def test_toxic_only_together(spark):
+    def drawn(n, seed):
+        rng, out = np.random.default_rng(seed), []
+        for _ in range(n):
+            toxic, half = int(rng.random() < 0.25), rng.random() < 0.5
+            own = ["crows birds", "idiot"][half] if toxic else ["crows", "birds"][half]
+            fill = [f"{chr(97 + x % 26)}{chr(97 + x // 26)}x" for x in rng.integers(0, 400, 30)]
+            out.append((" ".join([*fill[:15], own, *fill[15:]]), toxic))
+        return out
+
+    # each of the two words is in half of the texts of either label
+    texts = drawn(800, 1)
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model, fresh = toxicity.learned(docs, labels), drawn(400, 2)
+    got = model.scores(pa.array([x for x, _ in fresh])) >= toxicity.THRESHOLD
+    both = np.array(["crows birds" in x for x, _ in fresh])
+    other = np.array([not y for _, y in fresh])
+    assert got[both].mean() > 0.9 and got[other].mean() < 0.05
+
+
 def test_chat(spark):
     turns = [(1, i, r, t) for i, (r, t) in enumerate([("user", "Who?\nTell me."), ("assistant", "It is so.\nand so.\nYes."), ("user", "Why?")] * 60)]
     turns += [(2, 0, "user", "Hi?"), (2, None, "user", "x"), (None, 0, "system", "Be kind."), (3, 1, None, None), (3, 2, "user", ""), (2, 0, "user", "Hi?")]
