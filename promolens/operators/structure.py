@@ -320,10 +320,10 @@ def extract_pages(pages: DataFrame, vocab: Vocabulary, rendered: str | None = No
 DIGEST_DROPPED = ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript")
 
 
-def page_digest(pages: DataFrame, max_chars: int = 8000) -> DataFrame:
+def page_digest(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Title, period, body, tables, lists, image texts and description of a page as lines.
 
-    Repeated neighbouring lines appear once.
+    Repeated neighbouring lines appear once. ``max_chars`` shortens the digest for display, never the lines.
     """
     html = F.col("_html")
 
@@ -337,7 +337,7 @@ def page_digest(pages: DataFrame, max_chars: int = 8000) -> DataFrame:
     dated = markup.class_text(html, r"\b(?:event-period|period|date|event-date)\b")
     period = F.when(dated.rlike("[~-]|부터|까지|기간"), dated)
     body = F.coalesce(markup.first_element(html, ("article", "main", "body")), html)
-    tables = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1)), 1, 3)
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
 
     def table_lines(t: Column, i: Column) -> Column:
         rows = F.transform(
@@ -350,16 +350,16 @@ def page_digest(pages: DataFrame, max_chars: int = 8000) -> DataFrame:
         name = F.concat(F.lit(f"[{label} "), (i + 1).cast("string"), F.lit("]"))
         return F.when(F.size(values) > 0, F.concat(F.array(name), values)).otherwise(_none())
 
-    lists = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<[uo]l\b[^>]*>(.*?)</[uo]l>"), F.lit(1)), 1, 5)
+    lists = F.regexp_extract_all(html, F.lit(r"(?is)<[uo]l\b[^>]*>(.*?)</[uo]l>"), F.lit(1))
 
     def list_lines(u: Column, i: Column) -> Column:
         items = markup.element_texts(u, "li")
         useful = F.filter(items, lambda t: F.length(t) > 5)
         dashed = F.transform(useful, lambda t: F.concat(F.lit("- "), t))
-        return block_at("목록", i, F.when(F.size(items).between(1, 29), dashed).otherwise(_none()))
+        return block_at("목록", i, dashed)
 
     alts = F.transform(
-        F.slice(F.regexp_extract_all(html, F.lit(r'(?is)<img\b[^>]*\balt="([^"]*)"'), F.lit(1)), 1, 15),
+        F.regexp_extract_all(html, F.lit(r'(?is)<img\b[^>]*\balt="([^"]*)"'), F.lit(1)),
         lambda a: text.ustrip(markup.unescape(a)),
     )
     images = F.transform(
@@ -374,13 +374,14 @@ def page_digest(pages: DataFrame, max_chars: int = 8000) -> DataFrame:
     digest = pages.withColumn("_html", markup.drop_elements(F.col("html"), DIGEST_DROPPED)).withColumn(
         "lines", drop_repeats(lines)
     )
-    whole = F.array_join("lines", "\n")
-    shown = let(
-        whole,
-        lambda w: F.when(
-            F.length(w) > max_chars, F.concat(F.substring(w, 1, max_chars), F.lit("\n...(내용 생략)"))
-        ).otherwise(w),
-    )
+    shown = F.array_join("lines", "\n")
+    if max_chars is not None:
+        shown = let(
+            shown,
+            lambda w: F.when(
+                F.length(w) > max_chars, F.concat(F.substring(w, 1, max_chars), F.lit("\n...(내용 생략)"))
+            ).otherwise(w),
+        )
     return digest.select("page_id", "lines", shown.alias("digest"))
 
 

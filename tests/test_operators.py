@@ -193,6 +193,21 @@ def test_digest_drops_repeats_and_reads_tables(spark):
     assert lines.count("같은 줄") == 1 and "구분 | 혜택" in lines and "- 목록 항목 하나" in lines and lines[0] == "[제목] 제목입니다"
 
 
+def test_digest_of_a_long_page_is_whole(spark):
+    tables = "".join(f"<table><tr><th>표 {i}</th><td>혜택 {i}</td></tr></table>" for i in range(6))
+    lists = "".join(f"<ul><li>목록 항목 번호 {i}</li></ul>" for i in range(8))
+    long = "<ol>" + "".join(f"<li>긴 목록 항목 {i}</li>" for i in range(40)) + "</ol>"
+    images = "".join(f'<img alt="행사 안내 그림 {i}">' for i in range(20))
+    html = f"<body><article><p>{'가' * 9000}</p></article>{tables}{lists}{long}{images}</body>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id BIGINT, url STRING, html STRING")
+    r = structure.page_digest(df).first()
+    for line in ("표 5 | 혜택 5", "- 목록 항목 번호 7", "- 긴 목록 항목 39", "- 행사 안내 그림 19", "가" * 9000):
+        assert line in r.lines
+    assert r.digest == "\n".join(r.lines)
+    short = structure.page_digest(df, max_chars=100).first()
+    assert short.lines == r.lines and short.digest == r.digest[:100] + "\n...(내용 생략)"
+
+
 def test_focal_contains_variant(spark):
     loose = Params(as_of=P.as_of, focal="신한", focal_match="contains")
     assert an.category_gap(seeded(spark), loose).count() == 6
