@@ -11,6 +11,9 @@ result is that of one pass.
 Input: conv_id, turn, text (transcript pieces, may hold several lines). Rows without text give no line; rows of a
 null conv_id form one transcript; rows without turn come first, in a part of their own. Rows of one turn number are
 ordered by text. Result: a row per recovered turn and part; one that goes on from the part before is ``continued``.
+Rendered text is that of the lines, blank ones too; only a line that opens a turn loses a marker of ``MARKERS``.
+Blank lines follow the line before them (those that open a part, the first line with it) and are not decoded or counted
+in n_lines; a part of blank lines only gives no row.
 """
 
 from __future__ import annotations
@@ -50,6 +53,20 @@ def lines_of(text: str | None) -> list[str]:
     return [x for x in text.split("\n") if x.strip()] if text else []
 
 
+def with_blanks(texts: list[str]) -> list[tuple[str, str, str]]:
+    """(line, before, after) of consecutive texts: the blank lines after each line, and those before the first."""
+    out, ahead = [], ""
+    for text in texts:
+        for x in text.split("\n") if text else ():
+            if x.strip():
+                out.append([x, "" if out else ahead, ""])
+            elif out:
+                out[-1][2] += "\n" + x
+            else:
+                ahead += x + "\n"
+    return [tuple(x) for x in out]
+
+
 class Hmm:
     def __init__(self, roles: list[str], counts: dict):
         self.roles = roles
@@ -132,23 +149,24 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
     rows = rows.withColumn("pack", F.pmod(F.xxhash64("conv_id", "part"), F.lit(packs)))
 
     def parts(t: pa.Table):
-        """(conv_id, part, lines) of a pack."""
+        """(conv_id, part, lines with their blank ones) of a pack."""
         order = [(x is not None, x or 0, y, z is not None, z or 0, w) for x, y, z, w in zip(*(t.column(c).to_pylist() for c in ("conv_id", "part", "turn", "text")))]
         order.sort()
         key, held = None, []
         for has, conv, p, _, _, text in order:
             now = (conv if has else None, p)
-            if now != key and held:
-                yield *key, held
+            if now != key:
+                if lines := with_blanks(held):
+                    yield *key, lines
                 held = []
             key = now
-            held = held + lines_of(text)
-        if held:
-            yield *key, held
+            held.append(text)
+        if lines := with_blanks(held):
+            yield *key, lines
 
     def score(t: pa.Table) -> pa.Table:
         m = hmm.value
-        got = [(c, p, m.across(m.emitted(np.array([features(x)[0] for x in lines]))).tobytes()) for c, p, lines in parts(t)]
+        got = [(c, p, m.across(m.emitted(np.array([features(x)[0] for x, _, _ in lines]))).tobytes()) for c, p, lines in parts(t)]
         return pa.table({"conv_id": pa.array([g[0] for g in got], pa.int64()), "part": pa.array([g[1] for g in got], pa.int64()), "m": pa.array([g[2] for g in got], pa.binary())})
 
     def joined(t: pa.Table) -> pa.Table:
@@ -177,13 +195,15 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
         out: list[tuple] = []
         for conv, p, lines in parts(t) if t.num_rows else ():
             entry, leave = at[conv, p]
-            seen = [features(x) for x in lines]
+            seen = [features(x) for x, _, _ in lines]
             states = m.path(m.emitted(np.array([s[0] for s in seen])), entry, leave)
             n = 0
             cuts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0] + [len(states)]
             for a, b in zip(cuts, cuts[1:]):
                 role = m.roles[int(states[a]) // 2]
-                text = "\n".join(s[1] for s in seen[a:b])
+                # the marker goes where the line opens a turn, and nowhere else
+                own = [seen[a][1] if states[a] % 2 == 0 else lines[a][0], *(x for x, _, _ in lines[a + 1: b])]
+                text = "\n".join(before + x + after for x, (_, before, after) in zip(own, lines[a:b]))
                 out.append((conv, p, n, role, bool(states[a] % 2), b - a, TURN.format(role=role, text=text)))
                 n += 1
         kinds = (("conv_id", pa.int64()), ("part", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string()))

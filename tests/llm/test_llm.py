@@ -253,6 +253,16 @@ def test_chat(spark):
     assert chat.formatted(df.drop("role").limit(0), model).count() == 0
 
 
+def test_chat_keeps_lines(spark):
+    answer = "Let me see.\n\nAnswer: 42\n    x = 1\n \n\nDone."
+    turns = [(c, t, ("user", "assistant")[t % 2], "User: What is it?" if t % 2 == 0 else "Assistant: " + answer) for c in range(5) for t in range(6)]
+    df = spark.createDataFrame([*turns, (9, 0, None, "\n\nUser: What is it?")], "conv_id long, turn long, role string, text string")
+    got = chat.formatted(df.drop("role"), chat.learned(df)).collect()
+    assert {r.rendered for r in got if r.role == "assistant"} == {chat.TURN.format(role="assistant", text=answer)}
+    assert [r.rendered for r in got if r.conv_id == 9] == [chat.TURN.format(role="user", text="\n\nWhat is it?")]
+    assert sum(r.n_lines for r in got) == 5 * (3 + 3 * 4) + 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
