@@ -13,7 +13,8 @@ null conv_id form one transcript; rows without turn come first, in a part of the
 ordered by text. Result: a row per recovered turn and part; one that goes on from the part before is ``continued``.
 Rendered text is that of the lines, blank ones too; only a line that opens a turn loses a marker of ``MARKERS``.
 Blank lines follow the line before them (those that open a part, the first line with it) and are not decoded or counted
-in n_lines; a part of blank lines only gives no row.
+in n_lines; a part of blank lines only gives no row. All roles count: the counts grow with the number of roles, the
+matrices with its square. Where no role could be learned every input row is a turn of null role, with its markers.
 """
 
 from __future__ import annotations
@@ -53,13 +54,16 @@ def lines_of(text: str | None) -> list[str]:
     return [x for x in text.split("\n") if x.strip()] if text else []
 
 
-def with_blanks(texts: list[str]) -> list[tuple[str, str, str]]:
-    """(line, before, after) of consecutive texts: the blank lines after each line, and those before the first."""
+def with_blanks(texts: list[str]) -> list[tuple[str, str, str, bool]]:
+    """(line, before, after, first) of consecutive texts: the blank lines after each line, those before the very first,
+    and whether the line is the first of its text."""
     out, ahead = [], ""
     for text in texts:
+        first = True
         for x in text.split("\n") if text else ():
             if x.strip():
-                out.append([x, "" if out else ahead, ""])
+                out.append([x, "" if out else ahead, "", first])
+                first = False
             elif out:
                 out[-1][2] += "\n" + x
             else:
@@ -94,7 +98,10 @@ class Hmm:
         """Best scores from every entry (the state before, or k for none) to every last state."""
         m = self.step + e[0]
         for t in range(1, len(e)):
-            m = (m[:, :, None] + self.step[None, : self.k]).max(1) + e[t]
+            if self.k > 32:  # one entry at a time: bounded by the square of the states
+                m = np.stack([(x[:, None] + self.step[: self.k]).max(0) for x in m]) + e[t]
+            else:
+                m = (m[:, :, None] + self.step[None, : self.k]).max(1) + e[t]
         return m
 
     def path(self, e: np.ndarray, entry: int, leave: int) -> np.ndarray:
@@ -113,16 +120,15 @@ class Hmm:
 def learned(turns: DataFrame) -> Hmm:
     """``turns`` with role; null roles and texts are left out."""
     known = turns.where("role is not null and text is not null")
-    roles = sorted(r[0] for r in known.groupBy("role").count().orderBy(F.desc("count"), "role").limit(16).collect())
+    roles = sorted(r[0] for r in known.select("role").distinct().collect())
+    place = {role: 2 * i for i, role in enumerate(roles)}
 
     def count(batches):
         total: dict = {}
         for batch in batches:
             for role, after, text in zip(*(batch.column(c).to_pylist() for c in ("role", "after", "text"))):
-                if role not in roles:
-                    continue
-                here = roles.index(role) * 2
-                before = roles.index(after) * 2 if after in roles else 2 * len(roles)
+                here = place[role]
+                before = place.get(after, 2 * len(roles))
                 for i, line in enumerate(lines_of(text)):
                     now = here + (i > 0)
                     for key in (("step", before, now), *((str(f), now, v) for f, v in enumerate(features(line)[0]))):
@@ -166,7 +172,7 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
 
     def score(t: pa.Table) -> pa.Table:
         m = hmm.value
-        got = [(c, p, m.across(m.emitted(np.array([features(x)[0] for x, _, _ in lines]))).tobytes()) for c, p, lines in parts(t)]
+        got = [(c, p, m.across(m.emitted(np.array([features(x[0])[0] for x in lines]))).tobytes()) for c, p, lines in parts(t)]
         return pa.table({"conv_id": pa.array([g[0] for g in got], pa.int64()), "part": pa.array([g[1] for g in got], pa.int64()), "m": pa.array([g[2] for g in got], pa.binary())})
 
     def joined(t: pa.Table) -> pa.Table:
@@ -195,28 +201,40 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
         out: list[tuple] = []
         for conv, p, lines in parts(t) if t.num_rows else ():
             entry, leave = at[conv, p]
-            seen = [features(x) for x, _, _ in lines]
+            seen = [features(x[0]) for x in lines]
             states = m.path(m.emitted(np.array([s[0] for s in seen])), entry, leave)
             n = 0
             cuts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0] + [len(states)]
             for a, b in zip(cuts, cuts[1:]):
                 role = m.roles[int(states[a]) // 2]
                 # the marker goes where the line opens a turn, and nowhere else
-                own = [seen[a][1] if states[a] % 2 == 0 else lines[a][0], *(x for x, _, _ in lines[a + 1: b])]
-                text = "\n".join(before + x + after for x, (_, before, after) in zip(own, lines[a:b]))
+                own = [seen[a][1] if states[a] % 2 == 0 else lines[a][0], *(x[0] for x in lines[a + 1: b])]
+                text = "\n".join(before + x + after for x, (_, before, after, _) in zip(own, lines[a:b]))
                 out.append((conv, p, n, role, bool(states[a] % 2), b - a, TURN.format(role=role, text=text)))
                 n += 1
+        return turn_table(out)
+
+    def apart(t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for conv, p, lines in parts(t):
+            cuts = [i for i, x in enumerate(lines) if x[3]] + [len(lines)]
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                text = "\n".join(before + x + after for x, before, after, _ in lines[a:b])
+                out.append((conv, p, n, None, False, b - a, TURN.format(role="", text=text)))
+        return turn_table(out)
+
+    def turn_table(out: list[tuple]) -> pa.Table:
         kinds = (("conv_id", pa.int64()), ("part", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string()))
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds)})
 
+    turns = "conv_id long, part long, turn int, role string, continued boolean, n_lines int, rendered string"
     if not model.roles:
-        return spark.createDataFrame([], "conv_id long, part long, turn int, role string, continued boolean, n_lines int, rendered string")
+        return rows.groupBy("pack").applyInArrow(apart, turns)
     scores = rows.groupBy("pack").applyInArrow(score, "conv_id long, part long, m binary")
     # one group per hash of conv_id: the small matrices of a transcript meet in order
     ends = scores.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(packs)).alias("h")).applyInArrow(joined, "conv_id long, part long, entry long, leave long")
     ends = stage(ends, "ends").withColumn("pack", F.pmod(F.xxhash64("conv_id", "part"), F.lit(packs)))
-    return rows.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(
-        decode, "conv_id long, part long, turn int, role string, continued boolean, n_lines int, rendered string")
+    return rows.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(decode, turns)
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
@@ -231,7 +249,6 @@ def transcripts(turns: DataFrame) -> DataFrame:
 
 
 def op3_chat_format(spark, base: str) -> DataFrame:
-    """Transcripts are derived from the turns of ``conversations``; the model sees roles of one conversation in four."""
+    """Transcripts are derived from the turns of ``conversations``; the model is learned from all that have a role."""
     turns = transcripts(table(spark, base, "conversations").select("conv_id", "turn", "role", "text"))
-    model = learned(turns.where(F.pmod(F.xxhash64("conv_id"), F.lit(4)) == 0))
-    return formatted(turns.drop("role"), model)
+    return formatted(turns.drop("role"), learned(turns))

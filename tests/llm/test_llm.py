@@ -263,6 +263,22 @@ def test_chat_keeps_lines(spark):
     assert sum(r.n_lines for r in got) == 5 * (3 + 3 * 4) + 1
 
 
+def test_chat_learns_from_all_turns(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string"
+    few = [(None, 0, "user", "Who?"), (None, 1, "assistant", "It is so.")]
+    roles = [f"r{i:02}" for i in range(20)]
+    many = [(c, t, role, f"R{role[1:]}x: {'w ' * (3 * i)}") for c in range(3) for t, (i, role) in enumerate(enumerate(roles))]
+    for name, rows in (("few", few), ("many", many)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "conversations.parquet"))
+        assert sum(r.n_lines for r in chat.op3_chat_format(spark, str(tmp_path / name)).collect()) == len(rows)
+    assert chat.learned(spark.createDataFrame(many, schema)).roles == roles
+    # nothing to learn: the rows themselves, with all their text
+    bare = spark.createDataFrame([(1, 0, None, "User: Hi?\n\nA: b"), (1, 1, None, "So."), (1, 2, None, None)], schema)
+    got = sorted(chat.formatted(bare.drop("role"), chat.learned(bare)).collect(), key=lambda r: r.turn)
+    assert [(r.role, r.n_lines, r.rendered) for r in got] == [
+        (None, 2, chat.TURN.format(role="", text="User: Hi?\n\nA: b")), (None, 1, chat.TURN.format(role="", text="So."))]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
