@@ -6,6 +6,9 @@ import functools
 
 from promolens.llm import (
     op10_toxicity,
+    op11_token_counts,
+    op12_lexical_search,
+    op13_prefix_trie,
     op1_training_order,
     op2_ngram_jaccard_join,
     op3_chat_format,
@@ -21,7 +24,8 @@ from promolens.llm.ship import ship
 MODULES = (
     op1_training_order, op2_ngram_jaccard_join, op3_chat_format, op4_bpe,
     op5_url_filter, op6_substring_dedup, op7_decontamination, op8_language_id,
-    op9_exact_topk, op10_toxicity,
+    op9_exact_topk, op10_toxicity, op11_token_counts, op12_lexical_search,
+    op13_prefix_trie,
 )
 
 
