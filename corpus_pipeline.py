@@ -28,11 +28,22 @@ PASSAGE_WORDS = 50
 ORACLE_SQL = None
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as ``row``, out of reach of the operators' own column names."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__")).alias("row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`") for c in docs.columns}
+    return df.select(*[column.alias(c) for c, column in (own | changed).items()])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model of ``sf_dir``'s labels rejects go."""
     ship(spark)
-    rated = toxicity.rated(docs, table(spark, sf_dir, "labels"))
-    return rated.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(toxicity.rated(packed(docs), table(spark, sf_dir, "labels")).where("predicted = 0"), docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +53,19 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word sequences that occur again are cut from the texts; n_chars follows."""
+    """Word sequences that occur again are cut from the texts; n_chars follows where there is one."""
     ship(spark)
-    cut = passages.remove_repeats(docs, length=PASSAGE_WORDS)
-    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", chars).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut, changed = passages.remove_repeats(packed(docs), length=PASSAGE_WORDS), {}
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+        changed["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return unpacked(cut, docs, **changed)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths of an item's five-word shingles go."""
     ship(spark)
-    held = leaks.marked(docs, table(spark, sf_dir, "benchmark"))
-    return held.where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(leaks.marked(packed(docs), table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0), docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
