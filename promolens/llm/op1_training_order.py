@@ -7,8 +7,9 @@ sequence its slot: a bijection that needs no sort and no shared state. Slots are
 ``per_shard`` sequences; a shard is one file ``shard-NNNNNNNN.bin`` in which slot s lies at byte
 ``(s - first slot) * length``. So training reads sequentially from any slot and resumes by its number alone.
 
-Shards are written under another name and then moved; a retried task writes the same bytes, and a shard that is
-there in full is not written again. Any folder that pyarrow's file systems open will do.
+Shards are written under another name and then moved; a retried task writes the same bytes. A shard that is there
+with the same bytes is not written again, one with other bytes is replaced. Any folder that pyarrow's file systems
+open will do.
 
 As for ``zipWithIndex``, sequences are numbered by input partition in two passes, so ``docs`` must be read from
 files or a checkpoint; a partition that changed between the passes fails the job. Null and empty texts are
@@ -60,6 +61,14 @@ def file_system(root: str):
     return fs.FileSystem.from_uri(root)
 
 
+def file_crc(files, path: str) -> int:
+    crc = 0
+    with files.open_input_stream(path) as f:
+        while chunk := f.read(1 << 20):
+            crc = zlib.crc32(chunk, crc)
+    return crc
+
+
 def shard_path(root: str, shard: int) -> str:
     return f"{root}/shard-{shard:08d}.bin"
 
@@ -136,7 +145,10 @@ def materialise(docs: DataFrame, root: str, key: int = 20240229, length: int = L
         shard = t.column("shard")[0].as_py()
         files, base = file_system(root)
         path = shard_path(base, shard)
-        if files.get_file_info(path).size != t.num_rows * length:
+        wanted = 0
+        for body in t.column("body"):
+            wanted = zlib.crc32(zlib.decompress(body.as_py()), wanted)
+        if files.get_file_info(path).size != t.num_rows * length or file_crc(files, path) != wanted:
             files.create_dir(base, recursive=True)
             part = f"{path}.{uuid.uuid4().hex}"
             with files.open_output_stream(part) as f:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolens.llm import exchange as X
@@ -241,16 +241,20 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest doc_id of each group; of rows that repeat a doc_id the first
-    by text stays, rows without doc_id all stay."""
-    groups = similar_groups(docs, n, percent)
-    keep = stage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "keep")
-    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi")
-    if keep.where("rows > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy("text")
-        again = docs.join(keep.where("rows > 1"), "doc_id", "left_semi").select(F.struct("*").alias("row"), F.row_number().over(order).alias("place"))
-        kept = kept.unionByName(again.where("place = 1").select("row.*"))
-    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without all but the one of smallest doc_id in each group of linked rows. Rows that share a
+    doc_id are linked by their texts like any others; rows without doc_id all stay."""
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        keep = similar_groups(named, n, percent).where("doc_id = component_id").select("doc_id")
+        kept = docs.join(stage(keep, "keep"), "doc_id", "left_semi")
+    else:  # rows get numbers of their own, written so that they stay
+        rows = stage(named.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+        groups = similar_groups(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), n, percent)
+        groups = groups.select(F.col("doc_id").alias("number"), "component_id").join(rows.select("number", F.col("row.doc_id").alias("doc_id")), "number")
+        keep = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "number")).alias("first")).select("first.number")
+        kept = rows.join(stage(keep, "keep"), "number", "left_semi").select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def op2_ngram_jaccard_join(spark, base: str) -> DataFrame:

@@ -73,7 +73,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
         "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", F.lit(0).alias("kind"), "stack",
         F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     sweep = Window.partitionBy("at", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = probes.unionByName(rules_there).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    # dealt by both: a window is content with rows dealt by ``at`` alone, which would put a hot host in one task
+    swept = probes.unionByName(rules_there).repartition("at", "salt").withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     still = F.filter("open", lambda r: F.startswith(F.col("key"), r["key"]))
     top = swept.select("host", "path", F.length("at").alias("host_length"), F.element_at(F.when(F.size(still) > 0, still), -1).alias("top")).where("top is not null")
     best = top.groupBy("host", "path").agg(

@@ -10,7 +10,8 @@ document hashes that need a look. Candidates are verified on the whole sets.
 Documents are never shuffled: the benchmark goes to them in blocks of at most ``BLOCK`` bytes of sets by hashed id,
 one pass over the documents per block. Words are compared without ASCII case; hashes have 64 bits.
 
-Input: doc_id, text; item_id, text. Null texts and texts under ``n`` words have no n-gram and give no pair. Repeated
+Input: doc_id, text; item_id, text. An item under ``n`` words is one gram of its own length. Null texts and texts
+without words give no pair, documents under ``n`` words only with such short items. Repeated
 rows give repeated pairs for documents and one pair for items. Empty tables give no rows.
 """
 
@@ -99,28 +100,34 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80)
         for batch in batches:
             for a, b in sliced(batch):
                 part = batch.slice(a, b - a)
-                h, first = gram_sets(part.column("text"), n)
-                own = [np.unique(h[x:y]).tobytes() for x, y in zip(first[:-1], first[1:])]
-                yield pa.record_batch([part.column("item_id"), pa.array(own, pa.binary())], names=["item_id", "grams"])
-
-    items = benchmark.where("item_id is not null").select("item_id", "text").distinct().mapInArrow(sets, "item_id long, grams binary").where("length(grams) > 0")
+                length = np.minimum(np.diff(Words(part.column("text")).first), n)
+                own: list[bytes] = [b""] * part.num_rows
+                for k in np.unique(length[length > 0]).tolist():
+                    h, first = gram_sets(part.column("text"), k)
+                    for i in np.flatnonzero(length == k).tolist():
+                        own[i] = np.unique(h[first[i]: first[i + 1]]).tobytes()
+                yield pa.record_batch([part.column("item_id"), pa.array(length, pa.int32()), pa.array(own, pa.binary())], names=["item_id", "words", "grams"])
+
+    items = benchmark.where("item_id is not null").select("item_id", "text").distinct().mapInArrow(sets, "item_id long, words int, grams binary").where("length(grams) > 0")
     total = items.agg(F.sum(F.length("grams"))).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK))
     sc, names = docs.sparkSession.sparkContext, []
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())]))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        own = sorted(((r[0], np.frombuffer(r[1], np.uint64)) for r in rows), key=lambda x: (x[0], x[1].tobytes()))
-        index = sc.broadcast(Index(own, percent) if own else None)
+        by_length: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r["item_id"], bytes(r["grams"]))):
+            by_length.setdefault(r["words"], []).append((r["item_id"], np.frombuffer(r["grams"], np.uint64)))
+        index = sc.broadcast({words: Index(own, percent) for words, own in by_length.items()})
 
         def work(index=index):
             def do(part):
                 found: list[list] = [[] for _ in range(part.num_rows)]
-                if index.value:
-                    h, first = gram_sets(part.column("text"), n)
-                    for row, i, shared in index.value.found(h, np.repeat(np.arange(part.num_rows), np.diff(first))):
-                        size = len(index.value.sets[i])
-                        found[row].append({"item_id": index.value.ids[i], "n_item": size, "n_shared": shared, "containment": shared / size})
+                for words, own in index.value.items():
+                    h, first = gram_sets(part.column("text"), words)
+                    for row, i, shared in own.found(h, np.repeat(np.arange(part.num_rows), np.diff(first))):
+                        size = len(own.sets[i])
+                        found[row].append({"item_id": own.ids[i], "n_item": size, "n_shared": shared, "containment": shared / size})
                 return [pa.array(found, kind)]
 
             return do

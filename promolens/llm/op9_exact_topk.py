@@ -8,8 +8,9 @@ blocks meet in a window per query.
 
 Vectors are quantised to ``floor(64 * x)`` with x as double; scores are integers. Left out: null vectors, vectors
 with null or non-finite components, rows with a null vec_id. Vectors of other lengths than the query's aren't
-compared with it. Equal rows count once; a query is never its own candidate (same vec_id). Components are taken
-to fit 31 bits after scaling; larger ones take no part.
+compared with it. Equal rows count once; a query is never its own candidate (same vec_id). Vectors whose products
+could leave the range of exact doubles go through plain integers, pair by pair with the others. A score beyond 64 bits
+is shown, and ranked, as the nearest long.
 """
 
 from __future__ import annotations
@@ -108,10 +109,26 @@ def compare(q, q_ids, d, d_ids, rows, cols, score, ids) -> None:
         ids[rows] = np.take_along_axis(names, order, 1)
 
 
+def integers(q, q_ids, d, d_ids, k: int, out: dict) -> None:
+    """Adds the k best of each query by integers of any size."""
+    d = np.array([[int(e) for e in row] for row in d], object).reshape(d.shape)
+    for name, x in zip(q_ids.tolist(), q):
+        s = d @ np.array([int(e) for e in x], object)
+        s = [min(max(a, -(2**63)), 2**63 - 1) for a in s]
+        best = heapq.nsmallest(k, ((-a, i) for a, i in zip(s, d_ids.tolist()) if i != name))
+        out["query_id"] += [name] * len(best)
+        out["vec_id"] += [i for _, i in best]
+        out["score"] += [-a for a, _ in best]
+
+
 def quantised(vectors: DataFrame, vec: str, scale: int) -> DataFrame:
     """vec_id, v (array of double holding integers), dim; without the rows that take no part."""
-    x = F.transform(F.col(f"`{vec}`"), lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("double"))
-    usable = F.forall(F.col(f"`{vec}`"), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float(2**31 // scale)))
+    def whole(e):
+        y = F.lit(scale) * e.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # from there on all are whole
+
+    x = F.transform(F.col(f"`{vec}`"), whole)
+    usable = F.forall(F.col(f"`{vec}`"), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(F.lit(scale) * e.cast("double")) < math.inf))
     return vectors.where(F.col("vec_id").isNotNull() & F.col(f"`{vec}`").isNotNull() & usable).select("vec_id", x.alias("v")).distinct().withColumn("dim", F.size("v"))
 
 
@@ -131,19 +148,15 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, vec: str = "
         dim = t.column("dim")[0].as_py()
         v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim) if dim else np.zeros((len(names), 1))
         out = {"query_id": [], "vec_id": [], "score": []}
-        if query.any() and not query.all():
-            if np.abs(v).max() ** 2 * max(dim, 1) < 2.0**52:
-                score, ids = best_of(v[query], names[query], v[~query], names[~query], k)
-                good = np.isfinite(score)
-                out = {"query_id": np.repeat(names[query], k).reshape(-1, k)[good], "vec_id": ids[good], "score": score[good].astype(np.int64)}
-            else:  # products beyond exact doubles: plain integers, row by row
-                d, d_ids = v[~query].astype(np.int64).astype(object), names[~query]
-                for name, x in zip(names[query], v[query].astype(np.int64).astype(object)):
-                    s = d @ x
-                    best = heapq.nsmallest(k, ((-a, i) for a, i in zip(s, d_ids.tolist()) if i != name))
-                    out["query_id"] += [int(name)] * len(best)
-                    out["vec_id"] += [i for _, i in best]
-                    out["score"] += [-a for a, _ in best]
+        plain = np.abs(v).max(1, initial=0) ** 2 * max(dim, 1) < 2.0**52
+        q, d = query & plain, ~query & plain
+        if q.any() and d.any():
+            score, ids = best_of(v[q], names[q], v[d], names[d], k)
+            good = np.isfinite(score)
+            out = {"query_id": np.repeat(names[q], k).reshape(-1, k)[good].tolist(), "vec_id": ids[good].tolist(), "score": score[good].astype(np.int64).tolist()}
+        for some, others in ((query & plain, ~query & ~plain), (query & ~plain, ~query)):
+            if some.any() and others.any():
+                integers(v[some], names[some], v[others], names[others], k, out)
         return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
 
     found = data.unionByName(queries).groupBy("dim", "x", "y").applyInArrow(search, "query_id long, vec_id long, score long")
