@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promolens.functions import amounts, markup, periods, text
+from promolens.functions import amounts, dom, periods, text
+from promolens.functions.rows import computed_once
 from promolens.functions.text import let
 from promolens.vocabulary import Vocabulary
 
 NO_TEXTS = "array<string>"
 MIN_LINE, MENU_LINE = 6, 35
-FEW_LINES = 40
+#: Lines at the top of a page that are searched for its period first.
+TOP_LINES = 40
 
 
 def _none() -> Column:
@@ -55,12 +57,35 @@ def candidate_lines(raw: Column, vocab: Vocabulary) -> Column:
     return text.distinct_by_key(chunks, text.comparison_key)
 
 
-def merged_lines(lines: Column, full_lines: Column) -> Column:
-    """Lines of the raw text, topped up from the full page text when they are few."""
-    both = F.when(F.size(lines) < FEW_LINES, F.concat(lines, full_lines)).otherwise(lines)
+def merged_lines(lines: Column, full_lines: Column, few: int | None = None) -> Column:
+    """Lines of the raw text, then those of the full page text; with ``few`` only when the former are fewer."""
+    both = F.concat(lines, full_lines)
+    both = both if few is None else F.when(F.size(lines) < few, both).otherwise(lines)
     return text.distinct_by_key(both, text.comparison_key)
 
 
+# fixed values: where the body of a page is, and which of its elements may be a block of text
+AREAS = "main, article, .content, .event-detail, [class*='event'], [class*='detail'], [class*='campaign']"
+AREA_ELEMENTS = "div, section, p, li, td, span, h2, h3, h4, dl, dd"
+#: A container with more text than this is no block; what it contains is looked at by itself and by lines.
+BLOCK_CHARS, SECTION_BLOCK_CHARS = 320, 500
+
+
+def container_texts(tree: Column) -> Column:
+    """Texts of all elements of the body areas (of the page, if it has none), nested ones too."""
+
+    def below(area: Column) -> Column:
+        return dom.texts_of(tree, dom.select(tree, AREA_ELEMENTS, area), " ")
+
+    areas = dom.select(tree, AREAS)
+    return let(areas, lambda found: F.when(
+        F.size(found) > 0, F.flatten(F.transform(found, below))).otherwise(dom.texts_of(tree, dom.select(tree, AREA_ELEMENTS), " ")))
+
+
+def up_to(texts: Column, chars: int) -> Column:
+    return F.filter(texts, lambda t: F.length(t) <= chars)
+
+
 def keyword_blocks(sources: list[Column], keywords, vocab: Vocabulary) -> Column:
     """Texts with any keyword from several sources in priority order, distinct."""
 
@@ -82,39 +107,41 @@ def condition_blocks(sources: list[Column], vocab: Vocabulary) -> Column:
     return F.array_join(keyword_blocks(sources, words, vocab), " | ")
 
 
-def first_with(texts: Column, word: str) -> Column:
-    """First text that contains the word; null when none does."""
-    return F.get(F.filter(texts, lambda t: t.contains(word)), F.lit(0))
-
-
-def target_text(blocks: Column, lines: Column, vocab: Vocabulary) -> Column:
-    """Labelled element of moderate length, else a labelled line."""
+def target_text(
+    tree: Column, lines: Column, vocab: Vocabulary, element_max: int | None = None, line_max: int | None = None,
+) -> Column:
+    """Text of the element with a label (at least six characters), else a labelled line; at most as long as given."""
     options = [
         let(
-            first_with(blocks, label),
-            lambda t: F.when(F.length(t).between(6, 149), F.substring(t, 1, 120)),
+            dom.labelled(tree, label),
+            lambda t: F.when((F.length(t) >= MIN_LINE) & (F.lit(True) if element_max is None else F.length(t) <= element_max), t),
         )
         for label in vocab.target_element_labels
     ]
-    labelled = F.filter(
-        lines, lambda v: text.contains_any(v, vocab.target_labels) & (F.length(v) <= 160)
+    found = F.filter(
+        lines, lambda v: text.contains_any(v, vocab.target_labels) & (F.lit(True) if line_max is None else F.length(v) <= line_max)
     )
-    return F.coalesce(*options, F.get(labelled, F.lit(0)), F.lit(""))
+    return F.coalesce(*options, dom.first(found), F.lit(""))
+
+
+# fixed values: where a title may stand
+TITLE_CLASSES = (".event-title", ".title", ".tit", ".campaign-title", "[class*='tit']", "[class*='title']")
 
 
-def page_title(html: Column, vocab: Vocabulary) -> Column:
-    """Longest usable heading, title-class text or og:title; one with an offer word first."""
-    og = text.ustrip(markup.meta_content(html, "og:title"))
+def page_title(tree: Column, vocab: Vocabulary) -> Column:
+    """Longest usable heading, title-class text or og:title; one with an offer word first.
+
+    All headings are candidates, so the scopes they stand in do not matter.
+    """
+    og = text.ustrip(dom.meta(tree, "og:title"))
     stripped = None
     for suffix in vocab.title_brand_suffixes:
         cond = og.endswith(suffix)
         bare = text.ustrip(F.left(og, F.length(og) - F.lit(len(suffix))))
         stripped = F.when(cond, bare) if stripped is None else stripped.when(cond, bare)
     og = stripped.otherwise(og) if stripped is not None else og
-    classes = [
-        markup.class_text(html, c) for c in (r"\bevent-title\b", r"\btitle\b", r"\btit\b", r"\bcampaign-title\b", "tit", "title")
-    ]
-    found = F.concat(markup.element_texts(html, "h[1-3]"), F.array(*classes, og))
+    found = F.concat(
+        dom.texts_of(tree, dom.select(tree, "h1, h2, h3")), dom.texts_of(tree, dom.firsts(tree, TITLE_CLASSES)), F.array(og))
     usable = F.filter(
         found,
         lambda t: t.isNotNull() & (F.length(t) >= 4) & ~text.is_header_like(t, vocab) & ~text.is_notification(t, vocab),
@@ -128,8 +155,14 @@ def page_title(html: Column, vocab: Vocabulary) -> Column:
     return let(ranked, choose)
 
 
-def page_period(body: Column, blocks: Column, lines: Column, vocab: Vocabulary) -> Column:
-    """Date range from the first lines, labelled lines, the body, a labelled element or line."""
+def page_period(
+    body: Column, tree: Column, lines: Column, vocab: Vocabulary, top_lines: int = TOP_LINES,
+    element_max: int | None = None, line_max: int | None = None,
+) -> Column:
+    """Date range from the first lines, labelled lines, the body, a labelled element or line.
+
+    Without a range, the labelled element's text or the labelled line itself, whole and at most as long as given.
+    """
 
     def first_range(texts: Column) -> Column:
         ranges = F.filter(F.transform(texts, periods.page_date_range), lambda r: r != "")
@@ -138,14 +171,15 @@ def page_period(body: Column, blocks: Column, lines: Column, vocab: Vocabulary)
     labelled = F.filter(lines, lambda v: text.contains_any(v, vocab.period_labels))
 
     def from_element(t: Column) -> Column:
-        short = F.when(F.length(t).between(6, 119), F.substring(t, 1, 100))
-        return F.coalesce(text.blank_to_null(periods.page_date_range(t)), short)
+        fits = (F.length(t) >= MIN_LINE) & (F.lit(True) if element_max is None else F.length(t) <= element_max)
+        return F.coalesce(text.blank_to_null(periods.page_date_range(t)), F.when(fits, t))
 
-    elements = [let(first_with(blocks, label), from_element) for label in vocab.period_labels[:3]]
+    elements = [let(dom.labelled(tree, label), from_element) for label in vocab.period_labels[:3]]
     label = vocab.period_labels[0]
-    line = F.get(F.filter(lines, lambda v: v.contains(label) & (F.length(v) <= 240)), F.lit(0))
+    line = dom.first(F.filter(
+        lines, lambda v: v.contains(label) & (F.lit(True) if line_max is None else F.length(v) <= line_max)))
     return F.coalesce(
-        first_range(F.slice(lines, 1, FEW_LINES)),
+        first_range(F.slice(lines, 1, top_lines)),
         first_range(labelled),
         text.blank_to_null(periods.page_date_range(body)),
         *elements,
@@ -213,89 +247,83 @@ def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabular
     return let(own, lambda o: best(F.when(F.size(o) > 0, o).otherwise(spare)))
 
 
-def sections(df: DataFrame, vocab: Vocabulary, lines: str, block_sources: list[str]) -> DataFrame:
+def sections(df: DataFrame, vocab: Vocabulary, lines: str, block_sources: list[Column]) -> DataFrame:
     """Add ``sections``: map of section name to its best texts."""
     scored = df.withColumn("_scored", score_lines(F.col(lines), vocab))
     pieces = []
     for i, (name, words) in enumerate(vocab.section_rules):
-        spare = keyword_blocks([F.col(c) for c in block_sources], words, vocab)
+        spare = keyword_blocks(block_sources, words, vocab)
         pieces += [F.lit(name), section_items(F.col("_scored"), i, spare, vocab)]
     return scored.withColumn("sections", F.create_map(*pieces)).drop("_scored")
 
 
 # ---- pages ----------------------------------------------------------------------------
 
-# fixed values: elements that never hold page text
-HIDDEN_ELEMENTS = ("script", "style", "nav", "footer")
+# fixed values: elements and menus that never hold page text
+HIDDEN = (
+    "script style nav footer .all_menu_container #allMenuList .siteList .rect_list #gnb #header #footer"
+)
 
 
-def page_texts(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None) -> DataFrame:
-    """Visible text, blocks and candidate lines of each page.
+def page_texts(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None, supplement_below: float | None = None) -> DataFrame:
+    """Elements, visible text, blocks, container texts and candidate lines of each page.
 
-    ``rendered`` names an optional column with browser text. It leads, and the
-    markup text is added when the browser text is less than half as long.
+    ``rendered`` names an optional column with browser text. It leads and the markup text follows; with
+    ``supplement_below`` only when the browser text is shorter than that share of it.
     """
-    html = markup.drop_elements(F.col("html"), HIDDEN_ELEMENTS)
-    bare = pages.withColumn("_html", html)
-    area = F.coalesce(markup.first_element(F.col("_html"), ("main", "article")), F.col("_html"))
-    texts = bare.withColumns(
-        {"blocks": markup.text_blocks(F.col("_html")), "area_blocks": markup.text_blocks(area)}
-    ).withColumn("full_text", F.array_join("blocks", "\n"))
+    tree = dom.parsed(pages, HIDDEN)
+    texts = computed_once(tree, {"blocks": dom.blocks(F.col("dom")), "containers": container_texts(F.col("dom"))})
+    texts = texts.withColumn("full_text", F.array_join("blocks", "\n"))
+    full_lines = candidate_lines(F.col("full_text"), vocab)
     if rendered is None:
-        source = F.col("full_text")
+        found = computed_once(texts, {"full_lines": full_lines}).withColumn("page_lines", F.col("full_lines"))
     else:
-        shown = text.clean_text(F.col(rendered))
-        source = let(
-            shown,
-            lambda r: F.when(r == "", F.col("full_text"))
-            .when(F.length(r) < F.length(text.clean_text(F.col("full_text"))) * 0.5,
-                  F.concat(r, F.lit("\n"), F.col("full_text")))
-            .otherwise(r),
-        )
-    found = texts.withColumn("_lines", candidate_lines(source, vocab))
-    cut = found.withColumn("raw_text", F.array_join("_lines", "\n"))
-    return cut.withColumns(
-        {"lines": candidate_lines(F.col("raw_text"), vocab), "full_lines": candidate_lines(F.col("full_text"), vocab)}
-    ).withColumnRenamed("_html", "bare_html").withColumnRenamed("_lines", "page_lines")
-
-
-def extract_pages(pages: DataFrame, vocab: Vocabulary, rendered: str | None = None) -> DataFrame:
+        shown, both = text.clean_text(F.col(rendered)), F.concat_ws("\n", text.clean_text(F.col(rendered)), "full_text")
+        source = F.when(shown == "", F.col("full_text")).otherwise(both)
+        if supplement_below is not None:
+            whole = F.length(text.clean_text(F.col("full_text")))
+            source = F.when((shown == "") | (F.length(shown) < whole * supplement_below), source).otherwise(shown)
+        found = computed_once(texts, {"full_lines": full_lines, "page_lines": candidate_lines(source, vocab)})
+    found = found.withColumn("raw_text", F.array_join("page_lines", "\n"))
+    return computed_once(found, {"lines": candidate_lines(F.col("raw_text"), vocab)})
+
+
+def extract_pages(
+    pages: DataFrame, vocab: Vocabulary, rendered: str | None = None, benefit_items: int | None = None,
+    condition_items: int | None = None, target_items: int | None = None, few_lines: int | None = None,
+) -> DataFrame:
     """Detail pages to structured promotion fields and section content.
 
-    Fields that the page does not give directly are taken from its sections.
+    Fields that the page does not give directly are taken from its sections, whole unless a number of items is given.
     """
     t = page_texts(pages, vocab, rendered)
-    sources = [F.col("area_blocks"), F.col("lines"), F.col("full_lines")]
-    fields = t.withColumns(
-        {
-            "title": text.first_filled(
-                page_title(F.col("bare_html"), vocab), F.substring(F.get("page_lines", F.lit(0)), 1, 100), F.lit("")
-            ),
-            "period": page_period(
-                F.concat_ws(" ", F.array_join("blocks", " "), F.col("raw_text")), F.col("blocks"), F.col("lines"), vocab
-            ),
-            "_benefit": benefit_blocks(sources, vocab),
-            "_conditions": condition_blocks(sources, vocab),
-            "_target": target_text(F.col("blocks"), F.col("lines"), vocab),
-            "benefit_type": text.benefit_type_of(F.col("full_text"), vocab),
-            "_merged": merged_lines(F.col("lines"), F.col("full_lines")),
-        }
-    )
-    done = sections(fields, vocab, "_merged", ["area_blocks", "lines", "full_lines"])
-    sec = lambda name, n: F.slice(F.col("sections")[name], 1, n)
-    conditions = F.slice(F.concat(*[sec(s, 3) for s in vocab.condition_sections]), 1, 8)
-    assembled = done.withColumns(
-        {
-            "benefit_value": text.first_filled(
-                F.col("_benefit"), F.array_join(sec(vocab.benefit_section, 8), " | "), F.lit("")
-            ),
-            "conditions": text.first_filled(F.col("_conditions"), F.array_join(conditions, " | "), F.lit("")),
-            "target_segment": text.first_filled(
-                F.col("_target"), F.array_join(sec(vocab.target_section, 3), " | "), F.lit("")
-            ),
-            "one_line_summary": F.col("title"),
-        }
-    )
+    tree, blocks = F.col("dom"), up_to(F.col("containers"), BLOCK_CHARS)
+    sources = [blocks, F.col("lines"), F.col("full_lines")]
+    fields = computed_once(t, {
+        "title": text.first_filled(page_title(tree, vocab), dom.first(F.col("page_lines")), F.lit("")),
+        "period": page_period(
+            F.concat_ws(" ", F.array_join("blocks", " "), F.col("raw_text")), tree, F.col("lines"), vocab),
+        "_benefit": benefit_blocks(sources, vocab),
+        "_conditions": condition_blocks(sources, vocab),
+        "_target": target_text(tree, F.col("lines"), vocab),
+        "benefit_type": text.benefit_type_of(F.col("full_text"), vocab),
+        "_merged": merged_lines(F.col("lines"), F.col("full_lines"), few_lines),
+    })
+    done = sections(
+        fields, vocab, "_merged", [up_to(F.col("containers"), SECTION_BLOCK_CHARS), F.col("lines"), F.col("full_lines")])
+
+    def sec(name: str, n: int | None) -> Column:
+        return F.col("sections")[name] if n is None else F.slice(F.col("sections")[name], 1, n)
+
+    conditions = F.concat(*[sec(s, condition_items) for s in vocab.condition_sections])
+    assembled = computed_once(done, {
+        "benefit_value": text.first_filled(
+            F.col("_benefit"), F.array_join(sec(vocab.benefit_section, benefit_items), " | "), F.lit("")),
+        "conditions": text.first_filled(F.col("_conditions"), F.array_join(conditions, " | "), F.lit("")),
+        "target_segment": text.first_filled(
+            F.col("_target"), F.array_join(sec(vocab.target_section, target_items), " | "), F.lit("")),
+        "one_line_summary": F.col("title"),
+    })
     everything = F.concat_ws(" ", "benefit_value", "conditions", "raw_text", "full_text")
     money = assembled.withColumns(
         {"amounts": amounts.all_amounts(everything), "percentages": amounts.all_percentages(everything)}
@@ -317,15 +345,28 @@ def extract_pages(pages: DataFrame, vocab: Vocabulary, rendered: str | None = No
 
 
 # fixed values: what a rich page digest is made of
-DIGEST_DROPPED = ("script", "style", "nav", "footer", "header", "aside", "iframe", "noscript")
-
-
-def page_digest(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+DIGEST_DROPPED = "script style nav footer header aside iframe noscript"
+DIGEST_TITLES = (
+    "h1.event-title", "h1.title", "div.event-title h1", "h2.event-title", "h2.title", "div.title h2", "h1", "h2", ".page-title", "title",
+)
+DIGEST_PERIODS = (".event-period", ".period", ".date", ".event-date")
+DIGEST_BODIES = (
+    "div.event-content", "div.event-detail", "article.event", "div.detail-content", "div.content", "article", "main",
+    "div.container", "div#content",
+)
+PERIOD_MARKS = "[~-]|부터|까지|기간"
+
+
+def page_digest(
+    pages: DataFrame, max_chars: int | None = None, body_chars: int = 1, item_chars: int = 1, list_items: int | None = None,
+) -> DataFrame:
     """Title, period, body, tables, lists, image texts and description of a page as lines.
 
-    Repeated neighbouring lines appear once. ``max_chars`` shortens the digest for display, never the lines.
+    Repeated neighbouring lines appear once. The body is the first content element with ``body_chars`` characters, else
+    all of the page. Items and image texts under ``item_chars`` and lists of more than ``list_items`` are left out;
+    without these numbers all are there. ``max_chars`` shortens the digest for display, never the lines.
     """
-    html = F.col("_html")
+    tree = F.col("_dom")
 
     def head(label: str, value: Column) -> Column:
         return F.when(F.coalesce(value, F.lit("")) != "", F.array(F.concat(F.lit(label), value))).otherwise(_none())
@@ -333,47 +374,48 @@ def page_digest(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     def block(label: str, values: Column) -> Column:
         return F.when(F.size(values) > 0, F.concat(F.array(F.lit(label)), values)).otherwise(_none())
 
-    title = F.get(F.filter(markup.element_texts(html, "h[12]"), lambda t: F.length(t) > 3), F.lit(0))
-    dated = markup.class_text(html, r"\b(?:event-period|period|date|event-date)\b")
-    period = F.when(dated.rlike("[~-]|부터|까지|기간"), dated)
-    body = F.coalesce(markup.first_element(html, ("article", "main", "body")), html)
-    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
+    def block_at(label: str, i: Column, values: Column) -> Column:
+        name = F.concat(F.lit(f"[{label} "), (i + 1).cast("string"), F.lit("]"))
+        return let(values, lambda v: F.when(F.size(v) > 0, F.concat(F.array(name), v)).otherwise(_none()))
+
+    title = dom.first(F.filter(dom.texts_of(tree, dom.firsts(tree, DIGEST_TITLES)), lambda t: F.length(t) > 3))
+    said = F.concat(
+        dom.texts_of(tree, dom.firsts(tree, DIGEST_PERIODS)),
+        F.array_compact(F.array(
+            dom.first(F.filter(dom.texts_of(tree, dom.select(tree, "span")), lambda t: t.contains("기간"))),
+            dom.first(F.filter(dom.texts_of(tree, dom.select(tree, "div")), lambda t: t.contains("이벤트 기간"))))))
+    period = dom.first(F.filter(said, lambda t: t.rlike(PERIOD_MARKS)))
+    bodies = F.filter(
+        F.transform(dom.firsts(tree, DIGEST_BODIES), lambda n: F.transform(
+            F.filter(tree["blocks"], lambda b: (b["first"] > n["i"]) & (b["last"] <= n["last"])), lambda b: b["text"])),
+        lambda lines: F.length(F.array_join(lines, "\n")) >= body_chars)
+    body = F.coalesce(dom.first(bodies), dom.blocks(tree))
 
     def table_lines(t: Column, i: Column) -> Column:
         rows = F.transform(
-            F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)),
-            lambda r: F.array_join(markup.element_texts(r, "t[hd]"), " | "),
-        )
+            dom.select(tree, "tr", t), lambda r: F.array_join(dom.texts_of(tree, dom.select(tree, "th, td", r)), " | "))
         return block_at("표", i, F.filter(rows, lambda r: r != ""))
 
-    def block_at(label: str, i: Column, values: Column) -> Column:
-        name = F.concat(F.lit(f"[{label} "), (i + 1).cast("string"), F.lit("]"))
-        return F.when(F.size(values) > 0, F.concat(F.array(name), values)).otherwise(_none())
-
-    lists = F.regexp_extract_all(html, F.lit(r"(?is)<[uo]l\b[^>]*>(.*?)</[uo]l>"), F.lit(1))
-
     def list_lines(u: Column, i: Column) -> Column:
-        items = markup.element_texts(u, "li")
-        useful = F.filter(items, lambda t: F.length(t) > 5)
-        dashed = F.transform(useful, lambda t: F.concat(F.lit("- "), t))
-        return block_at("목록", i, dashed)
-
-    alts = F.transform(
-        F.regexp_extract_all(html, F.lit(r'(?is)<img\b[^>]*\balt="([^"]*)"'), F.lit(1)),
-        lambda a: text.ustrip(markup.unescape(a)),
-    )
+        items = dom.texts_of(tree, dom.select(tree, "li", u))
+        useful = F.filter(items, lambda t: F.length(t) >= item_chars)
+        if list_items is not None:
+            useful = F.when(F.size(items) <= list_items, useful).otherwise(_none())
+        return block_at("목록", i, F.transform(useful, lambda t: F.concat(F.lit("- "), t)))
+
+    alts = F.transform(dom.select(tree, "img[alt]"), lambda n: text.ustrip(n["attrs"]["alt"]))
     images = F.transform(
-        F.filter(alts, lambda a: (F.length(a) > 5) & ~a.contains("로고") & ~F.lower(a).contains("logo")),
+        F.filter(alts, lambda a: (F.length(a) >= item_chars) & ~a.contains("로고") & ~F.lower(a).contains("logo")),
         lambda a: F.concat(F.lit("- "), a),
     )
     lines = F.concat(
-        head("[제목] ", title), head("[기간] ", period), block("[본문]", markup.text_blocks(body)),
-        F.flatten(F.transform(tables, table_lines)), F.flatten(F.transform(lists, list_lines)),
-        block("[이미지 설명]", images), head("[메타 설명] ", markup.meta_content(html, "description")),
-    )
-    digest = pages.withColumn("_html", markup.drop_elements(F.col("html"), DIGEST_DROPPED)).withColumn(
-        "lines", drop_repeats(lines)
+        head("[제목] ", title), head("[기간] ", period), block("[본문]", body),
+        F.flatten(F.transform(dom.select(tree, "table"), table_lines)),
+        F.flatten(F.transform(dom.select(tree, "ul, ol"), list_lines)),
+        block("[이미지 설명]", images), head("[메타 설명] ", dom.meta(tree, "description")),
     )
+    tree_of = dom.parsed(pages.select("page_id", "html"), DIGEST_DROPPED, name="_dom")
+    digest = computed_once(tree_of, {"lines": drop_repeats(lines)})
     shown = F.array_join("lines", "\n")
     if max_chars is not None:
         shown = let(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promolens.functions import markup, periods, records, text
+from promolens.functions import dom, periods, records, text
 from promolens.functions.rows import exploded, posexploded
 from promolens.operators import responses as rs
 from promolens.operators import scoring as sc
@@ -114,7 +114,7 @@ SCORED = f""", scored AS (SELECT doc_id, pos, line, [{', '.join(hits('line', w)
 
 def _doc_sections(spark, base):
     lines = _doc_lines(spark, base)
-    return st.sections(lines, SAMPLE, "lines", ["lines"])
+    return st.sections(lines, SAMPLE, "lines", [F.col("lines")])
 
 
 @query("document_sections", DOCS + SCORED + f"""SELECT doc_id, [{', '.join("'" + n + "'" for n in NAMES)}][sec] AS section, rank, c AS content FROM ranked""")
@@ -168,15 +168,14 @@ def unrepeated_lines(spark, base):
 # ---- pages --------------------------------------------------------------------------------
 
 P = "WITH " + ov.PROMO_PAGES
-BARE = ov.drop_elements("html", st.HIDDEN_ELEMENTS)
+BARE = ov.drop_elements("html", ("script", "style", "nav", "footer"))
 BLOCKS = ov.text_blocks(BARE)
 
 
 @query("page_texts", P + f", b AS (SELECT page_id, {BLOCKS} AS blocks FROM promo_pages) SELECT page_id, len(blocks)::BIGINT AS blocks, array_to_string(blocks, chr(10)) AS full_text FROM b")
 def page_texts(spark, base):
-    bare = ad.promo_pages(spark, base).select("page_id", markup.drop_elements(F.col("html"), st.HIDDEN_ELEMENTS).alias("h"))
-    b = bare.select("page_id", markup.text_blocks(F.col("h")).alias("b"))
-    return b.select("page_id", F.size("b").alias("blocks"), F.array_join("b", "\n").alias("full_text"))
+    t = dom.parsed(ad.promo_pages(spark, base).select("page_id", "html"), st.HIDDEN).select("page_id", dom.blocks(F.col("dom")).alias("b"))
+    return t.select("page_id", F.size("b").alias("blocks"), F.array_join("b", "\n").alias("full_text"))
 
 
 HEADS = f"""list_transform(regexp_extract_all({BARE}, '(?is)<(?:h[1-3])\\b[^>]*>(.*?)</(?:h[1-3])>', 1), lambda x: {ov.inline_text('x')})"""
@@ -188,8 +187,8 @@ HEADER_SQL = alternatives(V.header_words)
   ok AS (SELECT *, {ov.any_of('t', V.title_preferred_words)} AS pref FROM c WHERE length(t) > 5 AND NOT regexp_matches(t, '^(?:{HEADER_SQL})(?: |$)| (?:{HEADER_SQL})$'))
   SELECT page_id, t AS title FROM ok QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pref DESC, length(t) DESC, t) = 1""")
 def page_titles(spark, base):
-    bare = ad.promo_pages(spark, base).select("page_id", markup.drop_elements(F.col("html"), st.HIDDEN_ELEMENTS).alias("h"))
-    return bare.select("page_id", st.page_title(F.col("h"), V).alias("title"))
+    t = dom.parsed(ad.promo_pages(spark, base).select("page_id", "html"), st.HIDDEN)
+    return t.select("page_id", st.page_title(F.col("dom"), V).alias("title"))
 
 
 @query("page_periods", P + """SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '2026.01.' || d || '~2026.02.' || d
@@ -197,13 +196,13 @@ def page_titles(spark, base):
 def page_periods(spark, base):
     t = st.page_texts(ad.promo_pages(spark, base), V)
     body = F.concat_ws(" ", F.array_join("blocks", " "), F.col("raw_text"))
-    return t.select("page_id", st.page_period(body, F.col("blocks"), F.col("lines"), V).alias("period"))
+    return t.select("page_id", st.page_period(body, F.col("dom"), F.col("lines"), V).alias("period"))
 
 
 @query("page_targets", P + "SELECT page_id, '대상카드 제휴 고객 캐시백 1' || d || ',000원 혜택' AS target FROM promo_pages")
 def page_targets(spark, base):
     t = st.page_texts(ad.promo_pages(spark, base), V)
-    return t.select("page_id", st.target_text(F.col("blocks"), F.col("lines"), V).alias("target"))
+    return t.select("page_id", st.target_text(F.col("dom"), F.col("lines"), V).alias("target"))
 
 
 @query("extracted_pages")
