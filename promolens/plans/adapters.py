@@ -328,7 +328,7 @@ def probes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def promo_pages(spark: SparkSession, base: str) -> DataFrame:
-    """Raw pages with a promotion list and a period line put into the article."""
+    """Raw pages with a period line, a promotion list and a nested detail area put into the article."""
     pid = F.col("page_id").cast("string")
     day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
     period = pick(
@@ -347,6 +347,9 @@ def promo_pages(spark: SparkSession, base: str) -> DataFrame:
         F.lit('<li><a href="/evt/view.do?id='), pid, F.lit('&amp;utm_source=list">이벤트</a>추가 이벤트 '), pid,
         F.lit(" 안내 · 2026.03."), day, F.lit(" ~ 2026.04."), day, F.lit("</li>"),
         F.lit('<li><a href="#" onclick="openEvent(\''), pid, F.lit('\')">더보기 이벤트</a></li></ul>'),
+        F.lit("<div class='event-detail wide'><div><span>전월 실적 1"), day, F.lit("만원 이상 결제 &#49888;용카드 회원</span>"),
+        F.lit('<div id="gnb"><span>메뉴 혜택 모음</span></div></div><table><tr><th>구분</th><td><ul><li>즉시할인 혜택 '), day,
+        F.lit("%</li></ul></td></tr></table><img alt='행사 그림 "), pid, F.lit("' src=\"/i.png\"></div>"),
     )
     return spread(table(spark, base, "pages")).select(
         "page_id", "url", F.replace(F.col("html"), F.lit("<article>"), block).alias("html")

@@ -10,6 +10,7 @@ from promolens.operators import ingest as ing
 from promolens.operators import mutations as mu
 from promolens.plans import adapters as ad
 from promolens.plans import oracle_views as ov
+from promolens.plans import page_views as pv
 from promolens.plans.flat import flat
 from promolens.plans.settings import AS_OF, PARAMS
 from promolens.sources import captures, feeds, pages
@@ -145,9 +146,20 @@ P = "WITH " + ov.PROMO_PAGES
 SITE = "https://www.example.com/list.do"
 
 
-@query("page_call_links", P + f"""SELECT page_id, 'https://www.example.com/list.do?eventNum=' || page_id || '&mainCC=a' AS url,
-  '오퍼 ' || page_id || ' 할인 혜택' AS title, '2026.01.' || d || '~2026.02.' || d AS period, '생활' AS category, 'Mid' AS threat_level,
-  '오퍼 ' || page_id || ' 할인 혜택 2026.1.' || d || ' ~ 2026.2.' || d AS raw_text FROM promo_pages""")
+PAGES = P + ", " + pv.elements(()).strip()
+GO = "regexp_extract(" + pv.attribute("href", "a.t") + ", 'goDetail\\(''(\\d+)''', 1)"
+PLAIN_RANGE = "(\\d{4})\\.(\\d{1,2})\\.(\\d{1,2})(?:\\([^)]*\\))?\\s*~\\s*(\\d{4})\\.(\\d{1,2})\\.(\\d{1,2})"
+FOUND_RANGE = "CASE WHEN regexp_matches(raw_text, '" + PLAIN_RANGE + "') THEN printf('%04d.%02d.%02d~%04d.%02d.%02d', " + ", ".join(
+    f"regexp_extract(raw_text, '{PLAIN_RANGE}', {i})::INT" for i in range(1, 7)) + ") ELSE '' END"
+
+
+@query("page_call_links", PAGES + f""", links AS (SELECT a.page_id, a.n, a.e, a.spaced AS raw_text, {GO} AS event_no FROM el a
+    WHERE a.tag = 'a' AND {GO} <> '' AND EXISTS (SELECT 1 FROM el s WHERE s.page_id = a.page_id AND a.n BETWEEN s.n + 1 AND s.e
+      AND (list_contains(s.cls, 'eventList') OR regexp_matches(s.t, 'id=["'']main_contents["'']')))),
+  titled AS (SELECT l.page_id, l.n, l.raw_text, l.event_no, first(t.spaced ORDER BY t.n) AS title FROM links l JOIN el t
+    ON t.page_id = l.page_id AND t.n > l.n AND t.e < l.e AND list_has_any(t.cls, ['tit', 'title']) GROUP BY ALL)
+  SELECT page_id, '{SITE}?eventNum=' || event_no || '&mainCC=a' AS url, title, {FOUND_RANGE} AS period,
+    {ov.first_rule('title', CATEGORY_RULES, CATEGORY_DEFAULT)} AS category, {ov.first_rule('title', THREAT_RULES, THREAT_DEFAULT)} AS threat_level, raw_text FROM titled""")
 def page_call_links(spark, base):
     staged = pages.call_links(ad.promo_pages(spark, base), "P", SITE, V)
     return records.accepted(records.build_records(staged, V)).select(
@@ -155,23 +167,28 @@ def page_call_links(spark, base):
     )
 
 
-@query("page_block_links", P + """SELECT page_id, 'https://www.example.com/evt/view.do?id=' || page_id AS url,
-  '이벤트 추가 이벤트 ' || page_id || ' 안내' AS title, '2026.03.' || d || '~2026.04.' || d AS period,
-  '이벤트 추가 이벤트 ' || page_id || ' 안내 · 2026.03.' || d || ' ~ 2026.04.' || d AS raw_text FROM promo_pages""")
+HARVEST = "/pconts/html/benefit/event/|/evt/|MOBEVENTN|MOBFM829R02"
+
+
+@query("page_block_links", PAGES + f""", links AS (SELECT a.page_id, a.n, {pv.attribute('href', 'a.t')} AS href, first(c.spaced ORDER BY c.n DESC) AS raw_text
+    FROM el a JOIN el c ON c.page_id = a.page_id AND c.n < a.n AND c.e > a.e AND c.tag IN ('li', 'div', 'article', 'section')
+    WHERE a.tag = 'a' AND regexp_matches({pv.attribute('href', 'a.t')}, '{HARVEST}') GROUP BY a.page_id, a.n, a.t),
+  pieces AS (SELECT *, list_filter(list_transform(string_split(replace(raw_text, '·', '|'), '|'), lambda x: trim(x)),
+      lambda x: length(x) >= 4 AND (contains(x, '이벤트') OR contains(x, '혜택'))) AS named FROM links)
+  SELECT page_id, 'https://www.example.com' || regexp_replace(href, '&utm_[a-z]+=[^&]*', '') AS url, named[1] AS title, {FOUND_RANGE} AS period, raw_text FROM pieces""")
 def page_block_links(spark, base):
     staged = pages.block_links(ad.promo_pages(spark, base), "P", SITE, V)
     return records.accepted(records.build_records(staged, V)).select("page_id", "url", "title", "period", "raw_text")
 
 
-BODY = f"""array_to_string({ov.text_blocks(ov.drop_elements('html', ('script', 'style')))}, ' ')"""
-H_RANGE = periods.STORED_RANGE
-
-
-@query("page_details", P + f""", parts AS (SELECT *, {BODY} AS body,
-    list_transform(regexp_extract_all(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '(?is)<(?:h[1-3])\\b[^>]*>(.*?)</(?:h[1-3])>', 1),
-      lambda x: {ov.inline_text('x')}) AS heads FROM promo_pages),
-  titled AS (SELECT *, coalesce(list_filter(heads, lambda t: length(t) >= 4)[1], '') AS title FROM parts)
-  SELECT page_id, url, title, coalesce({ov.canonical_period("nullif(regexp_extract(body, '" + H_RANGE + "'), '')")}, '') AS period,
+@query("page_details", PAGES + f""", body AS (SELECT page_id, string_agg(s, ' ' ORDER BY n) AS body FROM blk GROUP BY page_id),
+  scopes AS (SELECT page_id, n, e, CASE WHEN tag = 'main' THEN 1 WHEN {pv.has('content')} THEN 2 WHEN {pv.has('event-detail')} THEN 3
+      WHEN list_bool_or([contains(x, 'event') FOR x IN cls]) THEN 4 WHEN tag = 'article' THEN 5 END AS place FROM el),
+  first_scopes AS (SELECT * FROM scopes WHERE place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, place ORDER BY n) = 1),
+  heads AS (SELECT h.page_id, h.joined AS title FROM first_scopes s JOIN el h ON h.page_id = s.page_id AND h.n > s.n AND h.e < s.e AND h.tag = 'h1'
+    WHERE length(h.joined) >= 4 QUALIFY row_number() OVER (PARTITION BY h.page_id ORDER BY s.place, h.n) = 1),
+  titled AS (SELECT p.page_id, p.url, body, coalesce(title, '') AS title FROM promo_pages p JOIN body USING (page_id) LEFT JOIN heads USING (page_id))
+  SELECT page_id, url, title, coalesce({ov.canonical_period("nullif(regexp_extract(body, '" + periods.STORED_RANGE + "'), '')")}, '') AS period,
     {ov.first_rule('title', CATEGORY_RULES, CATEGORY_DEFAULT)} AS category, body AS raw_text,
     CASE WHEN length(title) < 3 THEN 'short' ELSE 'hit' END AS outcome FROM titled""")
 def page_details(spark, base):
@@ -199,9 +216,15 @@ def promotion_links(spark, base):
     return pages.promotion_links(ad.promo_pages(spark, base), V)
 
 
-@query("page_containers", P + f"""SELECT page_id, '{SITE}' AS url, '오퍼 ' || page_id || ' 할인 혜택' AS title,
-  '정보 없음' AS period, '쇼핑' AS category, 'Low' AS threat_level, '오퍼 ' || page_id || ' 할인 혜택2026.1.' || d || ' ~ 2026.2.' || d AS raw_text
-  FROM promo_pages""")
+@query("page_containers", PAGES + f""", items AS (SELECT page_id, n, e, joined AS raw_text FROM el
+    WHERE tag = 'li' OR {pv.has('list-item', 'event-box', 'event-item', 'card-item')} OR (tag = 'article' AND {pv.has('event')}) OR (tag = 'div' AND {pv.has('event-card', 'item')})),
+  titled AS (SELECT i.page_id, i.n, i.e, i.raw_text, first(t.joined ORDER BY t.n) AS title FROM items i JOIN el t ON t.page_id = i.page_id AND t.n > i.n AND t.e < i.e
+    AND (t.tag IN ('h3', 'h4', 'strong') OR list_has_any(t.cls, ['title', 'event-title'])) GROUP BY ALL),
+  dated AS (SELECT x.page_id, x.n, x.raw_text, x.title, first(d.joined ORDER BY d.n) AS period FROM titled x LEFT JOIN el d ON d.page_id = x.page_id AND d.n > x.n AND d.e < x.e
+    AND list_has_any(d.cls, ['period', 'date', 'event-date']) GROUP BY ALL)
+  SELECT page_id, '{SITE}' AS url, title, coalesce(nullif(period, ''), '정보 없음') AS period, {ov.first_rule('title', LEGACY_CATEGORY_RULES, CATEGORY_DEFAULT)} AS category,
+    {ov.first_rule('title', LEGACY_THREAT_RULES, THREAT_DEFAULT)} AS threat_level, raw_text FROM dated
+  WHERE length(title) >= 3 AND (contains(title, '이벤트') OR contains(title, '혜택'))""")
 def page_containers(spark, base):
     found = pages.container_records(
         ad.promo_pages(spark, base), "P", SITE, required_words=("이벤트", "혜택")

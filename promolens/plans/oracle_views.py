@@ -280,7 +280,9 @@ promo_pages AS (
     ''', ''A'')"><strong class="tit">오퍼 ' || page_id || ' 할인 혜택</strong><span>2026.1.' || d || ' ~ 2026.2.' || d ||
     '</span></a></li><li><a href="/evt/view.do?id=' || page_id || '&amp;utm_source=list">이벤트</a>추가 이벤트 ' || page_id ||
     ' 안내 · 2026.03.' || d || ' ~ 2026.04.' || d || '</li><li><a href="#" onclick="openEvent(''' || page_id ||
-    ''')">더보기 이벤트</a></li></ul>') AS html
+    ''')">더보기 이벤트</a></li></ul><div class=''event-detail wide''><div><span>전월 실적 1' || d || '만원 이상 결제 &#49888;용카드 회원</span>' ||
+    '<div id="gnb"><span>메뉴 혜택 모음</span></div></div><table><tr><th>구분</th><td><ul><li>즉시할인 혜택 ' || d ||
+    '%</li></ul></td></tr></table><img alt=''행사 그림 ' || page_id || ''' src="/i.png"></div>') AS html
   FROM (SELECT *, lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS d FROM pages)
 )
 """

@@ -11,6 +11,7 @@ from promolens.operators import scoring as sc
 from promolens.operators import structure as st
 from promolens.plans import adapters as ad
 from promolens.plans import oracle_views as ov
+from promolens.plans import page_views as pv
 from promolens.plans.flat import flat
 from promolens.plans.sample_vocab import SAMPLE
 from promolens.plans.settings import PARAMS
@@ -89,29 +90,36 @@ def candidate_lines(spark, base):
 
 
 NAMES = SAMPLE.section_names
-HINTS = {n: (b, w) for n, b, w in SAMPLE.section_hints}
 
 
 def hits(c: str, words) -> str:
     return "(" + " + ".join(f"contains({c}, '{w}')::INT" for w in words) + ")"
 
 
-SCORED = f""", scored AS (SELECT doc_id, pos, line, [{', '.join(hits('line', w) for _, w in SAMPLE.section_rules)}] AS b,
-    [{', '.join(f"CASE WHEN {ov.any_of('line', HINTS[n][1])} THEN {HINTS[n][0]} ELSE 0 END" if n in HINTS else '0' for n in NAMES)}] AS h FROM cand),
+def scored_sql(v, spare: str = "") -> str:
+    """Section texts of the lines cand(doc_id, pos, line) as ranked(doc_id, sec, rank, c); ``spare`` gives what stands in
+    for a section without lines of its own (doc_id, sec, pos, line), by default its keyword lines."""
+    names, bonus = v.section_names, {n: (b, w) for n, b, w in v.section_hints}
+    spare = spare or "SELECT doc_id, sec, pos, line FROM (SELECT *, unnest(range(1, 8)) AS sec FROM scored) WHERE b[sec] > 0"
+    return f""", scored AS (SELECT doc_id, pos, line, [{', '.join(hits('line', w) for _, w in v.section_rules)}] AS b,
+    [{', '.join(f"CASE WHEN {ov.any_of('line', bonus[n][1])} THEN {bonus[n][0]} ELSE 0 END" if n in bonus else '0' for n in names)}] AS h FROM cand),
   totals AS (SELECT *, [b[i] + h[i] for i in range(1, 8)] AS t FROM scored WHERE list_max(b) > 0),
   placed AS (SELECT doc_id, pos, line, i AS sec, t[i] AS score FROM (SELECT *, unnest(range(1, 8)) AS i FROM totals)
     WHERE t[i] >= 2 OR (list_max(t) = 1 AND i = list_position([x > 0 for x in b], true))),
   cut AS (SELECT doc_id, sec, pos, score, line AS c FROM placed),
-  firsts AS (SELECT * FROM (SELECT *, {KEY.format('c')} AS key FROM cut WHERE length(c) >= 6 AND {usable('c', SAMPLE)}) WHERE key <> ''
+  firsts AS (SELECT * FROM (SELECT *, {KEY.format('c')} AS key FROM cut WHERE length(c) >= 6 AND {usable('c', v)}) WHERE key <> ''
     QUALIFY row_number() OVER (PARTITION BY doc_id, sec, key ORDER BY pos) = 1),
   taken AS (SELECT * FROM firsts),
-  kw AS (SELECT doc_id, pos, line, sec FROM (SELECT *, unnest(range(1, 8)) AS sec FROM scored) WHERE b[sec] > 0),
+  kw AS ({spare}),
   spare AS (SELECT k.doc_id, k.sec, k.pos, 1 AS score, k.line AS c FROM kw k WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE x.doc_id = k.doc_id AND x.sec = k.sec)),
   ranked AS (SELECT doc_id, sec, c, row_number() OVER (PARTITION BY doc_id, sec ORDER BY score DESC, length(c) DESC, pos) AS rank FROM (
     SELECT doc_id, sec, pos, score, c FROM taken UNION ALL SELECT * FROM spare))
 """
 
 
+SCORED = scored_sql(SAMPLE)
+
+
 def _doc_sections(spark, base):
     lines = _doc_lines(spark, base)
     return st.sections(lines, SAMPLE, "lines", [F.col("lines")])
@@ -168,53 +176,141 @@ def unrepeated_lines(spark, base):
 # ---- pages --------------------------------------------------------------------------------
 
 P = "WITH " + ov.PROMO_PAGES
-BARE = ov.drop_elements("html", ("script", "style", "nav", "footer"))
-BLOCKS = ov.text_blocks(BARE)
+SHOWN = P + ", " + pv.elements().strip()
+HEADER_SQL = alternatives(V.header_words)
+FULL = """full_texts AS (SELECT page_id AS doc_id, string_agg(s, chr(10) ORDER BY n) AS text FROM blk GROUP BY page_id)"""
 
 
-@query("page_texts", P + f", b AS (SELECT page_id, {BLOCKS} AS blocks FROM promo_pages) SELECT page_id, len(blocks)::BIGINT AS blocks, array_to_string(blocks, chr(10)) AS full_text FROM b")
+@query("page_texts", SHOWN + ", " + FULL + """ SELECT doc_id AS page_id, len(string_split(text, chr(10)))::BIGINT AS blocks, text AS full_text FROM full_texts""")
 def page_texts(spark, base):
     t = dom.parsed(ad.promo_pages(spark, base).select("page_id", "html"), st.HIDDEN).select("page_id", dom.blocks(F.col("dom")).alias("b"))
     return t.select("page_id", F.size("b").alias("blocks"), F.array_join("b", "\n").alias("full_text"))
 
 
-HEADS = f"""list_transform(regexp_extract_all({BARE}, '(?is)<(?:h[1-3])\\b[^>]*>(.*?)</(?:h[1-3])>', 1), lambda x: {ov.inline_text('x')})"""
-TIT = ov.inline_text(f"""regexp_extract({BARE}, '(?is)<strong class="tit">(.*?)</strong>', 1)""")
-HEADER_SQL = alternatives(V.header_words)
+TITLED = f"""found_titles AS (SELECT page_id, joined AS t FROM el WHERE tag IN ('h1', 'h2', 'h3')
+    UNION ALL SELECT page_id, first(joined ORDER BY n) FROM el WHERE list_bool_or([contains(x, 'tit') FOR x IN cls]) GROUP BY page_id),
+  titles AS (SELECT page_id, t AS title FROM (SELECT *, {ov.any_of('t', V.title_preferred_words)} AS pref FROM found_titles
+    WHERE length(t) > 5 AND NOT regexp_matches(t, '^(?:{HEADER_SQL})(?: |$)| (?:{HEADER_SQL})$'))
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pref DESC, length(t) DESC, t) = 1)"""
 
 
-@query("page_titles", P + f""", c AS (SELECT page_id, unnest(list_append({HEADS}, {TIT})) AS t FROM promo_pages),
-  ok AS (SELECT *, {ov.any_of('t', V.title_preferred_words)} AS pref FROM c WHERE length(t) > 5 AND NOT regexp_matches(t, '^(?:{HEADER_SQL})(?: |$)| (?:{HEADER_SQL})$'))
-  SELECT page_id, t AS title FROM ok QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pref DESC, length(t) DESC, t) = 1""")
+@query("page_titles", SHOWN + ", " + TITLED + " SELECT page_id, title FROM titles")
 def page_titles(spark, base):
     t = dom.parsed(ad.promo_pages(spark, base).select("page_id", "html"), st.HIDDEN)
     return t.select("page_id", st.page_title(F.col("dom"), V).alias("title"))
 
 
-@query("page_periods", P + """SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '2026.01.' || d || '~2026.02.' || d
-  WHEN page_id % 4 = 2 THEN '2026.02.' || d || '~2026.03.' || d ELSE '2026.02.' || d || '~2026.03.' || d END AS period FROM promo_pages""")
+#: Lines of the whole page text (fl) and of the text made of these (ln).
+LINES = FULL + ", " + candidate_cte("full_texts", V, "fl").strip() + """,
+  raw_texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM fl GROUP BY doc_id), """ + candidate_cte("raw_texts", V, "ln").strip()
+DATED = f"""ranges AS (SELECT doc_id, CASE WHEN pos <= 40 THEN 1 ELSE 2 END AS place, pos, {pv.date_range('line')} AS r FROM ln WHERE pos <= 40 OR {ov.any_of('line', V.period_labels)}
+    UNION ALL SELECT f.doc_id, 3, 0, {pv.date_range("replace(f.text, chr(10), ' ')")} FROM full_texts f),
+  dated AS (SELECT doc_id AS page_id, first(r ORDER BY place, pos) AS period FROM ranges WHERE r <> '' GROUP BY doc_id)"""
+TARGETED = f"""target_words AS (SELECT unnest(range(1, {len(V.target_element_labels) + 1})) AS k, unnest([{ov.quoted(V.target_element_labels)}]) AS word),
+  label_texts AS (SELECT x.page_id, k, x.n FROM txt x JOIN target_words w ON contains(x.s, w.word) QUALIFY row_number() OVER (PARTITION BY x.page_id, k ORDER BY x.n) = 1),
+  holders AS (SELECT l.page_id, l.k, e.joined FROM label_texts l JOIN el e ON e.page_id = l.page_id AND l.n BETWEEN e.n AND e.e
+    QUALIFY row_number() OVER (PARTITION BY l.page_id, l.k ORDER BY e.n DESC) = 1),
+  target_options AS (SELECT page_id, k, joined AS t FROM holders WHERE length(joined) >= 6
+    UNION ALL SELECT doc_id, 100 + pos, line FROM ln WHERE {ov.any_of('line', V.target_labels)}),
+  targets AS (SELECT page_id, first(t ORDER BY k) AS target FROM target_options GROUP BY page_id)"""
+
+
+@query("page_periods", f"{SHOWN}, {LINES}, {DATED} SELECT page_id, period FROM dated")
 def page_periods(spark, base):
     t = st.page_texts(ad.promo_pages(spark, base), V)
     body = F.concat_ws(" ", F.array_join("blocks", " "), F.col("raw_text"))
     return t.select("page_id", st.page_period(body, F.col("dom"), F.col("lines"), V).alias("period"))
 
 
-@query("page_targets", P + "SELECT page_id, '대상카드 제휴 고객 캐시백 1' || d || ',000원 혜택' AS target FROM promo_pages")
+@query("page_targets", f"{SHOWN}, {LINES}, {TARGETED} SELECT page_id, target FROM targets")
 def page_targets(spark, base):
     t = st.page_texts(ad.promo_pages(spark, base), V)
     return t.select("page_id", st.target_text(F.col("dom"), F.col("lines"), V).alias("target"))
 
 
-@query("extracted_pages")
+#: Block texts of a page in order of their sources: container texts, lines of the raw text, lines of the full text.
+SOURCES = f"""areas AS (SELECT page_id, n, e FROM el WHERE tag IN ('main', 'article') OR {pv.has('content', 'event-detail')}
+      OR list_bool_or([contains(x, 'event') OR contains(x, 'detail') OR contains(x, 'campaign') FOR x IN cls])),
+  held AS (SELECT a.page_id AS doc_id, 1 AS src, a.n * 1000000 + b.n AS pos, b.spaced AS line FROM areas a JOIN el b ON b.page_id = a.page_id AND b.n > a.n AND b.n <= a.e
+      AND b.tag IN ('div', 'section', 'p', 'li', 'td', 'span', 'h2', 'h3', 'h4', 'dl', 'dd')
+    UNION ALL SELECT doc_id, 2, pos, line FROM ln UNION ALL SELECT doc_id, 3, pos, line FROM fl),
+  spare_lines AS (SELECT *, {KEY.format('line')} AS key FROM held WHERE length(line) >= 6 AND {usable('line', V)} AND (src > 1 OR length(line) <= {st.SECTION_BLOCK_CHARS})),
+  cand AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY src, pos) AS pos, line FROM (SELECT * FROM (
+    SELECT *, {KEY.format('line')} AS key FROM held WHERE src > 1) QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY src, pos) = 1))"""
+
+
+def blocks_with(name: str, words) -> str:
+    return f"""{name} AS (SELECT doc_id AS page_id, string_agg(line, ' | ' ORDER BY src, pos) AS text FROM (SELECT * FROM spare_lines
+    WHERE {ov.any_of('line', words)} AND (src > 1 OR length(line) <= {st.BLOCK_CHARS}) AND key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY src, pos) = 1) GROUP BY doc_id)"""
+
+
+RULES = dict(V.section_rules)
+CONDITION_WORDS = tuple(w for s in V.condition_sections for w in RULES[s])
+FIELDS = ", ".join((blocks_with("benefits", RULES[V.benefit_section]), blocks_with("condition_texts", CONDITION_WORDS)))
+SECTIONED = scored_sql(V, f"""SELECT doc_id, sec, row_number() OVER (PARTITION BY doc_id, sec ORDER BY src, pos) AS pos, line FROM (
+    SELECT *, unnest(range(1, 8)) AS sec FROM spare_lines) WHERE key <> '' AND [{', '.join(ov.any_of('line', w) for _, w in V.section_rules)}][sec]
+    QUALIFY row_number() OVER (PARTITION BY doc_id, sec, key ORDER BY src, pos) = 1""")
+SECTION_TEXTS = f"""section_lists AS (SELECT doc_id AS page_id, sec, list(c ORDER BY rank) AS items FROM ranked GROUP BY doc_id, sec),
+  section_rows AS (SELECT page_id, map_from_entries(list((sec, items))) AS m FROM section_lists GROUP BY page_id)"""
+
+
+def of_sections(names) -> str:
+    lists = [f"coalesce(m[{V.section_names.index(n) + 1}], [])" for n in names]
+    joined = lists[0]
+    for one in lists[1:]:
+        joined = f"list_concat({joined}, {one})"
+    return f"array_to_string({joined}, ' | ')"
+
+
+EVERYTHING = "concat_ws(' ', benefit_value, conditions, raw_text, full_text)"
+AMOUNTS = f"list_transform(regexp_extract_all({EVERYTHING}, '\\d[\\d,]{{0,8}}\\s*(?:만|천)?\\s*원'), lambda x: regexp_replace(x, '\\s', '', 'g'))"
+SHARES = f"list_transform(regexp_extract_all({EVERYTHING}, '(\\d{{1,3}}(?:\\.\\d+)?)\\s*(?:%|％|퍼센트)', 1), lambda x: x || '%')"
+
+
+def in_order(c: str) -> str:
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+SECTION_COLUMNS = {name: f"section_{i}" for i, name in enumerate((*V.section_names, "혜택_금액", "혜택_비율"))}
+
+
+@query("extracted_pages", f"{SHOWN}, {LINES}, {TITLED}, {DATED}, {TARGETED}, {SOURCES}, {FIELDS}{SECTIONED}, {SECTION_TEXTS}" + f""",
+  parts AS (SELECT f.doc_id AS page_id, coalesce(nullif(title, ''), (SELECT line FROM fl WHERE fl.doc_id = f.doc_id AND pos = 1), '') AS title, coalesce(period, '') AS period,
+    coalesce(nullif(b.text, ''), {of_sections([V.benefit_section])}, '') AS benefit_value, coalesce(nullif(c.text, ''), {of_sections(V.condition_sections)}, '') AS conditions,
+    coalesce(nullif(target, ''), {of_sections([V.target_section])}, '') AS target_segment, {ov.first_rule('lower(f.text)', V.benefit_type_rules, V.benefit_type_default)} AS benefit_type,
+    coalesce(r.text, '') AS raw_text, f.text AS full_text, m
+    FROM full_texts f LEFT JOIN raw_texts r USING (doc_id) LEFT JOIN titles t ON t.page_id = f.doc_id LEFT JOIN dated d ON d.page_id = f.doc_id
+    LEFT JOIN targets g ON g.page_id = f.doc_id LEFT JOIN benefits b ON b.page_id = f.doc_id LEFT JOIN condition_texts c ON c.page_id = f.doc_id LEFT JOIN section_rows s ON s.page_id = f.doc_id)
+  SELECT page_id, title, period, benefit_value, conditions, target_segment, benefit_type, raw_text,
+    {', '.join(f"{of_sections([n])} AS {SECTION_COLUMNS[n]}" for n in V.section_names)},
+    array_to_string({in_order(AMOUNTS)}, ' | ') AS section_7, array_to_string({in_order(SHARES)}, ' | ') AS section_8, NULL::VARCHAR AS error FROM parts""")
 def extracted_pages(spark, base):
     x = st.extract_pages(ad.promo_pages(spark, base).select("page_id", "url", "html"), V)
     return x.select(
         "page_id", "title", "period", "benefit_value", "conditions", "target_segment", "benefit_type", "raw_text",
-        F.to_json("marketing_content").alias("marketing_content"), "error",
+        *[F.col("marketing_content")[name].alias(column) for name, column in SECTION_COLUMNS.items()], "error",
     )
 
 
-@query("page_digests")
+DIGEST = P + ", " + pv.elements(("nav", "footer", "header", "aside", "iframe", "noscript"), menu=False).strip()
+
+
+@query("page_digests", DIGEST + f""", details AS (SELECT page_id, n, e FROM el WHERE tag = 'div' AND {pv.has('event-detail')} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n) = 1),
+  listed AS (SELECT page_id, n, e, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM el WHERE tag IN ('ul', 'ol')),
+  tabled AS (SELECT page_id, n, e, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM el WHERE tag = 'table'),
+  table_rows AS (SELECT t.page_id, t.k, r.n, string_agg(c.joined, ' | ' ORDER BY c.n) AS line FROM tabled t JOIN el r ON r.page_id = t.page_id AND r.tag = 'tr' AND r.n BETWEEN t.n AND t.e
+    JOIN el c ON c.page_id = t.page_id AND c.tag IN ('td', 'th') AND c.n BETWEEN r.n AND r.e GROUP BY ALL),
+  list_rows AS (SELECT u.page_id, u.k, i.n, '- ' || i.joined AS line FROM listed u JOIN el i ON i.page_id = u.page_id AND i.tag = 'li' AND i.n BETWEEN u.n AND u.e WHERE i.joined <> ''),
+  images AS (SELECT page_id, n, '- ' || {pv.attribute('alt')} AS line FROM dep WHERE tag = 'img' AND {pv.attribute('alt')} <> ''),
+  found AS (SELECT page_id, 1 AS part, 0 AS k, 0 AS n, '[제목] ' || first(joined ORDER BY n) AS line FROM el WHERE tag = 'h1' AND length(joined) > 3 GROUP BY page_id
+    UNION ALL SELECT page_id, 2, 0, 0, '[기간] ' || first(joined ORDER BY n) FROM el WHERE list_contains(cls, 'period') GROUP BY page_id HAVING regexp_matches(first(joined ORDER BY n), '~|-|부터|까지|기간')
+    UNION ALL SELECT page_id, 3, 0, 0, '[본문]' FROM details
+    UNION ALL SELECT d.page_id, 3, 1, b.n, b.s FROM details d JOIN blk b ON b.page_id = d.page_id AND b.n BETWEEN d.n AND d.e
+    UNION ALL SELECT page_id, 4, k, 0, '[표 ' || k || ']' FROM table_rows GROUP BY page_id, k UNION ALL SELECT page_id, 4, k, n, line FROM table_rows
+    UNION ALL SELECT page_id, 5, k, 0, '[목록 ' || k || ']' FROM list_rows GROUP BY page_id, k UNION ALL SELECT page_id, 5, k, n, line FROM list_rows
+    UNION ALL SELECT page_id, 6, 0, 0, '[이미지 설명]' FROM images GROUP BY page_id UNION ALL SELECT page_id, 6, 1, n, line FROM images),
+  kept AS (SELECT * FROM (SELECT *, lag(line) OVER (PARTITION BY page_id ORDER BY part, k, n) AS before FROM found) WHERE before IS NULL OR before <> line)
+  SELECT page_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY part, k, n) AS digest FROM kept GROUP BY page_id""")
 def page_digests(spark, base):
     return st.page_digest(ad.promo_pages(spark, base)).select("page_id", F.size("lines").alias("lines"), "digest")
 

@@ -32,4 +32,4 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"extracted_pages", "page_digests"}
+    assert set(QUERIES) == set(ORACLE)
