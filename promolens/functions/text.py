@@ -118,7 +118,7 @@ def is_meaningful(title: Column, period: Column, vocab: Vocabulary) -> Column:
 
 
 def comparison_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z가-힣]", ""))
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z가-힣]+", ""))
 
 
 def _alternatives(words) -> str:

@@ -363,10 +363,12 @@ def week_grid(events: DataFrame, params: Params) -> DataFrame:
     ).withColumn("ref_date", ref).withColumn("week", periods.week_label(F.col("ref_date")))
 
 
-def weeks_covered(rows: DataFrame, params: Params) -> DataFrame:
-    """Rows repeated for every reference week in which they run.
+def running_by_week(rows: DataFrame, groups: list[str], measures: dict[str, Column], params: Params) -> DataFrame:
+    """Sums of ``measures`` over the rows that run in each reference week: groups, week_no and the sums.
 
-    The covered weeks follow from the two dates, so no join with the grid is needed.
+    A row counts +1 in its first covered week and -1 after its last one, both of which follow from its two dates. The
+    marks are summed per group and week first, so what is shuffled depends neither on the number of weeks nor, beyond
+    one row per task, group and week, on the number of rows; running sums over the marks give the weeks.
     """
     last = params.gap_weeks - 1
     as_of = F.lit(params.as_of)
@@ -375,34 +377,38 @@ def weeks_covered(rows: DataFrame, params: Params) -> DataFrame:
     low = F.greatest(F.lit(last) - back_to_start, F.lit(0)).cast("int")
     high = F.least(F.lit(last) - back_to_end, F.lit(last)).cast("int")
     rows = computed_once(rows, {c: F.col(c) for c in ("period_start", "period_end")})
-    return (
+    spans = (
         rows.where(F.col("period_start").isNotNull() & F.col("period_end").isNotNull())
-        .withColumns({"_low": low, "_high": high})
+        .select(*groups, low.alias("_low"), high.alias("_high"), *[c.cast("bigint").alias(m) for m, c in measures.items()])
         .where(F.col("_low") <= F.col("_high"))
-        .withColumn("week_no", F.explode(F.sequence("_low", "_high")))
-        .drop("_low", "_high")
     )
 
+    def mark(week: Column, sign: int) -> Column:
+        return F.struct(week.alias("_week"), *[(F.col(m) * sign).alias(m) for m in measures])
+
+    marks = spans.select(*groups, F.explode(F.array(mark(F.col("_low"), 1), mark(F.col("_high") + 1, -1))).alias("_m"))
+    marks = marks.groupBy(*groups, "_m._week").agg(*[F.sum(f"_m.{m}").alias(m) for m in measures])
+    in_order = Window.partitionBy(*groups).orderBy("_week")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.coalesce(F.lead("_week").over(in_order) - 1, F.lit(last))
+    levels = marks.select(*groups, "_week", F.least(until, F.lit(last)).alias("_until"), *[F.sum(m).over(so_far).alias(m) for m in measures])
+    return levels.where(F.col("_week") <= last).withColumn("week_no", F.explode(F.sequence("_week", "_until"))).drop("_week", "_until")
+
 
 def weekly_active(events: DataFrame, params: Params) -> DataFrame:
     """Running promotions per reference week and company."""
     rows = events.where(records.visible(params)).select(
         company_name().alias("company"), "period_start", "period_end"
     )
-    counted = weeks_covered(rows, params).groupBy("week_no", "company").agg(F.count("*").alias("n"))
+    counted = running_by_week(rows, ["company"], {"n": F.lit(1)}, params).where("n > 0")
     return counted.join(week_grid(events, params), "week_no").select("week", "ref_date", "company", "n")
 
 
 def weekly_gaps(events: DataFrame, params: Params) -> DataFrame:
     """Gap categories of each reference week."""
     rows = _categorised(_gap_base(events, params)).select("category", "_focal", "period_start", "period_end")
-    return (
-        weeks_covered(rows, params)
-        .groupBy("week_no", "category")
-        .agg(F.max("_focal").alias("own"), F.max(~F.col("_focal")).alias("rival"))
-        .where(F.col("rival") & ~F.col("own"))
-        .select("week_no", "category")
-    )
+    sides = {"own": F.col("_focal"), "rival": ~F.col("_focal")}
+    return running_by_week(rows, ["category"], sides, params).where("rival > 0 AND own = 0").select("week_no", "category")
 
 
 def gap_trend(events: DataFrame, params: Params) -> DataFrame:
@@ -657,10 +663,18 @@ def corpus_texts(events: DataFrame, params: Params) -> DataFrame:
 
 
 def company_corpus(events: DataFrame, params: Params) -> DataFrame:
-    """The ``corpus_rows`` newest texts of each company, whole and joined: the input of a text comparison."""
-    newest = first_per_group(
-        corpus_texts(events, params), ["company"], [F.desc_nulls_last("created_at"), F.asc("id")], params.corpus_rows
-    )
+    """The ``corpus_rows`` newest texts of each company, whole and joined: the input of a text comparison.
+
+    The join is one value per company, so without a number (``None``) a company's texts must fit in one row;
+    ``corpus_texts`` gives them row by row.
+    """
+    texts, order = corpus_texts(events, params), [F.desc_nulls_last("created_at"), F.asc("id")]
+    if params.corpus_rows is None:
+        lines = F.sort_array(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "id", "raw_text")))
+        known = F.filter(lines, lambda x: x["t"].isNotNull())
+        unknown = F.filter(lines, lambda x: x["t"].isNull())
+        return texts.groupBy("company").agg(F.array_join(F.transform(F.concat(known, unknown), lambda x: x["raw_text"]), "\n").alias("corpus"))
+    newest = first_per_group(texts, ["company"], order, params.corpus_rows)
     return newest.groupBy("company").agg(F.array_join(ranked_list("raw_text"), "\n").alias("corpus"))
 
 

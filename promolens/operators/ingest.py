@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,16 @@ def dedupe_first(batch: DataFrame, order: list[Column]) -> DataFrame:
     return first_seen(keyed, ["_key"], order).drop("_key")
 
 
-def merge_passes(passes: list[DataFrame], thresholds: list[int | None], arrival: str = "arrival") -> DataFrame:
-    """Union of collection passes in priority order, first seen wins.
+def merge_passes(passes: list[DataFrame], thresholds: list[int | None] | None = None, arrival: str = "arrival") -> DataFrame:
+    """Union of collection passes in priority order, first seen wins; every pass takes part unless it has a threshold.
 
-    Pass ``i`` takes part for a company only while fewer than ``thresholds[i]``
-    records were collected by the earlier passes (``None`` = always).
+    With ``thresholds``, pass ``i`` takes part for a company only while fewer than ``thresholds[i]``
+    records were collected by the earlier passes (``None`` = always). Without any, all passes meet in one exchange.
     """
+    if thresholds is None or all(t is None for t in thresholds):
+        rows = [part.withColumn("_pass", F.lit(rank)) for rank, part in enumerate(passes)]
+        every = functools.reduce(DataFrame.unionByName, rows)
+        return dedupe_first(every, [F.asc("_pass"), F.asc(arrival)]).withColumnRenamed("_pass", "source_pass")
     collected = None
     for rank, (part, threshold) in enumerate(zip(passes, thresholds)):
         rows = part.withColumn("_pass", F.lit(rank))

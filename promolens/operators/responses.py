@@ -111,14 +111,18 @@ BRIEF_JSON = """
 """
 
 
-def valid_briefs(responses: DataFrame) -> DataFrame:
-    """Company briefs with an overview; categories are trimmed, three at most."""
+def _up_to(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def valid_briefs(responses: DataFrame, categories_max: int | None = None) -> DataFrame:
+    """Company briefs with an overview; categories are trimmed, all or as many as given."""
     parsed = parse_responses(responses, BRIEF_JSON).where(_text(F.col("answer.overview")) != "")
     a = lambda k: _text(F.col(f"answer.{k}"))
     categories = F.filter(F.transform("answer.strongest_categories", _text), lambda v: v != "")
     return parsed.select(
         "id", a("overview").alias("overview"), a("key_strategy").alias("key_strategy"),
-        F.slice(F.coalesce(categories, F.array().cast("array<string>")), 1, 3).alias("strongest_categories"),
+        _up_to(F.coalesce(categories, F.array().cast("array<string>")), categories_max).alias("strongest_categories"),
         a("avg_benefit_assessment").alias("avg_benefit_assessment"), a("target_focus").alias("target_focus"),
         a("shinhan_threat").alias("rival_threat"), a("recommended_counter").alias("recommended_counter"),
     )
@@ -131,8 +135,9 @@ COMPARISON_JSON = """
 ALLOWED_LEVELS = tuple(name for _, name in FIVE_LEVELS) + (FIVE_LEVEL_LOWEST,)
 
 
-def valid_comparisons(responses: DataFrame) -> DataFrame:
-    """Level tables with four usable rows; cells outside the five levels are dropped."""
+def valid_comparisons(responses: DataFrame, rows_max: int | None = None, summary_max: int | None = None) -> DataFrame:
+    """Level tables with four usable rows or more, whole or as many rows and sentences as given; cells outside the five
+    levels are dropped."""
     parsed = parse_responses(responses, COMPARISON_JSON).where(F.size("answer.rows") >= 4)
 
     def clean_row(r: Column) -> Column:
@@ -147,11 +152,11 @@ def valid_comparisons(responses: DataFrame) -> DataFrame:
         )
 
     rows = F.filter(
-        F.transform(F.slice("answer.rows", 1, 4), clean_row),
+        F.transform(_up_to(F.col("answer.rows"), rows_max), clean_row),
         lambda r: (r["metric"] != "") & (F.size(F.map_keys(r["values"])) > 0),
     )
     kept = parsed.withColumn("rows", rows).where(F.size("rows") >= 4)
-    summary = F.slice(F.filter(F.transform("answer.summary", _text), lambda v: v != ""), 1, 3)
+    summary = _up_to(F.filter(F.transform("answer.summary", _text), lambda v: v != ""), summary_max)
     return kept.select(
         "id", text.first_filled(_text(F.col("answer.title")), F.lit("카드 4사 비교 요약")).alias("title"), "rows",
         F.coalesce(summary, F.array().cast("array<string>")).alias("summary"),

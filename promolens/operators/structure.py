@@ -225,13 +225,13 @@ def score_lines(lines: Column, vocab: Vocabulary) -> Column:
     return F.filter(F.transform(lines, score), lambda e: e["scores"].isNotNull())
 
 
-def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabulary) -> Column:
-    """Best texts of one section; keyword blocks stand in when it got no line."""
-    mine = F.filter(scored, lambda e: e["scores"][index] > 0)
-    usable = F.filter(mine, lambda e: (F.length(e["text"]) >= MIN_LINE) & _usable(e["text"], vocab))
-    firsts = text.distinct_by_key(usable, lambda e: text.comparison_key(e["text"]))
+def section_items(scored: Column, index: int, fallback: Column) -> Column:
+    """Best texts of one section; keyword blocks stand in when it got no line.
+
+    The scored lines are useful and distinct already, as ``candidate_lines`` and ``merged_lines`` give them.
+    """
     own = F.transform(
-        firsts,
+        F.filter(scored, lambda e: e["scores"][index] > 0),
         lambda e, i: F.struct(
             (-e["scores"][index]).alias("s"), (-F.length(e["text"])).alias("l"), i.alias("p"), e["text"].alias("t")
         ),
@@ -248,12 +248,12 @@ def section_items(scored: Column, index: int, fallback: Column, vocab: Vocabular
 
 
 def sections(df: DataFrame, vocab: Vocabulary, lines: str, block_sources: list[Column]) -> DataFrame:
-    """Add ``sections``: map of section name to its best texts."""
+    """Add ``sections``: map of section name to its best texts. ``lines`` are candidate lines, distinct by key."""
     scored = df.withColumn("_scored", score_lines(F.col(lines), vocab))
     pieces = []
     for i, (name, words) in enumerate(vocab.section_rules):
         spare = keyword_blocks(block_sources, words, vocab)
-        pieces += [F.lit(name), section_items(F.col("_scored"), i, spare, vocab)]
+        pieces += [F.lit(name), section_items(F.col("_scored"), i, spare)]
     return scored.withColumn("sections", F.create_map(*pieces)).drop("_scored")
 
 

@@ -23,7 +23,7 @@ class Params:
     benchmark_items: int = 20
     gap_rival_items: int = 10
     gap_weeks: int = 8
-    corpus_rows: int = 20
+    corpus_rows: int | None = 20  # None takes every text
     recent_days: int = 7
     ending_days: int = 14
 

@@ -426,7 +426,7 @@ def _answers(spark, base, body):
 E = "WITH ev AS (SELECT *, cast(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 9 <> 0) "
 
 
-@query("company_briefs", E + """SELECT event_id AS id, 'view of ' || event_type AS overview, '' AS key_strategy, 'a | k' || k || ' | c' AS strongest_categories FROM ev WHERE k % 4 <> 0""")
+@query("company_briefs", E + """SELECT event_id AS id, 'view of ' || event_type AS overview, '' AS key_strategy, 'a | k' || k || ' | c | d' AS strongest_categories FROM ev WHERE k % 4 <> 0""")
 def company_briefs(spark, base):
     k = ad.props_k()
     body = F.concat(
