@@ -11,12 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from promolens.functions.records import accepted, build_records
-from promolens.operators.ingest import (
-    extraction_plan, extraction_summary, insert_if_new, pending_extraction,
-)
+from promolens.functions.records import accepted, build_records, derive_fields
+from promolens.operators.ingest import extraction_plan, extraction_summary, pending_extraction
 from promolens.params import Params
 
 STAGED = (
@@ -38,23 +37,51 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def ingest_stream(
-    staged: DataFrame, target: str, checkpoint: str, params: Params, interval: str | None = None
-) -> StreamingQuery:
-    """First-wins ingest: each batch adds the addresses that the target does not hold.
+def first_wins(rows: DataFrame) -> DataFrame:
+    """The first row of each address that the stream has ever seen, by smallest arrival within a micro-batch.
 
-    A batch is written to a folder named by its id with overwrite, so a batch that
-    is repeated after a failure replaces its own rows and adds nothing twice.
+    ``rows``: url, arrival, seed (true for addresses that are stored already and only mark their key) and row (text).
+    One flag per address is kept in the state store; a batch touches only the addresses it brings.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = accepted(build_records(batch, params.vocab))
-        stored = _earlier_batches(spark, target, batch_id)
-        new = insert_if_new(rows, stored, [F.asc("arrival")], params)
-        new.drop("base_url").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def keep(key, frames, state):
+        import pandas as pd
+
+        best, seeded = None, False
+        for frame in frames:  # pieces of bounded size, however often an address comes
+            seeded = seeded or bool(frame["seed"].any())
+            for arrival, row in zip(frame["arrival"].tolist(), frame["row"].tolist()):
+                if row is not None and (best is None or (arrival, row) < best):
+                    best = (arrival, row)
+        if not state.exists:
+            state.update((True,))
+            if best is not None and not seeded:
+                yield pd.DataFrame({"url": [key[0]], "row": [best[1]]})
+
+    return rows.groupBy("url").applyInPandasWithState(keep, "url STRING, row STRING", "seen BOOLEAN", "append", "NoTimeout")
+
+
+def ingest_stream(
+    staged: DataFrame, target: str, checkpoint: str, params: Params, interval: str | None = None, stored: str | None = None,
+) -> StreamingQuery:
+    """First-wins ingest: appends the addresses that neither the stream nor the ``stored`` table has seen.
 
-    return _start(staged.writeStream.foreachBatch(write), checkpoint, interval)
+    Seen addresses are state of the query, kept in its checkpoint, so no batch reads the target; ``stored`` (a parquet
+    folder with ``url``) seeds that state with the first batch. The file sink commits each batch once, so a batch that
+    is repeated after a failure adds nothing twice. Where addresses are many, choose the RocksDB state store, as
+    ``session.tuned`` does.
+    """
+    rows = accepted(build_records(staged, params.vocab))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "base_url"])
+    payload = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))
+    late = F.lit(2**63 - 1).cast("bigint")
+    keyed = rows.select("url", F.coalesce(F.col("arrival").cast("bigint"), late).alias("arrival"), F.lit(False).alias("seed"), payload.alias("row"))
+    if stored is not None:
+        known = staged.sparkSession.readStream.schema("url STRING").parquet(stored)
+        keyed = keyed.unionByName(known.select(
+            "url", F.lit(0).cast("bigint").alias("arrival"), F.lit(True).alias("seed"), F.lit(None).cast("string").alias("row")))
+    found = first_wins(keyed).select(F.from_json("row", schema).alias("row")).select("row.*")
+    return _start(derive_fields(found, params.as_of).writeStream.outputMode("append").format("parquet").option("path", target), checkpoint, interval)
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:
@@ -62,16 +89,6 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _earlier_batches(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
-    """Addresses stored by the batches before this one."""
-    if batch_id == 0 or not _exists(spark, target):
-        return spark.createDataFrame([], "url STRING")
-    return (
-        spark.read.option("basePath", target).schema("url STRING, batch BIGINT").parquet(target)
-        .where(F.col("batch") < batch_id).select("url")
-    )
-
-
 def extraction_stream(
     events: DataFrame, locks: Callable[[], DataFrame], extract: Callable[[DataFrame], DataFrame],
     target: str, checkpoint: str, interval: str | None = None,
@@ -112,11 +129,31 @@ def log_stream(
     return _start(rows.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint, interval)
 
 
-def progress_stream(outcomes: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Live run counters from a stream of outcomes, in complete mode."""
-    totals = extraction_summary(outcomes)
-    writer = totals.writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def progress_stream(
+    outcomes: DataFrame, name: str | None = None, checkpoint: str | None = None, target: str | None = None,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Live run counters from a stream of outcomes.
+
+    With ``target`` and ``checkpoint`` each batch writes its totals under its id; the counts are state of the query, so
+    they go on after a restart, and ``read_progress`` gives the latest. With ``name`` they go to an in-memory table.
+    """
+    totals = extraction_summary(outcomes).writeStream.outputMode("complete")
+    if target is None:
+        writer = totals.format("memory").queryName(name)
+        if checkpoint:
+            writer = writer.option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    if checkpoint is None:
+        raise ValueError("durable counters need a checkpoint")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _start(totals.foreachBatch(write), checkpoint, interval)
+
 
+def read_progress(spark: SparkSession, target: str) -> DataFrame:
+    """The totals of the latest batch."""
+    rows = spark.read.parquet(target)
+    return rows.orderBy(F.desc("batch")).limit(1).drop("batch")

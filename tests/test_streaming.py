@@ -36,6 +36,34 @@ def test_stream_equals_batch_ingest(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
 
 
+def test_ingest_remembers_over_restarts_and_never_reads_the_target(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.createDataFrame([("https://www.example.com/e/1",), ("https://www.example.com/e/5",)], "url string").write.parquet(f"{root}/stored")
+    land(f"{root}/in", "0.json", [row(9, "/e/2"), row(4, "/e/2?utm_source=a"), row(1, "/e/1"), row(7, "/e/3")])
+
+    def run():
+        jobs.ingest_stream(jobs.staged_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/ck", P, stored=f"{root}/stored").awaitTermination()
+        return sorted((r.url.rpartition("/")[2], r.arrival, r.title, r.status) for r in spark.read.parquet(f"{root}/out").collect())
+
+    first = [("2", 4, "오퍼 4", "active"), ("3", 7, "오퍼 7", "active")]
+    assert run() == first and run() == first
+    land(f"{root}/in", "1.json", [row(2, "/e/2"), row(11, "/e/5"), row(12, "/e/6"), row(13, "/e/6")])
+    assert run() == [*first, ("6", 12, "오퍼 12", "active")]
+    # an ended query that starts anew from its checkpoint with nothing landed adds nothing, whatever became of the target
+    before = spark.read.parquet(f"{root}/out").count()
+    assert len(run()) == before
+
+
+def test_progress_survives_a_restart(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    schema = "action STRING, error STRING, source STRING"
+    for n, rows in enumerate(([{"action": "extract"}, {"action": "extract", "error": "x"}], [{"action": "skipped"}, {"action": "extract", "source": "gemini"}])):
+        land(f"{root}/in", f"{n}.json", rows)
+        jobs.progress_stream(spark.readStream.schema(schema).json(f"{root}/in"), checkpoint=f"{root}/ck", target=f"{root}/out").awaitTermination()
+        got = jobs.read_progress(spark, f"{root}/out").first()
+        assert (got.processed, got.succeeded, got.failed, got.enriched) == ((2, 1, 1, 0), (4, 3, 1, 1))[n]
+
+
 def test_extraction_stream_takes_up_unfinished_rows(spark):
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     schema = "id BIGINT, url STRING, marketing_content STRING, created_at TIMESTAMP_NTZ"
