@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions import amounts, periods, records, text
 from promolens.functions.rows import computed_once, exploded
-from promolens.operators.ranking import first_per_group, ranked_list, top_values, value_counts
+from promolens.operators.ranking import first_per_group, ranked_list
 from promolens.params import Params
 from promolens.vocabulary import (
     BENEFIT_LEVELS,
@@ -48,21 +48,25 @@ def _filled(c: Column) -> Column:
 
 # ---- overview, totals, statistics -------------------------------------------
 
-def company_overview(events: DataFrame, params: Params) -> DataFrame:
-    """Coverage, activity, extraction, levels and leading points of each company.
+def _company_values(events: DataFrame, params: Params, profile: bool = False) -> DataFrame:
+    """Per company, kind and value: how often and where first, with the sums of the rows' own figures.
 
-    Rows and list values travel through one aggregation: each event emits one
-    marker row plus its points and strategies.
+    Rows and list values travel through one aggregation: each event emits one marker row (kind ``row``) plus its points
+    and strategies; with ``profile`` also its category, and figures of the visible rows. Values are ranked per kind.
     """
+    shown = records.visible(params)
+    own = {
+        "_visible": shown, "period_end": F.col("period_end"),
+        "_extracted": records.has_json_content(F.col("marketing_content")),
+        "_has_insight": records.has_json_content(F.col("marketing_insights")),
+    }
+    if profile:
+        own["_figures"] = F.when(shown, F.array(*_profile_figures().values()))
+        own["_category"] = F.when(shown, text.blank_to_null(text.ustrip(F.col("category"))))
+    # the insight's fields become columns, so no nested field is pruned through the generator below
     flagged = events.select(
-        F.col("id"),
-        company_name().alias("company"),
-        records.visible(params).alias("_visible"),
-        F.col("period_end"),
-        records.has_json_content(F.col("marketing_content")).alias("_extracted"),
-        records.has_json_content(F.col("marketing_insights")).alias("_has_insight"),
-        records.insight_struct(F.col("marketing_insights")).alias("_ins"),
-    )
+        F.col("id"), company_name().alias("company"), *[c.alias(name) for name, c in own.items()],
+        F.inline_outer(F.array(records.insight_struct(F.col("marketing_insights")))))
 
     def tagged(kind: str, values: Column) -> Column:
         kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
@@ -73,52 +77,70 @@ def company_overview(events: DataFrame, params: Params) -> DataFrame:
             ),
         )
 
+    def single(kind: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(0).cast("bigint").alias("pos")))
+
     none = F.array().cast("array<struct<kind:string,value:string,pos:bigint>>")
-    marker = F.array(
-        F.struct(F.lit("row").alias("kind"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("pos"))
-    )
     values = F.when(
         F.col("_has_insight"),
         F.concat(
-            tagged("point", F.col("_ins.competitive_points")), tagged("strategy", F.col("_ins.promo_strategies"))
+            tagged("point", F.col("competitive_points")), tagged("strategy", F.col("promo_strategies"))
         ),
     ).otherwise(none)
+    everything = [single("row", F.lit("")), values]
+    if profile:
+        everything.append(F.when(F.col("_category").isNotNull(), single("category", F.col("_category"))).otherwise(none))
     keep = [
         "id", "company", "_visible", "period_end", "_extracted", "_has_insight",
-        F.when(F.col("_has_insight"), F.col("_ins.benefit_level")).alias("_level"),
+        F.when(F.col("_has_insight"), F.col("benefit_level")).alias("_level"),
+        *(["_figures"] if profile else []),
     ]
-    items = exploded(flagged, keep, F.concat(marker, values), "item").select("*", "item.*").drop("item")
+    items = flagged.select(*keep, F.inline_outer(F.concat(*everything))).where(F.col("kind").isNotNull())
 
     is_row = F.col("kind") == "row"
-    shown = is_row & F.col("_visible")
+    live = is_row & F.col("_visible")
     as_of = F.lit(params.as_of)
     flags = {
         "collected": is_row,
-        "visible": shown,
-        "active": shown & (F.col("period_end") >= as_of),
-        "ended": shown & (F.col("period_end") < as_of),
+        "visible": live,
+        "active": live & (F.col("period_end") >= as_of),
+        "ended": live & (F.col("period_end") < as_of),
         "extracted": is_row & F.col("_extracted"),
         "insight": is_row & F.col("_has_insight"),
     }
-    levels = {f"level_{i + 1}": is_row & (F.col("_level") == name) for i, name in enumerate(BENEFIT_LEVELS)}
-    score = amounts.map_score(F.col("_level"), BENEFIT_SCORES, None)
+    levels = {name: is_row & (F.col("_level") == level) for name, level in zip(LEVEL_COLUMNS, BENEFIT_LEVELS)}
+    sums = {f"{name}_count": _flag(c) for name, c in flags.items()} | {name: _flag(c) for name, c in levels.items()}
+    sums["_score_sum"] = F.when(is_row, amounts.map_score(F.col("_level"), BENEFIT_SCORES, None))
+    if profile:
+        for i, name in enumerate(_profile_figures()):
+            sums[name] = F.when(is_row, F.get("_figures", F.lit(i)))
     grouped = items.groupBy("company", "kind", "value").agg(
         F.count("*").alias("n"),
         F.min("id").alias("first_id"),
         F.min_by("pos", "id").alias("first_pos"),
-        *[F.sum(_flag(c)).alias(name) for name, c in {**flags, **levels}.items()],
-        F.sum(F.when(is_row, score)).alias("_score_sum"),
-    )
-    ranked = first_per_group(
-        grouped, ["company", "kind"], [F.desc("n"), F.asc("first_id"), F.asc("first_pos"), F.asc("value")], 3
+        *[F.sum(c).alias(name) for name, c in sums.items()],
     )
-    rows = ranked.groupBy("company").agg(
-        *[F.sum(name).alias(f"{name}_count" if name in flags else name) for name in {**flags, **levels}],
-        F.sum("_score_sum").alias("_score_sum"),
-        ranked_list("value", when=F.col("kind") == "point").alias("top_competitive_points"),
-        ranked_list("value", when=F.col("kind") == "strategy").alias("top_promo_strategies"),
-    )
-    scored = sum((F.col(name) for name in levels), F.lit(0))
+    order = [F.desc("n"), F.asc("first_id"), F.asc("first_pos"), F.asc("value")]
+    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy("company", "kind").orderBy(*order)))
+
+
+LEVEL_COLUMNS = tuple(f"level_{i + 1}" for i in range(len(BENEFIT_LEVELS)))
+OVERVIEW_COUNTS = ("collected", "visible", "active", "ended", "extracted", "insight")
+
+
+def _overview_sums() -> list[Column]:
+    sums = [F.sum(f"{name}_count").alias(f"{name}_count") for name in OVERVIEW_COUNTS]
+    sums += [F.sum(name).alias(name) for name in (*LEVEL_COLUMNS, "_score_sum")]
+    top = F.col("rank") <= 3
+    return [
+        *sums,
+        ranked_list("value", when=(F.col("kind") == "point") & top).alias("top_competitive_points"),
+        ranked_list("value", when=(F.col("kind") == "strategy") & top).alias("top_promo_strategies"),
+    ]
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
+    scored = sum((F.col(name) for name in LEVEL_COLUMNS), F.lit(0))
     return rows.withColumns(
         {
             "extraction_rate": amounts.rate(F.col("extracted_count"), F.col("collected_count")),
@@ -130,6 +152,12 @@ def company_overview(events: DataFrame, params: Params) -> DataFrame:
     ).drop("_score_sum")
 
 
+def company_overview(events: DataFrame, params: Params) -> DataFrame:
+    """Coverage, activity, extraction, levels and leading points of each company."""
+    ranked = _company_values(events, params).where(F.col("rank") <= 3)
+    return _with_rates(ranked.groupBy("company").agg(*_overview_sums()))
+
+
 def overview_order() -> list[Column]:
     return [F.desc("collected_count"), F.asc("company")]
 
@@ -470,31 +498,27 @@ def lenient_gaps(events: DataFrame, params: Params) -> DataFrame:
 
 # ---- company snapshot, briefing, dimensions --------------------------------------
 
-def visible_profile(events: DataFrame, params: Params) -> DataFrame:
-    """Figures over the visible records of each company, with dimension hit counts."""
-    blob = records.search_blob()
+def _profile_figures() -> dict[str, Column]:
+    """Figures of a row that a company's profile sums up, as doubles; whole ones are exact up to 2**53."""
+    threat = F.lower(F.coalesce(text.ustrip(F.col("threat_level")), F.lit("")))
+    status = text.first_filled(F.col("status"), F.lit("unknown"))
     days = periods.duration_days(F.col("period_start"), F.col("period_end"))
-    won, pct = F.nullif(F.col("benefit_amount_won"), F.lit(0)), F.nullif(F.col("benefit_pct"), F.lit(0.0))
-    rows = events.where(records.visible(params)).select(
-        company_name().alias("company"),
-        F.lower(F.coalesce(text.ustrip(F.col("threat_level")), F.lit(""))).alias("_threat"),
-        text.first_filled(F.col("status"), F.lit("unknown")).alias("_status"),
-        won.alias("_won"), pct.alias("_pct"), blob.alias("_blob"), days.alias("_days"),
-    )
-    zero = F.lit(0).cast("bigint")
-    return rows.groupBy("company").agg(
-        F.count("*").alias("events"),
-        F.sum(_flag(F.col("_threat") == "high")).alias("high_threat_count"),
-        F.sum(_flag(F.col("_status") == "active")).alias("status_active"),
-        F.sum(_flag(F.col("_status") == "ended")).alias("status_ended"),
-        F.sum(_flag(~F.col("_status").isin("active", "ended"))).alias("status_unknown"),
-        F.coalesce(F.bround(F.sum("_won") / F.count("_won"), 0).cast("bigint"), zero).alias("avg_benefit_amount_won"),
-        F.coalesce(F.bround(F.sum("_pct") / F.count("_pct"), 1), F.lit(0.0)).alias("avg_benefit_pct"),
-        F.sum(_flag(text.contains_any(F.col("_blob"), HIGH_VALUE_WORDS))).alias("high_value_hits"),
-        F.sum(_flag(text.contains_any(F.col("_blob"), RECURRING_WORDS))).alias("recurring_hits"),
-        F.sum(_flag(text.contains_any(F.col("_blob"), REPEAT_WORDS))).alias("repeat_hits"),
-        F.sum(_flag(F.col("_days") >= 60)).alias("long_period_hits"),
-    )
+    blob = records.search_blob()
+    figures = {
+        "high_threat_count": _flag(threat == "high"),
+        "status_active": _flag(status == "active"),
+        "status_ended": _flag(status == "ended"),
+        "status_unknown": _flag(~status.isin("active", "ended")),
+        "_won_sum": F.nullif(F.col("benefit_amount_won"), F.lit(0)),
+        "_won_rows": _flag(F.col("benefit_amount_won") != 0),
+        "_pct_sum": F.nullif(F.col("benefit_pct"), F.lit(0.0)),
+        "_pct_rows": _flag(F.col("benefit_pct") != 0),
+        "high_value_hits": _flag(text.contains_any(blob, HIGH_VALUE_WORDS)),
+        "recurring_hits": _flag(text.contains_any(blob, RECURRING_WORDS)),
+        "repeat_hits": _flag(text.contains_any(blob, REPEAT_WORDS)),
+        "long_period_hits": _flag(days >= 60),
+    }
+    return {name: c.cast("double") for name, c in figures.items()}
 
 
 def status_counts(events: DataFrame, params: Params) -> DataFrame:
@@ -504,42 +528,32 @@ def status_counts(events: DataFrame, params: Params) -> DataFrame:
     return shown.groupBy(company_name().alias("company"), status).agg(F.count("*").alias("n"))
 
 
-def category_mix(events: DataFrame, params: Params) -> DataFrame:
-    """Per company: leading categories, number of categories and the entropy of their shares.
+def company_snapshot(events: DataFrame, params: Params) -> DataFrame:
+    """Overview of each company with the profile and the category mix of its visible records, in one read.
 
-    Shares are taken over all visible events, including those without a category.
+    The mix: leading categories, number of categories and what the entropy of their shares is made of; shares are
+    taken over all visible events, including those without a category.
     """
-    rows = events.where(records.visible(params)).select(
-        "id", company_name().alias("company"),
-        F.array_compact(F.array(text.blank_to_null(text.ustrip(F.col("category"))))).alias("_cats"),
-    )
-    counted = value_counts(rows, ["company"], F.col("_cats"))
-    order = [F.desc("n"), F.asc("first_id"), F.asc("first_pos"), F.asc("value")]
-    top = first_per_group(counted, ["company"], order, 3).groupBy("company").agg(
-        ranked_list("value").alias("top_categories")
-    )
-    spread = counted.groupBy("company").agg(
-        F.count("*").alias("categories"),
-        F.sum(F.col("n") * F.ln("n")).alias("_nlogn"),
-        F.sum("n").alias("_n"),
-    )
-    return spread.join(top, "company")
-
-
-def company_snapshot(events: DataFrame, overview: DataFrame, params: Params) -> DataFrame:
-    """Overview row joined with the profile of the visible records."""
-    profile = visible_profile(events, params)
-    mix = category_mix(events, params).select("company", "top_categories", "categories", "_nlogn", "_n")
-    fill = [
-        "events", "high_threat_count", "status_active", "status_ended", "status_unknown",
-        "avg_benefit_amount_won", "avg_benefit_pct", "high_value_hits", "recurring_hits",
-        "repeat_hits", "long_period_hits", "categories",
-    ]
+    zero = F.lit(0).cast("bigint")
+    category = F.col("kind") == "category"
+    sums = [F.sum(name).cast("double" if name.startswith("_") else "bigint").alias(name) for name in _profile_figures()]
+    rows = _company_values(events, params, profile=True).groupBy("company").agg(
+        *_overview_sums(), *sums,
+        ranked_list("value", when=category & (F.col("rank") <= 3)).alias("top_categories"),
+        F.count_if(category).alias("categories"),
+        F.sum(F.when(category, F.col("n") * F.ln("n"))).alias("_nlogn"),
+        F.sum(F.when(category, F.col("n"))).alias("_n"),
+    )
+    fill = [n for n in _profile_figures() if not n.startswith("_")]
     return (
-        overview.join(profile, "company", "left")
-        .join(mix, "company", "left")
+        _with_rates(rows)
+        .withColumns({
+            "events": F.col("visible_count"),
+            "avg_benefit_amount_won": F.coalesce(F.bround(F.col("_won_sum") / F.nullif(F.col("_won_rows"), F.lit(0)), 0).cast("bigint"), zero),
+            "avg_benefit_pct": F.coalesce(F.bround(F.col("_pct_sum") / F.nullif(F.col("_pct_rows"), F.lit(0)), 1), F.lit(0.0)),
+        })
         .na.fill(0, fill)
-        .withColumn("top_categories", F.coalesce("top_categories", F.array().cast("array<string>")))
+        .drop("_won_sum", "_won_rows", "_pct_sum", "_pct_rows")
     )
 
 

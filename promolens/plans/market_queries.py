@@ -303,7 +303,7 @@ SNAP_COLUMNS = (
 
 def _snapshot(spark, base):
     events = ad.campaigns(spark, base)
-    return an.company_snapshot(events, an.company_overview(events, PARAMS), PARAMS)
+    return an.company_snapshot(events, PARAMS)
 
 
 @query("company_snapshot", SNAP + f"SELECT {SNAP_COLUMNS}, array_to_string(cat_list, ' | ') AS top_categories FROM snap")
