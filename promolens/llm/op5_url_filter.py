@@ -64,7 +64,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     probes = distinct.where("host <> ''").select("host", "path", F.explode(suffix).alias("at"))
     starts = with_stacks(rules).withColumnRenamed("host", "at")
-    load = probes.join(starts.select("at").distinct(), "at", "left_semi").groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    # counted before they meet the rules: tasks send one row per host, however hot
+    load = probes.groupBy("at").agg(F.count(F.lit(1)).alias("n")).join(starts.select("at").distinct(), "at", "left_semi")
     salts = load.select("at", F.ceil(F.col("n") / KEYS_PER_SALT).cast("int").alias("salts"))
     probes = probes.join(salts, "at").select(
         "at", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"),
