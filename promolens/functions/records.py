@@ -84,8 +84,8 @@ def derive_fields(records: DataFrame, as_of) -> DataFrame:
     ).drop("_dates")
 
 
-def merge_extracted(extracted: DataFrame, existing: DataFrame, params: Params) -> DataFrame:
-    """Extraction result laid over the stored record: filled new values win."""
+def merge_extracted(extracted: DataFrame, existing: DataFrame, params: Params, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Extraction result laid over the stored record: filled new values win; ``carried`` columns pass through."""
     fields = (
         "title", "period", "benefit_type", "benefit_value", "conditions",
         "target_segment", "one_line_summary", "raw_text",
@@ -104,6 +104,7 @@ def merge_extracted(extracted: DataFrame, existing: DataFrame, params: Params) -
             for f in fields
         ],
         F.col("e.marketing_content").alias("marketing_content"),
+        *[F.col(f"e.{c}").alias(c) for c in carried],
     )
     return derive_fields(merged, params.as_of)
 

@@ -55,6 +55,12 @@ def insert_if_new(batch: DataFrame, stored: DataFrame, order: list[Column], para
     return records.derive_fields(not_stored(firsts, stored), params.as_of)
 
 
+def direct_entry(entries: DataFrame, stored: DataFrame, order: list[Column], params: Params) -> DataFrame:
+    """Hand-entered records on the path of collected ones: normalised, empty texts null, new addresses only."""
+    built = records.drop_empty(records.accepted(records.build_records(entries, params.vocab)))
+    return insert_if_new(built, stored, order, params)
+
+
 def limit_per_company(batch: DataFrame, order: list[Column], params: Params) -> DataFrame:
     """The first records of each company in arrival order, if the run has a limit; all of them otherwise."""
     if params.ingest_limit_per_company is None:

@@ -15,6 +15,12 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended."""
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(done)
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     p, fs = _path(spark, root)
     if not fs.exists(p):
@@ -22,8 +28,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     found = []
     for status in fs.listStatus(p):
         name = status.getPath().getName()
-        done, _ = _path(spark, f"{root}/{name}/_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
+        if name.startswith("v") and name[1:].isdigit() and complete(spark, f"{root}/{name}"):
             found.append(int(name[1:]))
     return sorted(found)
 

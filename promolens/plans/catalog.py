@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from promolens.plans import history_queries, ingest_queries, market_queries, text_queries
+from promolens.plans import history_queries, ingest_queries, job_queries, market_queries, text_queries
 
-GROUPS = (market_queries, ingest_queries, text_queries, history_queries)
+GROUPS = (market_queries, ingest_queries, text_queries, history_queries, job_queries)
 
 
 def queries() -> dict:
