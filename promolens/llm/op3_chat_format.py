@@ -1,7 +1,8 @@
 """Roles of transcript lines by a hidden Markov model, and canonical turn rendering.
 
 States are (role, first line of a turn or not). A line is seen as its speaker marker (one of ``MARKERS``, another
-``Word:``, or none), its length class, its last and its first character's kind. The counts of starts, transitions and
+``Word:``, or none), its length class, its last and its first character's kind, and whether an input row begins with
+it. The counts of starts, transitions and
 features are taken over labelled turns in one Spark aggregate of bounded size (states times feature values).
 Decoding is Viterbi. A transcript is cut into parts of ``TURNS`` of its turn numbers; each part yields the best
 path score from every entry to every exit state (a max-plus matrix), the parts of a transcript are joined by these
@@ -10,8 +11,8 @@ result is that of one pass.
 
 Input: conv_id, turn, text (transcript pieces, may hold several lines). Rows without text give no line; rows of a
 null conv_id form one transcript; rows without turn come first, in a part of their own. Rows of one turn number are
-ordered by text. Result: a row per recovered turn and part; one that goes on from the part before is ``continued``.
-Rendered text is that of the lines, blank ones too; only a line that opens a turn loses a marker of ``MARKERS``.
+ordered by text. Result: a row per recovered turn, under the part and number where it opens; what goes on in later
+parts is joined to it, so the cut into parts never shows. Rendered text is that of the lines, blank ones too; only a line that opens a turn loses a marker of ``MARKERS``.
 Blank lines follow the line before them (those that open a part, the first line with it) and are not decoded or counted
 in n_lines; a part of blank lines only gives no row. All roles count: the counts grow with the number of roles, the
 matrices with its square. Where no role could be learned every input row is a turn of null role, with its markers.
@@ -23,21 +24,25 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.llm.staging import stage, table
 
 TURNS, PACK_ROWS, SMOOTH = 64, 4000, 0.1
+#: Share of a state's lines that counts as seen at either place in a row, so that rows of several turns, and turns of
+#: several rows, stay possible where the labelled ones have none.
+PLACE_SHARE = 0.02
 #: Speaker markers by kind, and a canonical turn.
 MARKERS = (("user", "human", "question", "q", "customer"), ("assistant", "ai", "bot", "answer", "a", "agent"), ("system", "instruction", "context"))
 TURN = "<|{role}|>\n{text}\n<|end|>\n"
 _MARK = re.compile(r"^\s*(?:#+\s*|\*\*|\[|<\|?)?([A-Za-z]{1,12})(?:\*\*|\]|\|?>)?\s*:\s*|^\s*###\s*([A-Za-z]{1,12})\s*$")
-SIZES = (len(MARKERS) + 2, 8, 6, 4)
+SIZES = (len(MARKERS) + 2, 8, 6, 4, 2)
+PLACE = len(SIZES) - 1
 
 
-def features(line: str) -> tuple[tuple[int, ...], str]:
-    """Feature values of a line, and the line without its marker."""
+def features(line: str, first: bool) -> tuple[tuple[int, ...], str]:
+    """Feature values of a line, ``first`` if its row begins with it, and the line without its marker."""
     m, kind, body = _MARK.match(line), 0, line
     if m:
         word = (m[1] or m[2]).lower()
@@ -47,7 +52,7 @@ def features(line: str) -> tuple[tuple[int, ...], str]:
     s = body.strip()
     last = {"?": 1, ".": 2, "!": 3, ":": 4}.get(s[-1:], 0 if s else 5)
     head = 3 if not s else 0 if s[0].isupper() else 1 if s[0].isalpha() else 2
-    return (kind, min(7, len(s).bit_length() * 7 // 12), last, head), body
+    return (kind, min(7, len(s).bit_length() * 7 // 12), last, head, int(first)), body
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -89,6 +94,7 @@ class Hmm:
                 allowed[:, s] = False
                 allowed[[s - 1, s], s] = True
         self.step = np.where(allowed, logs(step), -1e9)
+        seen[PLACE] += PLACE_SHARE * seen[PLACE].sum(1, keepdims=True)
         self.seen = [logs(s) for s in seen]
 
     def emitted(self, values: np.ndarray) -> np.ndarray:
@@ -126,27 +132,30 @@ def learned(turns: DataFrame) -> Hmm:
     def count(batches):
         total: dict = {}
         for batch in batches:
-            for role, after, text in zip(*(batch.column(c).to_pylist() for c in ("role", "after", "text"))):
+            for role, after, more, text in zip(*(batch.column(c).to_pylist() for c in ("role", "after", "more", "text"))):
                 here = place[role]
-                before = place.get(after, 2 * len(roles))
+                before = place[after] + more if after is not None else 2 * len(roles)
                 for i, line in enumerate(lines_of(text)):
                     now = here + (i > 0)
-                    for key in (("step", before, now), *((str(f), now, v) for f, v in enumerate(features(line)[0]))):
+                    for key in (("step", before, now), *((str(f), now, v) for f, v in enumerate(features(line, i == 0)[0]))):
                         total[key] = total.get(key, 0) + 1
                     before = now
         yield pa.record_batch([
             pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()),
             pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["what", "a", "b", "n"])
 
-    # the role of the turn before, by equi-join on the turn number
-    past = known.where("turn is not null").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.max("role").alias("after"))
-    pairs = known.join(past, ["conv_id", "turn"], "left").select("role", "after", "text")
+    # the state that the turn before ends in (its role, and whether it has more lines than one), by equi-join on the turn number
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?U)\S")))
+    ended = known.where("turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), "role", n.alias("n")).where("n > 0")
+    past = ended.groupBy("conv_id", "turn").agg(F.max(F.struct("role", F.col("n") > 1)).alias("s"))
+    past = past.select("conv_id", "turn", F.col("s.role").alias("after"), F.col("s.col2").cast("int").alias("more"))
+    pairs = known.join(past, ["conv_id", "turn"], "left").select("role", "after", "more", "text")
     got = pairs.mapInArrow(count, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     return Hmm(roles, {tuple(r[:3]): r[3] for r in got})
 
 
 def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
-    """conv_id, part, turn (number within the part), role, continued, n_lines, rendered."""
+    """conv_id, part, turn (number within the part), role, n_lines, rendered."""
     spark = pieces.sparkSession
     hmm = spark.sparkContext.broadcast(model)
     part = F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(2**62))).cast("long")
@@ -172,7 +181,7 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
 
     def score(t: pa.Table) -> pa.Table:
         m = hmm.value
-        got = [(c, p, m.across(m.emitted(np.array([features(x[0])[0] for x in lines]))).tobytes()) for c, p, lines in parts(t)]
+        got = [(c, p, m.across(m.emitted(np.array([features(x[0], x[3])[0] for x in lines]))).tobytes()) for c, p, lines in parts(t)]
         return pa.table({"conv_id": pa.array([g[0] for g in got], pa.int64()), "part": pa.array([g[1] for g in got], pa.int64()), "m": pa.array([g[2] for g in got], pa.binary())})
 
     def joined(t: pa.Table) -> pa.Table:
@@ -201,7 +210,7 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
         out: list[tuple] = []
         for conv, p, lines in parts(t) if t.num_rows else ():
             entry, leave = at[conv, p]
-            seen = [features(x[0]) for x in lines]
+            seen = [features(x[0], x[3]) for x in lines]
             states = m.path(m.emitted(np.array([s[0] for s in seen])), entry, leave)
             n = 0
             cuts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0] + [len(states)]
@@ -210,7 +219,7 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
                 # the marker goes where the line opens a turn, and nowhere else
                 own = [seen[a][1] if states[a] % 2 == 0 else lines[a][0], *(x[0] for x in lines[a + 1: b])]
                 text = "\n".join(before + x + after for x, (_, before, after, _) in zip(own, lines[a:b]))
-                out.append((conv, p, n, role, bool(states[a] % 2), b - a, TURN.format(role=role, text=text)))
+                out.append((conv, p, n, role, bool(states[a] % 2) and entry < m.k, b - a, text))
                 n += 1
         return turn_table(out)
 
@@ -220,21 +229,53 @@ def formatted(pieces: DataFrame, model: Hmm) -> DataFrame:
             cuts = [i for i, x in enumerate(lines) if x[3]] + [len(lines)]
             for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 text = "\n".join(before + x + after for x, before, after, _ in lines[a:b])
-                out.append((conv, p, n, None, False, b - a, TURN.format(role="", text=text)))
+                out.append((conv, p, n, None, False, b - a, text))
         return turn_table(out)
 
     def turn_table(out: list[tuple]) -> pa.Table:
-        kinds = (("conv_id", pa.int64()), ("part", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string()))
+        kinds = (("conv_id", pa.int64()), ("part", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("text", pa.string()))
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds)})
 
-    turns = "conv_id long, part long, turn int, role string, continued boolean, n_lines int, rendered string"
+    turns = "conv_id long, part long, turn int, role string, continued boolean, n_lines int, text string"
     if not model.roles:
-        return rows.groupBy("pack").applyInArrow(apart, turns)
+        return rendered(rows.groupBy("pack").applyInArrow(apart, turns))
     scores = rows.groupBy("pack").applyInArrow(score, "conv_id long, part long, m binary")
     # one group per hash of conv_id: the small matrices of a transcript meet in order
     ends = scores.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(packs)).alias("h")).applyInArrow(joined, "conv_id long, part long, entry long, leave long")
     ends = stage(ends, "ends").withColumn("pack", F.pmod(F.xxhash64("conv_id", "part"), F.lit(packs)))
-    return rows.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(decode, turns)
+    return rendered(whole_turns(stage(rows.groupBy("pack").cogroup(ends.groupBy("pack")).applyInArrow(decode, turns), "turns")))
+
+
+def whole_turns(turns: DataFrame) -> DataFrame:
+    """What goes on from the part before is joined to the turn that opened it.
+
+    Only a part's first turn can go on, so one small row a part tells where each was opened; other turns are not
+    shuffled.
+    """
+    parts = turns.groupBy("conv_id", "part").agg(F.max("turn").alias("last"), F.max("continued").alias("goes_on"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    opens = ~F.col("goes_on") | (F.col("last") > 0)
+    opened = parts.withColumn("at", F.last(F.when(opens, F.struct("part", "last")), ignorenulls=True).over(before)).where(
+        "goes_on and at is not null").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "at")
+    here = turns["conv_id"].eqNullSafe(opened["c"]) & (turns["part"] == opened["p"])
+    later = turns.where("continued").join(opened, here).select(
+        "conv_id", F.col("at.part").alias("part"), F.col("at.last").alias("turn"), F.array_sort(F.array(F.struct(F.col("part").alias("p"), "n_lines", "text"))).alias("more"))
+    later = later.groupBy("conv_id", "part", "turn").agg(F.array_sort(F.flatten(F.collect_list("more"))).alias("more")).select(
+        F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("turn").alias("t"), "more")
+    heads = turns.where("not continued")
+    same = heads["conv_id"].eqNullSafe(later["c"]) & (heads["part"] == later["p"]) & (heads["turn"] == later["t"])
+    none = F.array().cast("array<struct<p:bigint,n_lines:int,text:string>>")
+    more = F.coalesce("more", none)
+    return heads.join(later, same, "left").select(
+        "conv_id", "part", "turn", "role",
+        F.aggregate(more, F.col("n_lines"), lambda n, x: n + x["n_lines"]).alias("n_lines"),
+        F.array_join(F.concat(F.array("text"), F.transform(more, lambda x: x["text"])), "\n").alias("text"))
+
+
+def rendered(turns: DataFrame) -> DataFrame:
+    opening, closing = TURN.split("{text}")
+    head = F.replace(F.lit(opening), F.lit("{role}"), F.coalesce("role", F.lit("")))
+    return turns.select("conv_id", "part", "turn", "role", "n_lines", F.concat(head, "text", F.lit(closing)).alias("rendered"))
 
 
 def transcripts(turns: DataFrame) -> DataFrame:

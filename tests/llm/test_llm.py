@@ -237,6 +237,54 @@ def test_toxic_only_together(spark):
     assert got[both].mean() > 0.9 and got[other].mean() < 0.05
 
 
+def plain_viterbi(model, lines):
+    """The best path state by state, from the model's probabilities alone."""
+    seen = [chat.features(*x)[0] for x in lines]
+    score = lambda t, s: sum(float(f[s, v]) for f, v in zip(model.seen, seen[t]))
+    best = {s: (float(model.step[model.k, s]) + score(0, s), [s]) for s in range(model.k)}
+    for t in range(1, len(seen)):
+        came = {s: max(((v + float(model.step[b, s]), path) for b, (v, path) in best.items()), key=lambda x: x[0]) for s in best}
+        best = {s: (v + score(t, s), [*path, s]) for s, (v, path) in came.items()}
+    return max(best.values(), key=lambda x: x[0])[1]
+
+
+def roles_by_line(turns):
+    by = {}
+    for r in sorted(turns, key=lambda r: (str(r.conv_id), r.part, r.turn)):
+        by.setdefault(r.conv_id, []).extend([r.role] * r.n_lines)
+    return by
+
+
+def test_chat_roles_of_unseen_conversations(spark):
+    turns = chat.transcripts(spark.read.parquet(f"{SF}/../sf0.01/conversations.parquet"))
+    fresh = F.col("conv_id") % 5 == 0
+    got = roles_by_line(chat.formatted(turns.where(fresh).drop("role"), chat.learned(turns.where(~fresh))).collect())
+    want = {}
+    for r in sorted(turns.where(fresh).collect(), key=lambda r: (r.conv_id, r.turn, r.text)):
+        want.setdefault(r.conv_id, []).extend([r.role] * len(chat.lines_of(r.text)))
+    assert got.keys() == want.keys() and all(len(got[c]) == len(want[c]) for c in want)
+    hits = [a == b for c in want for a, b in zip(got[c], want[c])]
+    assert len(hits) > 200 and sum(hits) >= 0.9 * len(hits), sum(hits) / len(hits)
+
+
+def test_chat_joins_turns_over_parts(spark):
+    learn = [(c, t, ("user", "assistant")[t % 2], ("User: What is it?", "Assistant: It is so.\nand so,\nand more,")[t % 2]) for c in range(40) for t in range(8)]
+    model = chat.learned(spark.createDataFrame(learn, "conv_id long, turn long, role string, text string"))
+    # one row a line: the answer to the last question goes on over three parts
+    told = ["User: What is it?", "Assistant: It is so."] + ["and so,", "and more,"] * 80
+    rows = [(conv, t, x) for conv in (1, None) for t, x in enumerate(told)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).collect()
+    mine = {c: sorted((r for r in got if r.conv_id == c), key=lambda r: (r.part, r.turn)) for c in (1, None)}
+    path = plain_viterbi(model, [(x, True) for x in told])
+    opens = sum(s % 2 == 0 for s in path)
+    for c, own in mine.items():
+        assert len(own) == opens and sum(r.n_lines for r in own) == len(told), c
+        assert [r.role for r in own for _ in range(r.n_lines)] == [model.roles[s // 2] for s in path]
+    assert max(r.n_lines for r in mine[1]) > 2 * chat.TURNS and {(r.part, r.turn) for r in mine[1]} == {(0, i) for i in range(opens)}
+    text = max(mine[1], key=lambda r: r.n_lines).rendered
+    assert text.endswith("and so,\nand more,\n<|end|>\n") and text.count("\n") == max(r.n_lines for r in mine[1]) + 2 - 1 + 1
+
+
 def test_chat(spark):
     turns = [(1, i, r, t) for i, (r, t) in enumerate([("user", "Who?\nTell me."), ("assistant", "It is so.\nand so.\nYes."), ("user", "Why?")] * 60)]
     turns += [(2, 0, "user", "Hi?"), (2, None, "user", "x"), (None, 0, "system", "Be kind."), (3, 1, None, None), (3, 2, "user", ""), (2, 0, "user", "Hi?")]
@@ -246,10 +294,8 @@ def test_chat(spark):
     ours = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.part, r.turn))
     lines = [r.role for r in ours for _ in range(r.n_lines)]
     # parts give what one Viterbi pass over the whole transcript gives
-    whole = [x for r in sorted((r for r in df.collect() if r.conv_id == 1), key=lambda r: r.turn) for x in chat.lines_of(r.text)]
-    e = model.emitted(np.array([chat.features(x)[0] for x in whole]))
-    path = model.path(e, model.k, int(model.across(e)[model.k].argmax()))
-    assert lines == [model.roles[s // 2] for s in path]
+    whole = [(x, i == 0) for r in sorted((r for r in df.collect() if r.conv_id == 1), key=lambda r: r.turn) for i, x in enumerate(chat.lines_of(r.text))]
+    assert lines == [model.roles[s // 2] for s in plain_viterbi(model, whole)]
     assert sum(r.n_lines for r in got) == sum(len(chat.lines_of(r.text)) for r in df.collect()) and all(r.rendered.startswith("<|") for r in got)
     assert chat.formatted(df.drop("role").limit(0), model).count() == 0
 
