@@ -46,13 +46,13 @@ def low_key(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def request(g: int, h: np.ndarray, residual: np.ndarray, extra: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of one group; ``h`` sorted."""
-    cut = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-    used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+    """Rows of one group, for the buckets that it has hashes in; ``h`` sorted."""
+    used, start = np.unique(bucket_of(h, buckets), return_index=True)
+    cuts = list(zip(start, [*start[1:], len(h)]))
     return pa.record_batch([
         pa.array([g] * len(used), pa.int64()), pa.array(used, pa.int32()),
-        pa.array([residual[cut[b]: cut[b + 1]].tobytes() for b in used], pa.binary()),
-        pa.array([extra[cut[b]: cut[b + 1]].tobytes() for b in used], pa.binary()),
+        pa.array([residual[a:b].tobytes() for a, b in cuts], pa.binary()),
+        pa.array([extra[a:b].tobytes() for a, b in cuts], pa.binary()),
     ], names=["g", "bucket", "res", "extra"])
 
 

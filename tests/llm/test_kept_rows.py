@@ -11,7 +11,7 @@ from promolens.llm import op2_ngram_jaccard_join as near
 from promolens.llm import op5_url_filter as url
 from promolens.llm import op7_decontamination as leaks
 from promolens.llm import op9_exact_topk as topk
-from promolens.llm import staging
+from promolens.llm import exchange, staging
 from promolens.llm.ship import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, leaks int, n_words string, row int"
@@ -151,3 +151,13 @@ def test_pipeline_by_hand(spark, tmp_path, empty):
         assert {(r.score, r.kept, r.leaks, r.n_words, r.row) for r in kept.collect()} == {(0.5, "kept", 7, "n", 3)}
         slim = docs.drop("n_chars")
         assert corpus_pipeline.without_passages(spark, slim, str(tmp_path)).columns == slim.columns
+
+
+def test_a_group_asks_only_buckets_that_it_has_hashes_in():
+    rng = np.random.default_rng(1)
+    for n, buckets in ((0, 7), (1, 1), (50, 100_000), (5000, 3)):
+        h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        low, extra = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.ones(n, np.uint8)
+        rows = exchange.request(3, h, low, extra, buckets).to_pylist()
+        assert [r["bucket"] for r in rows] == sorted(set(exchange.bucket_of(h, buckets).tolist()))
+        assert b"".join(r["res"] for r in rows) == low.tobytes() and b"".join(r["extra"] for r in rows) == extra.tobytes()
