@@ -15,6 +15,7 @@ NAMES = [
     "feed_a_records", "page_block_links", "insert_if_new", "normalised_urls", "latest_insights", "manual_edits", "probe_cutoff",
     "candidate_lines", "document_sections", "rule_insights", "parsed_responses",
     "header_kpis", "status_counts", "intelligence", "hybrid_insights", "request_prompts", "page_containers",
+    "extract_job_updates", "extract_job_sections", "extract_job_jobs", "backfilled_sections", "backfilled_insights", "direct_entry",
 ]
 
 
