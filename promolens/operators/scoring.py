@@ -42,8 +42,13 @@ def with_pools(df: DataFrame, vocab: Vocabulary) -> DataFrame:
                 F.size(F.try_element_at(F.col("marketing_content"), F.lit(vocab.partner_section))) > 0, F.lit(False)
             ),
         }
-    ).withColumn(
-        "_pool", _joined(F.col("title"), F.col("target_segment"), F.col("raw_text"), F.col("_benefits"))
+    ).withColumns(
+        {
+            "_pool": _joined(F.col("title"), F.col("target_segment"), F.col("raw_text"), F.col("_benefits")),
+            "_objectives": _joined(*[F.col(c) for c in ("title", "benefit_value", "conditions", "raw_text")]),
+            "_segments": _joined(F.col("target_segment"), F.col("conditions")),
+            "_channels": _joined(F.col("conditions"), F.col("raw_text")),
+        }
     )
     first = pooled.withColumns(
         {"_amounts": amounts.all_amounts(F.col("_benefits")), "_pcts": amounts.all_percentages(F.col("_benefits"))}
@@ -61,7 +66,10 @@ def with_pools(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     )
 
 
-POOLS = ("_benefits", "_targets", "_has_partner", "_pool", "_amounts", "_pcts", "_bare", "_max_won", "_max_pct")
+POOLS = (
+    "_benefits", "_targets", "_has_partner", "_pool", "_objectives", "_segments", "_channels", "_amounts", "_pcts", "_bare",
+    "_max_won", "_max_pct", "_strategies", "_tags",
+)
 
 
 def benefit_level() -> Column:
@@ -75,7 +83,8 @@ def benefit_level() -> Column:
 
 
 def _labels(*rules: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, F.lit(label)) for cond, label in rules]))
+    """The distinct labels whose condition holds, in order."""
+    return text.without_nulls(F.array(*[F.when(cond, F.lit(label)) for cond, label in rules]))
 
 
 def competitive_points() -> Column:
@@ -94,7 +103,7 @@ def competitive_points() -> Column:
 def target_clarity() -> Column:
     target = F.col("_targets")
     hits = text.hit_count(target, TARGET_SIGNALS)
-    named_card = target.rlike(r"(?U)[가-힣A-Za-z0-9\s]{2,25}카드")
+    named_card = target.contains("카드") & target.rlike(rf"(?U)[{text.ASCII_WORD}가-힣\s]{{2,25}}카드")
     return (
         F.when(text.ustrip(target) == "", "낮음")
         .when(text.contains_any(target, BROAD_TARGET_WORDS) & (hits <= 2), "낮음")
@@ -103,45 +112,49 @@ def target_clarity() -> Column:
     )
 
 
-def promo_strategies(level: Column) -> Column:
+def strategy_labels() -> Column:
     won, pct, pool = F.col("_max_won"), F.col("_max_pct"), F.col("_pool")
-    found = _labels(
+    return _labels(
         *[(text.contains_any(pool, words), label) for label, words in STRATEGY_RULES],
         (F.col("_has_partner") | pool.contains("제휴"), "브랜드 제휴 확장"),
         ((won >= 50000) | (pct >= 20), "공격적 가격 프로모션"),
     )
+
+
+def promo_strategies(found: Column, level: Column) -> Column:
     default = F.when(level.isin("높음", "중상"), "혜택 중심 인지도 강화").otherwise("기본 혜택 유지형")
-    return text.let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(default)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(default))
 
 
 def objective_tags(rules=OBJECTIVE_RULES) -> Column:
-    return text.matching_rules(
-        _joined(*[F.col(c) for c in ("title", "benefit_value", "conditions", "raw_text")]), rules
-    )
+    return text.matching_rules(F.col("_objectives"), rules)
+
+
+def tag_labels(tags) -> Column:
+    return _labels(*[(F.col("_segments").contains(t), t) for t in tags])
 
 
-def target_tags(tags) -> Column:
-    pool = _joined(F.col("target_segment"), F.col("conditions"))
-    found = _labels(*[(pool.contains(t), t) for t in tags])
-    return text.let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit(TARGET_TAG_DEFAULT))))
+def target_tags(found: Column) -> Column:
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(TARGET_TAG_DEFAULT)))
 
 
 def channel_tags(rules=CHANNEL_RULES) -> Column:
-    return text.matching_rules(_joined(F.col("conditions"), F.col("raw_text")), rules)
+    return text.matching_rules(F.col("_channels"), rules)
 
 
 def rule_insights(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     """The standard insight record of each row, from rules only."""
-    pooled = with_pools(df, vocab).withColumn("benefit_level", benefit_level())
+    pooled = with_pools(df, vocab).withColumns(
+        {"benefit_level": benefit_level(), "_strategies": strategy_labels(), "_tags": tag_labels(vocab.target_tags)})
     none = F.lit(None).cast("string")
     return pooled.withColumns(
         {
             "benefit_score": amounts.map_score(F.col("benefit_level"), BENEFIT_SCORES, 2.0),
             "target_clarity": target_clarity(),
             "competitive_points": competitive_points(),
-            "promo_strategies": promo_strategies(F.col("benefit_level")),
+            "promo_strategies": promo_strategies(F.col("_strategies"), F.col("benefit_level")),
             "objective_tags": objective_tags(vocab.objective_rules),
-            "target_tags": target_tags(vocab.target_tags),
+            "target_tags": target_tags(F.col("_tags")),
             "channel_tags": channel_tags(vocab.channel_rules),
             "insight_threat": none,
             "evidence": F.array().cast("array<string>"),
