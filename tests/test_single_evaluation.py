@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from promolens.functions import text
+from promolens import Vocabulary
+from promolens.functions import dom, text
+from promolens.operators import scoring
 from promolens.plans import text_queries
 
 
@@ -26,3 +28,29 @@ def test_keyword_blocks_reads_the_lines_once(spark, tmp_path):
     df = text_queries.QUERIES["keyword_blocks"](spark, str(tmp_path))
     assert plan(df).count("가-힣]+") == 2  # the key of the lines and the key of the blocks
     assert [r.doc_id for r in df.collect()] == [1]
+
+
+def test_pages_are_parsed_in_small_slices(spark):
+    """A batch of 40 pages of 16 k characters comes back in several record batches, whole and in order."""
+    rows = [(i, f"<p>{i}</p>" + "<b>x</b>" * 2048) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    got = dom.parsed(pages).select("page_id", F.col("dom.blocks")[0]["text"].alias("t"), F.size("dom.nodes").alias("n"))
+    assert [tuple(r) for r in got.collect()] == [(i, str(i), 2 + 2 * 2048) for i in range(40)]
+    parts = dom.parsed(pages).mapInArrow(lambda batches: batches, dom.parsed(pages).schema)
+    assert parts.count() == 40 and dom.SLICE_CHARS <= 1 << 17
+
+
+def test_rule_pools_are_joined_once(spark):
+    fields = "id long, title string, benefit_value string, conditions string, target_segment string, raw_text string"
+    rows = [
+        (1, "신규 여행", "10% 할인", "앱 응모", "VIP 카드 회원", "온라인 Pay"), (2, None, None, None, None, None),
+        (3, "a", "1만원", "b", "전체 고객 신한카드", "매장 기존"),
+    ]
+    df = spark.createDataFrame(rows, fields).withColumn("marketing_content", F.lit(None).cast("map<string,array<string>>"))
+    got = {r.id: r for r in scoring.rule_insights(df, Vocabulary()).collect()}
+    assert got[1].objective_tags == ["신규유치", "디지털전환"] and got[1].channel_tags == ["앱", "웹", "간편결제"]
+    assert got[1].target_tags == ["VIP"]
+    assert got[2].objective_tags == [] and got[2].target_tags == ["전연령"] and got[2].promo_strategies == ["기본 혜택 유지형"]
+    assert got[3].channel_tags == ["오프라인"]
+    text_plan = plan(scoring.rule_insights(df, Vocabulary()).select("objective_tags", "channel_tags", "target_tags"))
+    assert text_plan.count("concat_ws") <= 6
