@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from promolens import schemas
 from promolens.functions import periods, text
-from promolens.functions.rows import posexploded
+from promolens.functions.rows import computed_once, posexploded
 from promolens.vocabulary import (
     LEGACY_CATEGORY_DEFAULT, LEGACY_CATEGORY_RULES, LEGACY_THREAT_RULES, NO_INFO, SEE_DETAIL, THREAT_DEFAULT,
     Vocabulary,
@@ -53,7 +53,8 @@ def feed_a_items(documents: DataFrame) -> DataFrame:
 def feed_a_records(items: DataFrame, company: str | Column, base_url: str, vocab: Vocabulary) -> DataFrame:
     """Feed A items to staged records: first filled title, address and period."""
     i = lambda k: F.col(f"item.{k}")
-    staged = items.withColumns(
+    staged = computed_once(
+        items,
         {
             "title": text.clean_title(
                 text.first_filled(i("mobWbEvtNm"), i("evtImgSlTilNm"), i("evtImgRplNm")), vocab
@@ -63,7 +64,7 @@ def feed_a_records(items: DataFrame, company: str | Column, base_url: str, vocab
                 periods.period_from_compact(i("mobWbEvtStd"), i("mobWbEvtEdd")),
                 periods.canonical_period(text.first_filled(i("evtTermTxt"), i("eventPeriod"))),
             ),
-        }
+        },
     )
     parts = [
         F.col("title"), text.clean_text(i("hpgEvtSmrTt")), text.clean_text(i("evtImgSlTilNm")),
@@ -85,8 +86,8 @@ def feed_b_records(
 ) -> DataFrame:
     """Feed B items to staged records; items without code or title are dropped."""
     i = lambda k: text.clean_text(F.col(f"item.{k}"))
-    coded = items.withColumns(
-        {"_code": i("bnftWebEvntCd"), "title": text.clean_title(F.col("item.bnftEvntNm"), vocab)}
+    coded = computed_once(
+        items, {"_code": i("bnftWebEvntCd"), "title": text.clean_title(F.col("item.bnftEvntNm"), vocab), "item": F.col("item")}
     ).where((F.col("_code") != "") & (F.col("title") != ""))
     staged = coded.withColumns(
         {
