@@ -63,10 +63,12 @@ def _company_values(events: DataFrame, params: Params, profile: bool = False) ->
     if profile:
         own["_figures"] = F.when(shown, F.array(*_profile_figures().values()))
         own["_category"] = F.when(shown, text.blank_to_null(text.ustrip(F.col("category"))))
+    own["_insight"] = records.insight_struct(F.col("marketing_insights"))
+    rated = computed_once(
+        events.withColumn("_blob", records.search_blob()) if profile else events, own | {"company": company_name()}
+    )
     # the insight's fields become columns, so no nested field is pruned through the generator below
-    flagged = events.select(
-        F.col("id"), company_name().alias("company"), *[c.alias(name) for name, c in own.items()],
-        F.inline_outer(F.array(records.insight_struct(F.col("marketing_insights")))))
+    flagged = rated.select("id", "company", *[name for name in own if name != "_insight"], F.inline_outer(F.array("_insight")))
 
     def tagged(kind: str, values: Column) -> Column:
         kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
@@ -499,11 +501,14 @@ def lenient_gaps(events: DataFrame, params: Params) -> DataFrame:
 # ---- company snapshot, briefing, dimensions --------------------------------------
 
 def _profile_figures() -> dict[str, Column]:
-    """Figures of a row that a company's profile sums up, as doubles; whole ones are exact up to 2**53."""
+    """Figures of a row that a company's profile sums up, as doubles; whole ones are exact up to 2**53.
+
+    ``_blob`` is the row's ``search_blob`` as a column; an expression would be joined anew for each word.
+    """
     threat = F.lower(F.coalesce(text.ustrip(F.col("threat_level")), F.lit("")))
     status = text.first_filled(F.col("status"), F.lit("unknown"))
     days = periods.duration_days(F.col("period_start"), F.col("period_end"))
-    blob = records.search_blob()
+    blob = F.col("_blob")
     figures = {
         "high_threat_count": _flag(threat == "high"),
         "status_active": _flag(status == "active"),
