@@ -7,15 +7,18 @@ A batch that is run again, after a failure or by a repeated trigger, finds its s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promolens import schemas
 from promolens.functions import records
-from promolens.functions.rows import computed_once
+from promolens.functions.rows import computed_once, exploded
 from promolens.operators import history, mutations, storage
 from promolens.operators.ingest import extraction_plan, pending_extraction
 from promolens.operators.ranking import first_seen
+from promolens.operators.responses import parse_responses
 from promolens.operators.scoring import hybrid_insights, rule_insights
 from promolens.operators.structure import extract_pages
 from promolens.params import Params
@@ -23,6 +26,7 @@ from promolens.params import Params
 NO_PAGE = "no page"
 LOCKED = "skipped (locked)"
 FIELDS = ("title", "period", "benefit_type", "benefit_value", "conditions", "target_segment", "one_line_summary", "raw_text")
+CARRIED = ("error", "source", "insight", "extracted_json", "page_text", "answer_category", "answer_threat")
 DERIVED = ("period_start", "period_end", "benefit_amount_won", "benefit_pct", "status")
 INSIGHT = (
     "benefit_level", "benefit_score", "target_clarity", "objective_tags", "target_tags", "channel_tags",
@@ -31,48 +35,118 @@ INSIGHT = (
 )
 
 
-def landed_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The newest page of each wanted address (of equal age the first by text); other pages are not sorted."""
-    ours = pages.join(wanted.select("url").distinct(), "url", "left_semi")
+def landed_pages(pages: DataFrame) -> DataFrame:
+    """The newest page of each address (of equal age the first by text)."""
     age = [F.desc_nulls_last("captured_at")] if "captured_at" in pages.columns else []
-    return first_seen(ours, ["url"], [*age, F.asc("html")]).select("url", "html")
+    return first_seen(pages, ["url"], [*age, F.asc("html")]).select("url", "html")
+
+
+def with_pages(addresses: DataFrame, pages: DataFrame) -> DataFrame:
+    """The ids that have an address with a landed page."""
+    return addresses.select("id", "url").join(pages.select("url"), "url", "left_semi").select("id").distinct()
 
 
-def extracted(events: DataFrame, pages: DataFrame, params: Params, responses: DataFrame | None = None) -> DataFrame:
+def extracted(events: DataFrame, pages: DataFrame, params: Params, responses: DataFrame) -> DataFrame:
     """Promotions with their page's fields laid over the stored ones, the insight of the page and its section map.
 
     ``responses`` (id, answer) are parsed model answers; without one the rules decide. ``error`` tells why a promotion
-    has no result: no page, or a page that says the promotion is gone.
+    has no result: no page, or a page that says the promotion is gone. The stored rows of an id travel with its pages as
+    the array ``same``, so they are read once and not joined again; each page is laid over each of them.
     """
-    found = events.select("id", "url").join(landed_pages(pages, events), "url", "left")
+    stored = F.collect_list(F.struct("url", "company", *FIELDS))
+    ours = events.groupBy("id").agg(stored.alias("same"))
+    found = exploded(ours, ["id", "same"], F.col("same.url"), "url").join(landed_pages(pages), "url", "left")
     missing = F.col("html").isNull()
     read = extract_pages(found.withColumn("_missing", missing), params.vocab)
     error = F.when(F.col("_missing"), NO_PAGE).otherwise(F.col("error"))
     fields = computed_once(read, {**{c: F.col(c) for c in (*FIELDS, "marketing_content")}, "error": error})
     none = F.lit(None).cast("string")
     rated = rule_insights(fields.withColumns({"category": none, "threat_level": none}), params.vocab)
-    if responses is None:
-        responses = events.sparkSession.createDataFrame([], f"id BIGINT, answer STRUCT<{schemas.RESPONSE_JSON}>")
     as_json = F.to_json(F.struct(*FIELDS, "marketing_content"))
     rated = hybrid_insights(rated.withColumn("extracted_json", as_json).withColumn("page_text", F.col("raw_text")), responses)
     insight = F.struct(*INSIGHT, F.col("insight_threat").alias("threat_level"))
     carried = rated.withColumns({"insight": insight, "answer_category": F.col("category"), "answer_threat": F.col("threat_level")})
-    return records.merge_extracted(
-        carried, events, params, ("error", "source", "insight", "extracted_json", "page_text", "answer_category", "answer_threat"))
+    both = exploded(carried, ["id", *FIELDS, "marketing_content", "same", *CARRIED], F.col("same"), "x")
+    return records.laid_over(both, params, (*CARRIED, "same"), new="")
+
+
+def _no_answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"id BIGINT, answer STRUCT<{schemas.RESPONSE_JSON}>")
+
+
+def _bare(rows: DataFrame, error: str | None, like: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "id", "url", "company", "action", F.lit(error).cast("string").alias("error"), none.alias("source"),
+        F.lit(None).cast(like.schema["result"].dataType).alias("result"))
+
+
+def _answers(responses: DataFrame) -> DataFrame:
+    """Parsed answers; each text is parsed once, and only after the joins below it."""
+    if "answer" in responses.columns:
+        return responses
+    return computed_once(parse_responses(responses).select("id", "answer"), {"answer": F.col("answer")})
+
+
+def with_result(
+    events: DataFrame, ids: DataFrame, pages: DataFrame, locks: DataFrame, params: Params, responses: DataFrame,
+    lookup: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The staged rows of the promotions to extract whose id is in ``ids`` (or null, which finds no result).
+
+    Only they, and the answers about them, are read whole and meet the pages.
+    """
+    near = events.join(ids, "id", "left_semi") if lookup is None else lookup(ids)
+    answers = _answers(responses.join(ids, "id", "left_semi"))
+    extract = F.col("action") == "extract"
+    done = extracted(extraction_plan(pending_extraction(near), locks).where(extract), pages, params, answers)
+    names = [c for c in done.columns if c not in ("id", "same")]
+    rows = exploded(done, ["id", *names], F.col("same"), "p").select(
+        "id", "p.url", "p.company", F.lit("extract").alias("action"), "error",
+        F.when(F.col("error").isNull(), F.col("source")).alias("source"), F.struct(*names).alias("result"))
+    nameless = extraction_plan(pending_extraction(events.where(F.col("id").isNull())), locks).where(extract)
+    return rows.union(_bare(nameless, None, rows))
+
+
+def without_result(events: DataFrame, ids: DataFrame, locks: DataFrame, responses: DataFrame, like: DataFrame) -> DataFrame:
+    """The staged rows of promotions that are extracted in vain, as no page landed, and of those that are not extracted.
+
+    Repeated ids and answers give as many rows here as they give where there is a page.
+    """
+    extract = F.col("action") == "extract"
+    answers = _answers(responses).where(F.col("answer").isNotNull()).groupBy("id").agg(F.count("*").alias("_k"))
+    plan = extraction_plan(pending_extraction(events), locks).select("id", "url", "company", "action")
+    ours = F.count_if(extract).over(Window.partitionBy("id"))
+    counted = plan.withColumn("_n", ours).join(answers, "id", "left").join(ids.withColumn("_paged", F.lit(True)), "id", "left")
+    times = F.when((F.col("_n") == 0) | F.col("id").isNull(), 1).otherwise(F.col("_n") * F.col("_n") * F.coalesce("_k", F.lit(1)))
+    idle = counted.where(~extract | (F.col("id").isNotNull() & F.col("_paged").isNull()))
+    rows = exploded(idle, ["id", "url", "company", "action"], F.array_repeat(F.lit(True), times.cast("int")), "_row")
+    return _bare(rows, NO_PAGE, like).withColumn("error", F.when(extract, F.col("error")))
+
+
+def staged_results(
+    events: DataFrame, pages: DataFrame, locks: DataFrame, params: Params, at: Column, responses: DataFrame | None = None,
+    addresses: DataFrame | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The rows of ``staged`` that updates, sections, insights and snapshots are made of.
+
+    ``responses`` are model answers, as texts (id, response) or parsed (id, answer). Where events are costly to compute,
+    ``addresses`` (id, url) are theirs and ``lookup`` gives the events of a table of ids.
+    """
+    responses = _no_answers(events.sparkSession) if responses is None else responses
+    ids = with_pages(events if addresses is None else addresses, pages)
+    return with_result(events, ids, pages, locks, params, responses, lookup).withColumn("at", at)
 
 
 def staged(
     events: DataFrame, pages: DataFrame, locks: DataFrame, params: Params, at: Column, responses: DataFrame | None = None,
+    addresses: DataFrame | None = None, lookup: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per pending promotion: what the run does with it and, where it is extracted, the result."""
-    plan = extraction_plan(pending_extraction(events), locks)
-    todo = plan.where(F.col("action") == "extract").drop("action")
-    done = extracted(todo, pages, params, responses)
-    names = [c for c in done.columns if c != "id"]
-    result = done.select("id", F.struct(*names).alias("result"))
-    return plan.select("id", "url", "company", "action").join(result, "id", "left").select(
-        "id", "url", "company", "action", F.col("result.error").alias("error"),
-        F.when(F.col("result.error").isNull(), F.col("result.source")).alias("source"), "result", at.alias("at"))
+    responses = _no_answers(events.sparkSession) if responses is None else responses
+    ids = with_pages(events if addresses is None else addresses, pages)
+    rows = with_result(events, ids, pages, locks, params, responses, lookup)
+    return rows.union(without_result(events, ids, locks, responses, rows)).withColumn("at", at)
 
 
 def succeeded(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from promolens.operators import extract_job as ej
 from promolens.operators import history as hi
 from promolens.operators import ingest as ing
-from promolens.operators import responses as rs
 from promolens.plans import adapters as ad
 from promolens.plans import oracle_views as ov
 from promolens.plans import text_queries as tq
@@ -44,13 +43,16 @@ STAGED = "WITH " + ov.CAMPAIGNS + LOCKED + f""", x AS ({tq.ORACLE['extracted_pag
 """
 
 
-def _staged(spark, base):
+def _staged(spark, base, staged=ej.staged_results):
     events = ad.campaigns(spark, base)
     pages = ad.promo_pages(spark, base).select("page_id", "html")
-    landed = events.select(F.col("id").alias("page_id"), "url").join(pages, "page_id").select("url", "html")
-    answers = rs.parse_responses(ad.response_texts(spark, base)).select("id", "answer")
+    addresses = ad.campaign_addresses(spark, base)
+    landed = addresses.withColumnRenamed("id", "page_id").join(pages, "page_id").select("url", "html")
+    answers = ad.response_texts(spark, base).select("id", "response")
     at = F.lit(f"{AS_OF} 06:00:00").cast("timestamp_ntz")
-    return ej.staged(events, landed, hi.lock_state(ad.locks(spark, base)), PARAMS, at, answers)
+    return staged(
+        events, landed, hi.lock_state(ad.locks(spark, base)), PARAMS, at, answers, addresses,
+        lambda ids: ad.campaigns(spark, base, ids))
 
 
 END = ov.period_end("period")
@@ -96,7 +98,7 @@ def extract_job_insights(spark, base):
   (action = 'extract' AND NOT landed)::BIGINT AS retry_count, CASE WHEN action = 'skipped' THEN '{ej.LOCKED}' WHEN NOT landed THEN '{ej.NO_PAGE}' END AS last_error,
   '{AS_OF} 06:00:00' AS finished_at FROM staged WHERE action <> 'failed'""")
 def extract_job_jobs(spark, base):
-    return hi.job_state(ej.job_rows(_staged(spark, base), BATCH)).drop("started_at")
+    return hi.job_state(ej.job_rows(_staged(spark, base, ej.staged), BATCH)).drop("started_at")
 
 
 C = "WITH " + ov.CAMPAIGNS

@@ -135,3 +135,20 @@ def test_direct_entries_take_the_path_of_collected_ones(spark):
     got = ingest.direct_entry(entries, stored, [F.asc("arrival")], P).collect()
     assert [(r.url, r.title, r.period, r.benefit_amount_won, r.conditions, r.status) for r in got] == [
         ("https://x/2", "둘", "2026.02.01~2026.03.31", 10000, None, "active")]
+
+
+def test_only_promotions_with_a_page_are_read_whole(spark):
+    events, none = promotions(spark), spark.createDataFrame([], LOCKS)
+    texts = spark.createDataFrame([(2, '{"benefit_level":"중상"}'), (4, '{"benefit_level":"높음"}'), (7, "no answer")], "id BIGINT, response STRING")
+    asked = []
+
+    def lookup(ids):
+        asked.append(sorted(r.id for r in ids.collect()))
+        return events.join(ids, "id", "left_semi")
+
+    rows = ej.staged(events.union(events.where("id = 4")), landed(spark, 5), none, P, moment(1), texts, events.select("id", "url"), lookup)
+    got = sorted((r.id, r.action, r.error, r.source, r.result is not None) for r in rows.collect())
+    assert asked == [[1, 2, 7]]
+    # two equal promotions without a page: one row for each pair of them and its stored rows, as where there is one
+    assert got == [(1, "extract", None, "rule", True), (2, "extract", None, "gemini", True), (3, "failed", None, None, False)] + [
+        (4, "extract", "no page", None, False)] * 8 + [(7, "extract", None, "rule", True)]
